@@ -1,0 +1 @@
+"""No streaming operators: a run compares one full snapshot with the stored digest."""
