@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from gistmill import fixed_values as fv
 
-_NOT_SPACE = f"[^{fv.WHITESPACE}]"
-_CONTROL = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"
+# The few code points above Latin-1 are tried only within their common range, and control
+# characters only below the blank: character classes cost one look at most characters.
+_LATIN = "".join(c for c in fv.WHITESPACE if ord(c) < 256)
+_WIDE = "".join(c for c in fv.WHITESPACE if ord(c) >= 256)
+_BLANK = f"{_LATIN}[{_WIDE[0]}-{_WIDE[-1]}&&[{_WIDE}]]"
+_CONTROL = "[\\x00-\\x1F&&[^\\t\\n\\r]]"
 
 
 def checksum(content: Column) -> Column:
@@ -46,8 +50,8 @@ def word_count(text: Column) -> Column:
     """Number of whitespace-separated words."""
     # Each word with the blanks around it shrinks to one character; the result's length is
     # the count.  Collecting the words in an array would hold every text twice.
-    shrunk = F.regexp_replace(text, f"[{fv.WHITESPACE}]*{_NOT_SPACE}+[{fv.WHITESPACE}]*", "w")
-    return F.when(text.rlike(_NOT_SPACE), F.length(shrunk)).otherwise(F.lit(0))
+    shrunk = F.regexp_replace(text, f"[{_BLANK}]*[^{_BLANK}]+[{_BLANK}]*", "w")
+    return F.when(text.rlike(f"[^{_BLANK}]"), F.length(shrunk)).otherwise(F.lit(0))
 
 
 def token_estimate(text: Column) -> Column:

@@ -19,6 +19,10 @@ from gistmill.functions.text import strip
 from gistmill.operators.skew import join_by_corpus
 
 
+# Rule expressions of all corpora up to this size are sent to every executor.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
 def usable_rules(rule_lines: DataFrame) -> DataFrame:
     """``corpus_id, pattern`` from ``corpus_id, line``, without blank lines and comments."""
     return (
@@ -36,7 +40,7 @@ def rule_table(
     ``corpora`` has one row per corpus.
     """
     default = corpora.select(
-        "corpus_id", F.explode(F.array(*[F.lit(rule) for rule in defaults])).alias("pattern")
+        "corpus_id", F.explode(F.split(F.lit("\n".join(defaults)), "\n")).alias("pattern")
     )
     return default.union(usable_rules(rule_lines)).distinct()
 
@@ -96,9 +100,22 @@ def rules_by_corpus(rules: DataFrame) -> DataFrame:
     )
 
 
-def with_corpus_rules(files: DataFrame, own_rules: DataFrame) -> DataFrame:
-    """Attach each corpus's own expressions (NULL where it has none)."""
-    return join_by_corpus(files, rules_by_corpus(own_rules), "left")
+def with_corpus_rules(
+    files: DataFrame, own_rules: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Attach each corpus's own expressions (NULL where it has none).
+
+    The expressions are measured first, which reads the rules only.  Within the bound they
+    are broadcast, so that files, which carry their contents here, are not shuffled; beyond
+    it the join is salted.
+    """
+    folded = rules_by_corpus(own_rules)
+    size = folded.agg(F.sum(
+        F.octet_length("corpus_id") + F.octet_length("itself_regex") + F.octet_length("ancestor_regex")
+    )).first()[0]
+    if (size or 0) <= broadcast_bytes:
+        return files.join(F.broadcast(folded), "corpus_id", "left")
+    return join_by_corpus(files, folded, "left")
 
 
 def with_scan_class(

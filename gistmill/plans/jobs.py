@@ -34,41 +34,43 @@ def assess(current: DataFrame, state: DataFrame, options: DigestOptions) -> Data
     return status.with_status(route.with_route(current, options), state)
 
 
-def _fresh(options: DigestOptions, run_time: datetime.datetime, content: Column) -> Column:
+def _fresh(run_time: datetime.datetime, content: Column) -> Column:
     return F.when(content.isNotNull(), F.struct(
         stamp(run_time).alias("summary_date"), F.col("checksum"), content.alias("content"),
     ))
 
 
 def conclude(
-    assessed: DataFrame, due: Column, content: Column, options: DigestOptions,
-    run_time: datetime.datetime,
+    assessed: DataFrame, due: Column, content: Column, run_time: datetime.datetime
 ) -> DataFrame:
     """Run log: per current file its status, route, outcome and resulting entry.
 
     Files that are not due have no outcome.  The entry columns are NULL where a file got
     no entry now and had none before.
     """
-    fresh = F.when(due, _fresh(options, run_time, content))
+    fresh = F.when(due, _fresh(run_time, content))
     finished = assessed.withColumn("fresh", fresh).withColumn("done", F.col("fresh").isNotNull())
     return finished.select(
         *KEY, "status", "route",
         F.when(due, report.outcome()).alias("outcome"),
-        F.coalesce("fresh", "previous").alias("entry"),
+        F.coalesce("fresh", status.previous_entry()).alias("entry"),
     ).select(*KEY, "status", "route", "outcome", "entry.*")
 
 
-def untouched_entries(current: DataFrame, state: DataFrame) -> DataFrame:
-    """Stored entries of corpora without any current file, which a run leaves alone.
+def with_untouched(log: DataFrame, state: DataFrame, names: DataFrame) -> DataFrame:
+    """Add the stored entries of corpora without any current file; a run leaves them alone.
 
-    The corpora concerned, usually none, are found from names only; the entries are read
-    only if there are some.
+    Usually there are none.  That is looked up first, from names only, because the stored
+    contents need not be read again then.  ``names`` has the keys of the current files.
     """
-    stored, present = state.select("corpus_id").distinct(), current.select("corpus_id").distinct()
-    return join_by_corpus(state, stored.join(present, "corpus_id", "left_anti"), "left_semi")
+    stored, present = state.select("corpus_id").distinct(), names.select("corpus_id").distinct()
+    absent = stored.join(present, "corpus_id", "left_anti")
+    if absent.isEmpty():
+        return log
+    return log.unionByName(join_by_corpus(state, absent, "left_semi"), allowMissingColumns=True)
 
 
-def plan_run(
+def plan_current(
     files: DataFrame,
     state: DataFrame,
     options: DigestOptions,
@@ -77,11 +79,28 @@ def plan_run(
     strict: bool = False,
     own_rules: DataFrame | None = None,
 ) -> DataFrame:
-    """Run log of an update, or of a rebuild with ``everything``, that needs no model."""
-    current = current_files(files, own_rules)
+    """Run log of the current files, for modes that need no model."""
     due = F.lit(True) if everything else status.is_due(strict)
-    log = conclude(assess(current, state, options), due, ready_content(options), options, run_time)
-    return log.unionByName(untouched_entries(current, state), allowMissingColumns=True)
+    assessed = assess(current_files(files, own_rules), state, options)
+    return conclude(assessed, due, ready_content(options), run_time)
+
+
+def plan_run(
+    files: DataFrame,
+    state: DataFrame,
+    options: DigestOptions,
+    run_time: datetime.datetime,
+    everything: bool = False,
+    own_rules: DataFrame | None = None,
+    names: DataFrame | None = None,
+) -> DataFrame:
+    """Run log of an update, or of a rebuild with ``everything``.
+
+    ``names`` may give the keys and sizes of the files where ``files`` itself cannot leave
+    out the contents, as when they are read from a file tree.
+    """
+    log = plan_current(files, state, options, run_time, everything, own_rules=own_rules)
+    return with_untouched(log, state, current_files(files if names is None else names, own_rules))
 
 
 def digest_of(log: DataFrame) -> DataFrame:
@@ -106,7 +125,7 @@ def process_files(
         rows = rows.where(status.is_due(strict=True))
     elif mode == "status":
         rows = rows.where(F.lit(False))
-    fresh = rows.withColumn("fresh", _fresh(options, run_time, ready_content(options)))
+    fresh = rows.withColumn("fresh", _fresh(run_time, ready_content(options)))
     return rendered(fresh.where(F.col("fresh").isNotNull()).select(*KEY, "fresh.*"))
 
 
@@ -155,6 +174,7 @@ def run_job(
     client: ChatClient | None = None,
     everything: bool = False,
     own_rules: DataFrame | None = None,
+    names: DataFrame | None = None,
     tasks: int | None = None,
 ) -> int:
     """Run an update, or a rebuild with ``everything``, and store the new version.
@@ -166,7 +186,9 @@ def run_job(
     options.require_key()
     state = store.read()
     if options.mode is not DigestMode.AI:
-        return store.write(plan_run(files, state, options, run_time, everything, own_rules=own_rules))
+        return store.write(
+            plan_run(files, state, options, run_time, everything, own_rules=own_rules, names=names)
+        )
     if client is None:
         raise ValueError("summarising with a model needs a client")
     current = current_files(files, own_rules)
@@ -179,9 +201,9 @@ def run_job(
     answers = _staged(spark, call_model(texts, options, client, tasks), "answers")
     log = conclude(
         assessed.join(answers.select(*KEY, "summary"), KEY, "left"),
-        F.col("due"), F.coalesce("payload", "summary"), options, run_time,
+        F.col("due"), F.coalesce("payload", "summary"), run_time,
     )
-    return store.write(log.unionByName(untouched_entries(current, state), allowMissingColumns=True))
+    return store.write(with_untouched(log, state, assessed))
 
 
 def _staged(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:

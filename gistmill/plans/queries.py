@@ -69,7 +69,7 @@ def _fresh(spark: SparkSession, folder: str, options: DigestOptions) -> DataFram
     """Fresh entries of all current files."""
     empty = testbed.state(spark, folder).where(F.lit(False))
     return jobs.digest_of(
-        jobs.plan_run(testbed.files(spark, folder), empty, options, testbed.RUN_TIME, everything=True)
+        jobs.plan_current(testbed.files(spark, folder), empty, options, testbed.RUN_TIME, everything=True)
     )
 
 
@@ -329,8 +329,9 @@ def outcome_counts(spark, folder):
 
 @query
 def completion_stats(spark, folder):
-    log = jobs.plan_run(testbed.files(spark, folder), testbed.state(spark, folder), MOCK, testbed.RUN_TIME)
-    return report.completion_stats(log.where(F.col("status").isNotNull()))
+    return report.completion_stats(jobs.plan_current(
+        testbed.files(spark, folder), testbed.state(spark, folder), MOCK, testbed.RUN_TIME
+    ))
 
 
 @query

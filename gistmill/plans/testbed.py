@@ -9,12 +9,10 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistmill import fixed_values as fv
-from gistmill.functions.text import checksum
-from gistmill.operators.once import add_once
 from gistmill.schemas import KEY
 
 RUN_TIME = datetime.datetime(2024, 9, 1, 12, 0, 0)
@@ -22,88 +20,73 @@ RUN_TIME = datetime.datetime(2024, 9, 1, 12, 0, 0)
 DIRECTORIES = ["src", "node_modules", "src/node_modules", "docs/_build", "pkg.egg-info", ".git"]
 EXTENSIONS = [".py", ".md", ".log", ".txt", ".tmp", ".js", ".rs", ".json"]
 
-def _id() -> Column:
-    return F.col("doc_id")
+# Given schemas spare every query a look into the tables' footers.
+_SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
+_PATH = f"""concat(
+  element_at(array({", ".join(f"'{d}'" for d in DIRECTORIES)}), cast(doc_id % 6 + 1 AS int)), '/', source, '/doc_', doc_id,
+  element_at(array({", ".join(f"'{e}'" for e in EXTENSIONS)}), cast(doc_id div 6 % 8 + 1 AS int)))"""
 
-def _pick(values: list[str], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
-
-
-def _div(number: Column, by: int) -> Column:
-    return F.floor(number / by)
+# Text of a document with newline, header, heading and control-character variants.
+_CONTENT = r"""encode(concat(
+  if(doc_id % 13 = 0, concat('## File: ', relative_path, '\n\n  '), ''),
+  CASE WHEN doc_id % 10 = 0 THEN replace(text, '. ', '.\r') WHEN doc_id % 5 = 0 THEN replace(text, '. ', '.\r\n') ELSE text END,
+  if(doc_id % 11 = 0, concat('\n## Notes\n\nsee doc ', doc_id), ''),
+  CASE WHEN doc_id % 7 <> 0 THEN '' WHEN doc_id div 7 % 3 = 0 THEN char(0)
+       WHEN doc_id div 7 % 3 = 1 THEN repeat(char(1), cast(length(text) div 5 + 1 AS int)) ELSE char(2) END
+), 'UTF-8')"""
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
-def document_path() -> Column:
-    return F.concat(
-        _pick(DIRECTORIES, _id() % 6), F.lit("/"), F.col("source"), F.lit("/doc_"),
-        _id().cast("string"), _pick(EXTENSIONS, _div(_id(), 6) % 8),
-    )
 
+def spread(table: DataFrame, *key: str) -> DataFrame:
+    """Deal a table out over the cores if it has fewer splits than there are cores.
 
-def file_text() -> Column:
-    """Text of a document with newline, header, heading and control-character variants."""
-    text = F.col("text")
-    text = F.when(_id() % 10 == 0, F.replace(text, F.lit(". "), F.lit(".\r"))).when(
-        _id() % 5 == 0, F.replace(text, F.lit(". "), F.lit(".\r\n"))
-    ).otherwise(text)
-    heading = F.concat(F.lit("\n## Notes\n\nsee doc "), _id().cast("string"))
-    text = F.concat(text, F.when(_id() % 11 == 0, heading).otherwise(F.lit("")))
-    header = F.concat(F.lit("## File: "), "relative_path", F.lit("\n\n  "))
-    text = F.concat(F.when(_id() % 13 == 0, header).otherwise(F.lit("")), text)
-    kind = _div(_id(), 7) % 3
-    noise = (
-        F.when(_id() % 7 != 0, F.lit(""))
-        .when(kind == 0, F.lit("\x00"))
-        .when(kind == 1, F.repeat(F.lit("\x01"), (_div(F.length("text"), 5) + 1).cast("int")))
-        .otherwise(F.lit("\x02"))
-    )
-    return F.concat(text, noise)
+    A small table written as one row group would otherwise be worked on by one task.  Large
+    tables have more splits than cores and are left as they are.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    splits = table._jdf.queryExecution().toRdd().getNumPartitions()
+    return table if splits >= cores else table.repartition(cores, *key)
 
 
 def _documents(spark: SparkSession, folder: str, by_source: bool) -> DataFrame:
     """Documents with their key and content."""
-    corpus = F.concat_ws("/", "lang", "source") if by_source else F.col("lang")
-    named = add_once(
-        read_table(spark, folder, "documents").withColumn("corpus_id", corpus),
-        relative_path=document_path(),
+    corpus = "concat(lang, '/', source)" if by_source else "lang"
+    return (
+        spread(read_table(spark, folder, "documents"), "doc_id")
+        .selectExpr("doc_id", "text", "source", f"{corpus} AS corpus_id", f"inline(array(struct({_PATH} AS relative_path)))")
+        .selectExpr("doc_id", *KEY, f"inline(array(struct({_CONTENT} AS content)))")
     )
-    return add_once(named, content=F.encode(file_text(), "UTF-8")).drop("text")
 
 
 def files(spark: SparkSession, folder: str, by_source: bool = False) -> DataFrame:
     """Documents as files; one corpus per language, or per language and source."""
-    return (
-        _documents(spark, folder, by_source)
-        .select(
-            *KEY,
-            F.concat(F.lit("/corpora/"), "corpus_id", F.lit("/"), "relative_path").alias("path"),
-            (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-             + F.make_dt_interval(mins=_id().cast("int"))).alias("modified_time"),
-            "content",
-            F.octet_length("content").cast("long").alias("size"),
-            checksum(F.col("content")).alias("checksum"),
-        )
+    return _documents(spark, folder, by_source).selectExpr(
+        *KEY,
+        "concat('/corpora/', corpus_id, '/', relative_path) AS path",
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id AS int), 0) AS modified_time",
+        "content",
+        "cast(octet_length(content) AS bigint) AS size",
+        "sha2(content, 256) AS checksum",
     )
 
 
 def page_files(spark: SparkSession, folder: str) -> DataFrame:
     """Web pages as the files of one more corpus."""
-    inside = F.concat(
-        F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/page_"), F.col("page_id").cast("string"),
-        F.lit(".html"),
-    )
-    return read_table(spark, folder, "pages").select(
-        F.lit("pages").alias("corpus_id"),
-        F.concat(F.lit("/corpora/pages/"), inside).alias("path"),
-        inside.alias("relative_path"),
-        F.octet_length("html").cast("long").alias("size"),
-        F.lit("2024-03-01 00:00:00").cast("timestamp_ntz").alias("modified_time"),
-        F.encode("html", "UTF-8").alias("content"),
+    return read_table(spark, folder, "pages").selectExpr(
+        "'pages' AS corpus_id",
+        "concat('/corpora/pages/', url) AS path",
+        "concat(regexp_replace(url, '^[a-z]+://', ''), '/page_', page_id, '.html') AS relative_path",
+        "cast(octet_length(html) AS bigint) AS size",
+        "timestamp_ntz'2024-03-01 00:00:00' AS modified_time",
+        "encode(html, 'UTF-8') AS content",
     )
 
 
@@ -113,81 +96,56 @@ def state(spark: SparkSession, folder: str, by_source: bool = False) -> DataFram
     Some entries are of files that are gone, some of a corpus that is.
     """
     documents = _documents(spark, folder, by_source)
-    case = _div(_id(), 48) % 4
-    number = _id().cast("string")
-    date = (F.lit("2023-06-01 00:00:00").cast("timestamp_ntz")
-            + F.make_dt_interval(hours=(_id() % 5000).cast("int"))).alias("summary_date")
-    summary = F.concat(
-        F.lit("Earlier summary of doc "), number,
-        F.when(_id() % 11 == 0, F.lit("\n## Usage\nrun it")).otherwise(F.lit("")),
-    ).alias("content")
-    present = checksum(F.col("content"))
-    other = checksum(F.encode(F.concat(F.lit("old "), number), "UTF-8"))
-    known = documents.where(case != 0).select(
+    date = "timestamp_ntz'2023-06-01 00:00:00' + make_dt_interval(0, cast(doc_id % 5000 AS int), 0, 0) AS summary_date"
+    other = "sha2(encode(concat('old ', doc_id), 'UTF-8'), 256)"
+    summary = r"concat('Earlier summary of doc ', doc_id, if(doc_id % 11 = 0, '\n## Usage\nrun it', '')) AS content"
+    known = documents.where("doc_id div 48 % 4 <> 0").selectExpr(
         *KEY, date,
-        F.when(case == 1, other).when(case == 3, present).alias("checksum"), summary,
+        f"CASE doc_id div 48 % 4 WHEN 1 THEN {other} WHEN 3 THEN sha2(content, 256) END AS checksum",
+        summary,
     )
-    stale = documents.where(_id() % 10 == 0).select(
-        "corpus_id",
-        F.concat(F.lit("gone/doc_"), number).alias("relative_path"), date,
-        other.alias("checksum"), summary,
+    stale = documents.where("doc_id % 10 = 0").selectExpr(
+        "corpus_id", "concat('gone/doc_', doc_id) AS relative_path", date, f"{other} AS checksum", summary
     )
-    retired = documents.where(_id() % 50 == 0).select(
-        F.lit("retired").alias("corpus_id"),
-        F.concat(F.lit("old/doc_"), number).alias("relative_path"), date,
-        other.alias("checksum"), summary,
+    retired = documents.where("doc_id % 50 = 0").selectExpr(
+        "'retired' AS corpus_id", "concat('old/doc_', doc_id) AS relative_path", date,
+        f"{other} AS checksum", summary,
     )
     return known.unionByName(stale).unionByName(retired)
 
 
 def rule_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of rule files: one per document, many of them alike, blank or comments."""
-    line = (
-        F.when(_id() % 5 == 0, F.concat(F.lit("  src/"), "source", F.lit("/* ")))
-        .when(_id() % 5 == 1, F.lit("# comment"))
-        .when(_id() % 5 == 2, F.lit(" \t"))
-        .when(_id() % 5 == 3, F.concat(F.lit("doc_?"), (_id() % 7).cast("string"), F.lit(".[jm]*")))
-        .otherwise(F.lit("\t*.rs "))
-    )
+    line = r"""CASE doc_id % 5
+      WHEN 0 THEN concat('  src/', source, '/* ') WHEN 1 THEN '# comment' WHEN 2 THEN ' \t'
+      WHEN 3 THEN concat('doc_?', doc_id % 7, '.[jm]*') ELSE '\t*.rs ' END AS line"""
     return read_table(spark, folder, "documents").where(
-        F.substring("source", -1, 1).isin("1", "2", "3")
-    ).select(F.col("lang").alias("corpus_id"), line.alias("line"))
+        "substring(source, -1, 1) IN ('1', '2', '3')"
+    ).selectExpr("lang AS corpus_id", line)
 
 
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
     """Assistant turns as responses of a model: one file per conversation, one attempt per turn."""
-    turn, conversation = F.col("turn"), F.col("conv_id")
-    case = (conversation * 7 + turn * 3) % 11
-    path = F.concat(F.lit("conv_"), conversation.cast("string"))
-    reply = F.concat(
-        F.when(conversation % 3 == 0, F.concat(F.lit("## File: "), path, F.lit("\n\n"))).otherwise(F.lit(" \n")),
-        F.col("text"), F.lit(" \n"),
-    )
-    choices = F.to_json(F.struct(F.array(F.struct(
-        F.struct(F.lit("assistant").alias("role"), reply.alias("content")).alias("message")
-    )).alias("choices")))
-    kind = F.when(case == 2, "timeout").when(case == 3, "connection").when(case == 4, "request").when(
-        case == 5, "unexpected"
-    )
-    return read_table(spark, folder, "conversations").where(F.col("role") == "assistant").select(
-        F.concat(F.lit("c"), (conversation % 4).cast("string")).alias("corpus_id"),
-        path.alias("relative_path"),
-        _div(turn + 1, 2).cast("int").alias("attempt"),
-        F.when(kind.isNull(), F.when(case == 0, 500).when(case == 1, 429).otherwise(200)).alias("status_code"),
-        kind.alias("error_kind"),
-        F.when(case == 0, F.lit("busy")).when(case == 1, F.lit("slow down"))
-        .when(kind.isNotNull(), F.lit("no route"))
-        .when(case == 6, F.lit('{"choices": []}')).when(case == 7, F.lit('{"usage": 1}'))
-        .otherwise(choices).alias("body"),
+    return read_table(spark, folder, "conversations").where("role = 'assistant'").selectExpr(
+        "*", "(conv_id * 7 + turn * 3) % 11 AS kind", "concat('conv_', conv_id) AS relative_path"
+    ).selectExpr(
+        "concat('c', conv_id % 4) AS corpus_id",
+        "relative_path",
+        "cast((turn + 1) div 2 AS int) AS attempt",
+        "CASE WHEN kind = 0 THEN 500 WHEN kind = 1 THEN 429 WHEN kind > 5 THEN 200 END AS status_code",
+        "CASE kind WHEN 2 THEN 'timeout' WHEN 3 THEN 'connection' WHEN 4 THEN 'request' WHEN 5 THEN 'unexpected' END AS error_kind",
+        r"""CASE WHEN kind = 0 THEN 'busy' WHEN kind = 1 THEN 'slow down' WHEN kind < 6 THEN 'no route'
+          WHEN kind = 6 THEN '{"choices": []}' WHEN kind = 7 THEN '{"usage": 1}'
+          ELSE to_json(named_struct('choices', array(named_struct('message', named_struct('role', 'assistant', 'content',
+            concat(if(conv_id % 3 = 0, concat('## File: ', relative_path, '\n\n'), ' \n'), text, ' \n')))))) END AS body""",
     )
 
 
 def results(spark: SparkSession, folder: str) -> DataFrame:
     """Assistant turns as result texts, some of them failures."""
-    failed = (F.col("conv_id") + F.col("turn")) % 4 == 0
-    return read_table(spark, folder, "conversations").where(F.col("role") == "assistant").select(
-        F.concat(F.lit("c"), (F.col("conv_id") % 4).cast("string")).alias("corpus_id"),
-        F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
-        .alias("relative_path"),
-        F.when(failed, F.concat(F.lit("Error: "), F.lit(fv.NO_CHOICES))).otherwise(F.col("text")).alias("summary"),
+    return read_table(spark, folder, "conversations").where("role = 'assistant'").select(
+        F.expr("concat('c', conv_id % 4)").alias("corpus_id"),
+        F.expr("concat('conv_', conv_id, '/', turn)").alias("relative_path"),
+        F.when(F.expr("(conv_id + turn) % 4 = 0"), F.lit(f"Error: {fv.NO_CHOICES}"))
+        .otherwise(F.col("text")).alias("summary"),
     )

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistmill.functions.text import normalise_newlines, strip
-from gistmill.operators.digest import ONE_DOCUMENT_BYTES, digest_documents
 from gistmill.schemas import KEY, STATE
 from gistmill.sources.owned_text import read_owned_texts
 
@@ -45,19 +44,16 @@ def import_digest(documents: DataFrame) -> DataFrame:
     return last.select(*KEY, "entry.*").select(*STATE.fieldNames())
 
 
-def write_digest_texts(
-    lines: DataFrame, path: str, one_document_bytes: int = ONE_DOCUMENT_BYTES
-) -> None:
+def write_digest_texts(lines: DataFrame, path: str) -> None:
     """Write digest texts below ``path``, one folder ``corpus_id=…`` per corpus.
 
-    A corpus within the size bound is one file.  A larger one is several, each a range of
-    its paths; in name order they make up the text.
+    Rows are dealt out by ranges of corpus and path, whatever the size of a corpus.  The
+    files of a folder, one unless the corpus is large, make up its text in name order.
     """
-    pieces = digest_documents(lines, one_document_bytes)
     (
-        pieces.repartitionByRange("corpus_id", "first_path")
-        .sortWithinPartitions("corpus_id", "first_path")
+        lines.repartitionByRange("corpus_id", "relative_path")
+        .sortWithinPartitions("corpus_id", "relative_path")
         # every piece ends in a newline, and so does every row of a text file
-        .select("corpus_id", F.regexp_replace("document", r"\n\z", "").alias("value"))
+        .select("corpus_id", F.regexp_replace("value", r"\n\z", "").alias("value"))
         .write.partitionBy("corpus_id").mode("errorifexists").text(path)
     )
