@@ -14,7 +14,7 @@ from gistmill.schemas import FILES
 
 
 def plain_path(path: Column) -> Column:
-    """File URI without its percent escapes; a plus sign stays one."""
+    """File URI of a metadata column without its percent escapes; a plus sign stays one."""
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
@@ -32,7 +32,7 @@ def qualified_path(spark: SparkSession, path: str) -> str:
 def read_objects(spark: SparkSession, root: str, corpus_id: str | None = None) -> DataFrame:
     """Files below ``root`` as one corpus, or, without ``corpus_id``, one corpus per child directory."""
     source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    below = relative_path(plain_path(F.col("path")), F.lit(qualified_path(spark, root)))
+    below = relative_path(F.col("path"), F.lit(qualified_path(spark, root)))
     if corpus_id is None:
         corpus = F.substring_index(below, "/", 1)
         inside, wanted = relative_path(below, corpus), F.contains(below, F.lit("/"))
@@ -40,7 +40,7 @@ def read_objects(spark: SparkSession, root: str, corpus_id: str | None = None) -
         corpus, inside, wanted = F.lit(corpus_id), below, F.lit(True)
     return source.where(wanted).select(
         corpus.alias("corpus_id"),
-        plain_path(F.col("path")).alias("path"),
+        "path",
         inside.alias("relative_path"),
         F.col("length").alias("size"),
         F.col("modificationTime").cast("timestamp_ntz").alias("modified_time"),

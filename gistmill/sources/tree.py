@@ -13,6 +13,7 @@ import json
 import os
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,6 @@ from gistmill import fixed_values as fv
 from gistmill.functions.globs import RuleRegex, compile_rules
 from gistmill.functions.text import checksum
 from gistmill.schemas import FILES, KEY, LISTING
-from gistmill.sources.owned_text import read_owned_texts
 
 # A task hands over file contents in batches of about this many bytes.
 BATCH_BYTES = 64 * 1024 * 1024
@@ -191,10 +191,21 @@ def read_contents(listing: DataFrame, tasks: int | None = None) -> DataFrame:
 def rule_lines(
     spark: SparkSession, roots: dict[str, str], ignore_file: str = fv.IGNORE_FILE
 ) -> DataFrame:
-    """``corpus_id, line`` of the rule files at the corpus roots; missing files give no rows."""
-    found = {
-        corpus: os.path.join(os.path.abspath(root), ignore_file)
-        for corpus, root in roots.items()
-        if os.access(os.path.join(root, ignore_file), os.R_OK)
-    }
-    return read_owned_texts(spark, found).withColumnRenamed("value", "line")
+    """``corpus_id, line`` of the rule files at the corpus roots; missing files give no rows.
+
+    Tasks read the files: Spark's text source passes over names that start with a dot.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [
+                (corpus, line)
+                for corpus, root in zip(batch["corpus_id"], batch["root"])
+                for line in rule_file_lines(root, ignore_file)
+            ]
+            yield pd.DataFrame(found, columns=["corpus_id", "line"], dtype="object")
+
+    corpora = spark.createDataFrame(
+        [(corpus, os.path.abspath(root)) for corpus, root in roots.items()], "corpus_id string, root string"
+    )
+    return corpora.mapInPandas(read, "corpus_id string, line string")
