@@ -29,8 +29,8 @@ class DigestOptions:
 
     mode: DigestMode = DigestMode.AI
     api_key: str | None = None
-    api_url: str | None = None
-    model: str = "codestral-latest"
+    api_url: str = fv.API_URL
+    model: str = fv.MODEL
     token_threshold: int = fv.TOKEN_THRESHOLD
     timeout: float = fv.TIMEOUT_SECONDS
     retry_attempts: int = fv.RETRY_ATTEMPTS

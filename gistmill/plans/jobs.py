@@ -21,6 +21,7 @@ from gistmill.operators.summarise import ChatClient, call_model, ready_content
 from gistmill.options import DigestMode, DigestOptions
 from gistmill.schemas import KEY, STATE
 from gistmill.session import staging_path
+from gistmill.sources.http_chat import HttpChatClient
 from gistmill.sources.tables import StateStore
 
 
@@ -179,7 +180,8 @@ def run_job(
 ) -> int:
     """Run an update, or a rebuild with ``everything``, and store the new version.
 
-    Deletions are applied even when nothing else changed.  With a model the run has three
+    Deletions are applied even when nothing else changed.  ``client`` may replace the HTTP
+    endpoint of the options.  With a model the run has three
     writes: the assessment, the answers, and the new version; whatever is lost is computed
     again from the last of them.
     """
@@ -189,8 +191,7 @@ def run_job(
         return store.write(
             plan_run(files, state, options, run_time, everything, own_rules=own_rules, names=names)
         )
-    if client is None:
-        raise ValueError("summarising with a model needs a client")
+    client = client or HttpChatClient.for_options(options)
     current = current_files(files, own_rules)
     due = F.lit(True) if everything else status.is_due()
     assessed = _staged(

@@ -232,6 +232,27 @@ folded AS (
   FROM attempts WHERE attempt <= {fv.RETRY_ATTEMPTS} AND {condition} GROUP BY corpus_id, relative_path)"""
 
 
+# A digest text cut at its second-level headings; sections without an entry mark are, as in
+# a single regular expression over the text, the beginning of the next entry's path.
+_MARK = r"\n\nSummarized on (\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})(?: \(checksum: ([a-f0-9]{64}|unreadable)\))?\n\n"
+_IMPORT = f"""
+sections AS (
+  SELECT corpus_id, unnest(string_split(document, chr(10) || '## ')) AS part,
+    unnest(range(1, len(string_split(document, chr(10) || '## ')) + 1)) AS place FROM texts),
+marked AS (SELECT *, regexp_matches(part, {_quoted(_MARK)}) AS has_mark FROM sections WHERE place > 1),
+grouped AS (
+  SELECT *, count(*) FILTER (WHERE has_mark) OVER (
+    PARTITION BY corpus_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM marked),
+joined AS (
+  SELECT corpus_id, g, string_agg(part, chr(10) || '## ' ORDER BY place) AS e FROM grouped
+  GROUP BY corpus_id, g HAVING bool_or(has_mark)),
+imported AS (
+  SELECT corpus_id, g, regexp_extract(e, {_quoted('(?s)^(.+?)' + _MARK + '(.*)$')}, ['path', 'date', 'checksum', 'content']) AS f
+  FROM joined),
+numbered AS (
+  SELECT corpus_id, f, row_number() OVER (PARTITION BY corpus_id, f.path ORDER BY g DESC) AS newest FROM imported)"""
+
+
 def _with(*parts: str, corpus: str = "lang") -> str:
     return "WITH " + ", ".join(part.strip() for part in parts).replace("@CORPUS@", corpus) + "\n"
 
@@ -250,6 +271,9 @@ def oracle_sql() -> dict[str, str]:
         "corpus_scan": everything + f"SELECT corpus_id, relative_path, size, strftime(modified_time, {_STAMP}) AS modified, checksum FROM all_files",
         "ignore_rules": _with(_DEFAULTS, _OWN_RULES, _RULES) + "SELECT corpus_id, pattern FROM rules",
         "digest_lines": _with(_FILES, _STATE, _LINES) + "SELECT corpus_id, relative_path, value FROM lines",
+        "digest_import": _with(_FILES, _STATE, _LINES, _IMPORT) + f"""
+SELECT corpus_id, f.path AS relative_path, f.date AS summary_date, nullif(f.checksum, '') AS checksum,
+  trim(f.content, {_BLANKS}) AS content FROM numbered WHERE newest = 1""",
         # filters
         "ignore_match": _with(_FILES, _PAGES, _DEFAULTS) + f"""
 SELECT corpus_id, relative_path, EXISTS (SELECT 1 FROM defaults WHERE {_hit('relative_path')}) AS ignored FROM all_files""",

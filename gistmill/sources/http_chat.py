@@ -1,0 +1,38 @@
+"""Chat endpoint over HTTP."""
+
+from __future__ import annotations
+
+import dataclasses
+import urllib.error
+import urllib.request
+
+from gistmill.options import DigestOptions
+
+
+@dataclasses.dataclass(frozen=True)
+class HttpChatClient:
+    """Posts one request; what it raises says whether time or the connection ran out."""
+
+    api_url: str
+    api_key: str
+    timeout: float
+
+    @classmethod
+    def for_options(cls, options: DigestOptions) -> "HttpChatClient":
+        return cls(options.api_url, options.api_key or "", options.timeout)
+
+    def __call__(self, request: str) -> tuple[int, str]:
+        post = urllib.request.Request(
+            self.api_url,
+            data=request.encode("utf-8"),
+            headers={"Authorization": f"Bearer {self.api_key}", "Content-Type": "application/json"},
+        )
+        try:
+            with urllib.request.urlopen(post, timeout=self.timeout) as response:
+                return response.status, response.read().decode("utf-8", "replace")
+        except urllib.error.HTTPError as error:
+            return error.code, error.read().decode("utf-8", "replace")
+        except urllib.error.URLError as error:
+            if isinstance(error.reason, TimeoutError):
+                raise TimeoutError(str(error.reason)) from error
+            raise ConnectionError(str(error.reason)) from error

@@ -171,3 +171,38 @@ def test_failed_texts_and_mode_switch(spark):
     assert [r.relative_path for r in summarise.drop_failed(frame).collect()] == ["b"]
     assert DigestMode.choose(mock=True, copy=True) is DigestMode.MOCK
     assert DigestMode.choose(copy=True) is DigestMode.COPY and DigestMode.choose() is DigestMode.AI
+
+
+def test_http_client(monkeypatch):
+    import io
+    import urllib.error
+    import urllib.request
+
+    from gistmill.sources.http_chat import HttpChatClient
+
+    client = HttpChatClient.for_options(DigestOptions(api_key="secret", api_url="http://model.invalid/chat", timeout=5.0))
+    seen = []
+
+    class Response(io.BytesIO):
+        status = 200
+
+    def answering(post, timeout):
+        seen.append((post.full_url, post.get_header("Authorization"), post.data, timeout))
+        return Response(b'{"choices": []}')
+
+    def raising(error):
+        def urlopen(post, timeout):
+            raise error
+        return urlopen
+
+    monkeypatch.setattr(urllib.request, "urlopen", answering)
+    assert client('{"a": 1}') == (200, '{"choices": []}')
+    assert seen == [("http://model.invalid/chat", "Bearer secret", b'{"a": 1}', 5.0)]
+    refused = urllib.error.HTTPError("http://model.invalid", 429, "slow", {}, io.BytesIO(b"slow down"))
+    monkeypatch.setattr(urllib.request, "urlopen", raising(refused))
+    assert client("{}") == (429, "slow down")
+    for reason, kind in ((TimeoutError("t"), "timeout"), (OSError("no route"), "connection")):
+        monkeypatch.setattr(urllib.request, "urlopen", raising(urllib.error.URLError(reason)))
+        with pytest.raises(Exception) as caught:
+            client("{}")
+        assert summarise._error_kind(caught.value) == kind
