@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import dataclasses
 import datetime
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.functions import text as tx
@@ -19,8 +20,8 @@ from gistmill.operators.digest import rendered, stamp
 from gistmill.operators.skew import join_by_corpus
 from gistmill.operators.summarise import ChatClient, call_model, ready_content
 from gistmill.options import DigestMode, DigestOptions
-from gistmill.schemas import KEY, STATE
-from gistmill.session import staging_path
+from gistmill.schemas import KEY, LISTING, STATE
+from gistmill.session import staged
 from gistmill.sources.http_chat import HttpChatClient
 from gistmill.sources.tables import StateStore
 
@@ -167,23 +168,24 @@ def status_job(
 
 
 def run_job(
-    spark: SparkSession,
     files: DataFrame,
     store: StateStore,
     options: DigestOptions,
     run_time: datetime.datetime,
-    client: ChatClient | None = None,
     everything: bool = False,
     own_rules: DataFrame | None = None,
     names: DataFrame | None = None,
+    client: ChatClient | None = None,
+    fetch: Callable[[DataFrame], DataFrame] | None = None,
     tasks: int | None = None,
 ) -> int:
     """Run an update, or a rebuild with ``everything``, and store the new version.
 
-    Deletions are applied even when nothing else changed.  ``client`` may replace the HTTP
-    endpoint of the options.  With a model the run has three
+    Deletions are applied even when nothing else changed.  With a model the run has three
     writes: the assessment, the answers, and the new version; whatever is lost is computed
-    again from the last of them.
+    again from the last of them.  ``client`` may replace the HTTP endpoint of the options.
+    ``fetch`` reads the contents of listed files, so that only the files to be summarised
+    are opened again; without it ``files`` is scanned again for them.
     """
     options.require_key()
     state = store.read()
@@ -191,24 +193,22 @@ def run_job(
         return store.write(
             plan_run(files, state, options, run_time, everything, own_rules=own_rules, names=names)
         )
-    client = client or HttpChatClient.for_options(options)
     current = current_files(files, own_rules)
     due = F.lit(True) if everything else status.is_due()
-    assessed = _staged(
-        spark, assess(current, state, options).withColumn("due", due), "assessed"
+    assessed = staged(assess(current, state, options).withColumn("due", due), "assessed")
+    asked = assessed.where(F.col("due") & (F.col("route") == route.SUMMARISE))
+    if fetch is None:
+        contents = current.join(asked.select(*KEY), KEY, "left_semi")
+    else:
+        contents = fetch(asked.select(*LISTING.fieldNames()))
+    answers = staged(
+        call_model(
+            route.with_text(contents), options, client or HttpChatClient.for_options(options), tasks
+        ),
+        "answers",
     )
-    asked = assessed.where(F.col("due") & (F.col("route") == route.SUMMARISE)).select(*KEY)
-    texts = route.with_text(current.join(asked, KEY, "left_semi"))
-    answers = _staged(spark, call_model(texts, options, client, tasks), "answers")
     log = conclude(
         assessed.join(answers.select(*KEY, "summary"), KEY, "left"),
         F.col("due"), F.coalesce("payload", "summary"), run_time,
     )
     return store.write(with_untouched(log, state, assessed))
-
-
-def _staged(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
-    """Write rows to the shared staging folder and read them back."""
-    path = staging_path(spark, label)
-    rows.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)

@@ -13,6 +13,7 @@ from gistmill.functions import chat, entries
 from gistmill.functions import text as tx
 from gistmill.operators import digest as dg
 from gistmill.operators import ignore, report, route, status, summarise
+from gistmill.operators.once import add_once
 from gistmill.options import DigestMode, DigestOptions
 from gistmill.plans import jobs, testbed
 from gistmill.schemas import KEY
@@ -393,9 +394,9 @@ class UnsteadyClient:
 
 @query
 def model_answers(spark, folder):
-    texts = route.with_route(_current(spark, folder), MODEL).where(F.col("route") == route.SUMMARISE)
-    asked = _current(spark, folder).join(texts.select(*KEY), KEY, "left_semi")
-    return summarise.call_model(route.with_text(asked), MODEL, UnsteadyClient())
+    texts = add_once(route.with_text(_current(spark, folder)), route=route.route(MODEL))
+    asked = texts.where(F.col("route") == route.SUMMARISE)
+    return summarise.call_model(asked, MODEL, UnsteadyClient())
 
 
 # ---- jobs ----------------------------------------------------------------------------

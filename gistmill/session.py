@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "gistmill", master: str | None = None, **conf) -> SparkSession:
@@ -39,3 +39,10 @@ def staging_path(spark: SparkSession, label: str) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gistmill-staging-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def staged(rows: DataFrame, label: str) -> DataFrame:
+    """Write rows to the shared staging folder and read them back, evaluating them once."""
+    path = staging_path(rows.sparkSession, label)
+    rows.write.mode("errorifexists").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

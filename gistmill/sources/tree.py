@@ -1,30 +1,37 @@
 """File trees on a shared mount, with every file a directory walk sees.
 
 Spark's own ``binaryFile`` source leaves out empty files and names starting with ``_`` or
-``.``; see :mod:`gistmill.sources.objects` for stores where that is acceptable.  This one
-lists through a Python data source: the driver only opens directories until there are
-enough of them to hand out, the tasks list the rest.
+``.``; see :mod:`gistmill.sources.objects` for stores where that is acceptable.  Here the
+tasks walk the directories, in rounds: a task that has opened its share hands the rest of
+its directories back, and the next round deals them out over all tasks.  A corpus that
+holds most of the files is thus spread like any other.
 """
 
 from __future__ import annotations
 
 import datetime
-import json
+import functools
+import math
 import os
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gistmill import fixed_values as fv
 from gistmill.functions.globs import RuleRegex, compile_rules
 from gistmill.functions.text import checksum
 from gistmill.schemas import FILES, KEY, LISTING
+from gistmill.session import staged
 
-# A task hands over file contents in batches of about this many bytes.
+# A task opens this many directories in a round, and hands over rows in batches.
+DIRECTORIES_PER_TASK = 2000
+BATCH_ROWS = 10_000
+# A task reads about this many bytes of files, and hands contents over in smaller batches.
+BYTES_PER_TASK = 256 * 1024 * 1024
 BATCH_BYTES = 64 * 1024 * 1024
 
 
@@ -38,51 +45,12 @@ def rule_file_lines(root: str, ignore_file: str = fv.IGNORE_FILE) -> list[str]:
     return [line for line in stripped if line and not line.startswith("#")]
 
 
-class _Directories(InputPartition):
-    """``(corpus_id, root, relative directory, whether to go below it)`` tuples."""
-
-    def __init__(self, directories: list[tuple[str, str, str, bool]]):
-        self.directories = directories
-
-
-class _TreeReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.roots = json.loads(options["roots"])
-        self.wanted = int(options["partitions"])
-        self.ignore_file = options["ignore_file"]
-        self.rules: dict[str, RuleRegex] = {}
-
-    def _rules(self, root: str) -> RuleRegex:
-        if root not in self.rules:
-            own = rule_file_lines(root, self.ignore_file)
-            self.rules[root] = compile_rules(fv.DEFAULT_IGNORE_RULES + tuple(own), fv.DIGEST_FILE)
-        return self.rules[root]
-
-    def partitions(self) -> list[InputPartition]:
-        # Open level after level until there is enough to share out, so that a corpus or
-        # directory holding most of the files does not end up in one task.
-        opened, frontier = [], [(corpus, root, "") for corpus, root in self.roots]
-        while frontier and len(opened) + len(frontier) < self.wanted:
-            below = []
-            for corpus, root, directory in frontier:
-                opened.append((corpus, root, directory, False))
-                children = _entries(root, directory, self._rules(root))
-                below += [(corpus, root, path) for path, entry in children if entry is None]
-            frontier = below
-        units = opened + [(*directory, True) for directory in frontier]
-        return [
-            _Directories(units[start::self.wanted]) for start in range(min(self.wanted, len(units)))
-        ] or [_Directories([])]
-
-    def read(self, partition: _Directories) -> Iterator[tuple]:
-        for corpus, root, directory, deep in partition.directories:
-            rules, waiting = self._rules(root), [directory]
-            while waiting:
-                for path, entry in _entries(root, waiting.pop(), rules):
-                    if entry is not None:
-                        yield _listing_row(corpus, root, path, entry)
-                    elif deep:
-                        waiting.append(path)
+# What a walk finds: files with their listing columns, and directories still to be opened.
+_FOUND = "corpus_id string, root string, relative_path string, size bigint, modified_time timestamp_ntz, is_directory boolean"
+_FOUND_ARROW = pa.schema([
+    ("corpus_id", pa.string()), ("root", pa.string()), ("relative_path", pa.string()),
+    ("size", pa.int64()), ("modified_time", pa.timestamp("us")), ("is_directory", pa.bool_()),
+])
 
 
 def _entries(root: str, directory: str, rules: RuleRegex) -> Iterator[tuple[str, os.DirEntry | None]]:
@@ -104,39 +72,49 @@ def _entries(root: str, directory: str, rules: RuleRegex) -> Iterator[tuple[str,
                 yield path, None
 
 
-def _listing_row(corpus: str, root: str, path: str, entry: os.DirEntry) -> tuple:
+def _file_row(corpus: str, root: str, path: str, entry: os.DirEntry) -> tuple:
     try:
         found = entry.stat()
         size, modified = found.st_size, datetime.datetime.fromtimestamp(found.st_mtime)
     except OSError:
         size = modified = None
-    return corpus, os.path.join(root, path), path, size, modified
+    return corpus, root, path, size, modified, False
 
 
-class CorpusTree(DataSource):
-    """Data source ``gistmill_tree``: one row per file, without contents."""
+def _walk(directories: Iterator[tuple[str, str, str]], limit: int, ignore_file: str) -> Iterator[tuple]:
+    """Open up to ``limit`` directories, nearest first; hand back those left over."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "gistmill_tree"
+    @functools.cache
+    def rules(root: str) -> RuleRegex:
+        own = rule_file_lines(root, ignore_file)
+        return compile_rules(fv.DEFAULT_IGNORE_RULES + tuple(own), fv.DIGEST_FILE)
 
-    def schema(self):
-        return LISTING
-
-    def reader(self, schema) -> DataSourceReader:
-        return _TreeReader(self.options)
+    waiting, opened = deque(), 0
+    for given in directories:
+        waiting.append(given)
+        while waiting and opened < limit:
+            corpus, root, directory = waiting.popleft()
+            opened += 1
+            for path, entry in _entries(root, directory, rules(root)):
+                if entry is None:
+                    waiting.append((corpus, root, path))
+                else:
+                    yield _file_row(corpus, root, path, entry)
+        while waiting:
+            yield *waiting.popleft(), None, None, True
 
 
 def list_corpora(
     spark: SparkSession,
     roots: dict[str, str],
-    partitions: int | None = None,
     ignore_file: str = fv.IGNORE_FILE,
+    directories_per_task: int = DIRECTORIES_PER_TASK,
 ) -> DataFrame:
     """List the files of corpora given as ``{corpus_id: directory}``.
 
     Directories the rules exclude are not entered.  A file without ``size`` could not be
-    examined; it counts as ignored.
+    examined; it counts as ignored.  The listing is written to the staging folder, so using
+    it again does not walk again.
     """
     absolute = {corpus: os.path.abspath(root) for corpus, root in roots.items()}
     for root in absolute.values():
@@ -144,13 +122,36 @@ def list_corpora(
             raise ValueError(f"Directory does not exist: {root}")
         if not os.path.isdir(root):
             raise ValueError(f"Path is not a directory: {root}")
-    spark.dataSource.register(CorpusTree)
-    return (
-        spark.read.format("gistmill_tree")
-        .option("roots", json.dumps(sorted(absolute.items())))
-        .option("partitions", partitions or 4 * spark.sparkContext.defaultParallelism)
-        .option("ignore_file", ignore_file)
-        .load()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = (
+            (row["corpus_id"], row["root"], row["relative_path"]) for batch in batches for row in batch.to_pylist()
+        )
+        rows = []
+        for row in _walk(given, directories_per_task, ignore_file):
+            rows.append(dict(zip(_FOUND_ARROW.names, row)))
+            if len(rows) == BATCH_ROWS:
+                yield pa.RecordBatch.from_pylist(rows, schema=_FOUND_ARROW)
+                rows = []
+        yield pa.RecordBatch.from_pylist(rows, schema=_FOUND_ARROW)
+
+    frontier = spark.createDataFrame(
+        [(corpus, root, "") for corpus, root in absolute.items()], "corpus_id string, root string, relative_path string"
+    )
+    tasks = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    listing = None
+    while True:
+        # a fixed number: by their few bytes the directories would be merged into one task
+        found = staged(frontier.repartition(tasks, *KEY).mapInArrow(walk, _FOUND), "listing")
+        files = found.where(~F.col("is_directory"))
+        listing = files if listing is None else listing.unionByName(files)
+        frontier = found.where("is_directory").select("corpus_id", "root", "relative_path")
+        if frontier.isEmpty():
+            break
+    return listing.select(
+        "corpus_id", F.concat("root", F.lit("/"), "relative_path").alias("path"), "relative_path", "size", "modified_time"
     )
 
 
@@ -179,9 +180,15 @@ def read_contents(listing: DataFrame, tasks: int | None = None) -> DataFrame:
     """Add ``content`` and ``checksum``; content is NULL where a file cannot be read.
 
     Files are dealt out by the hash of their path first, so the files of one big directory
-    are read by all tasks.
+    are read by all tasks.  There are as many tasks as the listed sizes call for, unless
+    ``tasks`` says otherwise.
     """
-    spread = listing.repartition(tasks, *KEY) if tasks else listing.repartition(*KEY)
+    if tasks is None:
+        total = listing.agg(F.sum("size")).first()[0] or 0
+        tasks = max(
+            listing.sparkSession.sparkContext.defaultParallelism, math.ceil(total / BYTES_PER_TASK)
+        )
+    spread = listing.repartition(tasks, *KEY)
     columns = LISTING.fieldNames()
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LISTING) + ", content binary"
     read = spread.select(*columns).mapInArrow(_read_batches, schema)

@@ -24,7 +24,7 @@ MOCK = DigestOptions(mode=DigestMode.MOCK)
 
 
 def scan(spark, **roots):
-    return trees.read_contents(trees.list_corpora(spark, {c: str(r) for c, r in roots.items()}, partitions=4))
+    return trees.read_contents(trees.list_corpora(spark, {c: str(r) for c, r in roots.items()}))
 
 
 def digest(store):
@@ -37,7 +37,7 @@ def outcomes(store):
 
 def test_rebuild_then_update(spark, tree, tmp_path):
     store = StateStore(spark, str(tmp_path / "state"))
-    jobs.run_job(spark, scan(spark, p=tree), store, MOCK, NOW, everything=True)
+    jobs.run_job(scan(spark, p=tree), store, MOCK, NOW, everything=True)
     first = digest(store)
     assert set(first) == {"small.py", "large.py", "README.md", "config.json"}
     assert first["small.py"].content == 'print("hello")' and first["large.py"].content == fv.MOCK_SUMMARY
@@ -47,7 +47,7 @@ def test_rebuild_then_update(spark, tree, tmp_path):
     os.remove(tree / "small.py")
     (tree / "large.py").write_text("# changed\n")
     (tree / "added.py").write_text("x = 1\n")
-    jobs.run_job(spark, scan(spark, p=tree), store, MOCK, NOW + DAY)
+    jobs.run_job(scan(spark, p=tree), store, MOCK, NOW + DAY)
     second = digest(store)
     assert set(second) == {"large.py", "README.md", "config.json", "added.py"}
     assert second["large.py"].content == "# changed\n" and second["large.py"].summary_date == NOW + DAY
@@ -60,18 +60,18 @@ def test_rebuild_then_update(spark, tree, tmp_path):
     assert (stats.processed, stats.up_to_date) == (2, 2)
 
     # nothing changed: same digest; a deletion alone is applied, too
-    jobs.run_job(spark, scan(spark, p=tree), store, MOCK, NOW + 2 * DAY)
+    jobs.run_job(scan(spark, p=tree), store, MOCK, NOW + 2 * DAY)
     assert digest(store) == second
     os.remove(tree / "added.py")
-    jobs.run_job(spark, scan(spark, p=tree), store, MOCK, NOW + 3 * DAY)
+    jobs.run_job(scan(spark, p=tree), store, MOCK, NOW + 3 * DAY)
     assert set(digest(store)) == set(second) - {"added.py"}
 
 
 def test_update_from_nothing_equals_rebuild(spark, tree, tmp_path):
     one, two = (StateStore(spark, str(tmp_path / name)) for name in ("one", "two"))
     files = scan(spark, p=tree)
-    jobs.run_job(spark, files, one, MOCK, NOW)
-    jobs.run_job(spark, files, two, MOCK, NOW, everything=True)
+    jobs.run_job(files, one, MOCK, NOW)
+    jobs.run_job(files, two, MOCK, NOW, everything=True)
     assert digest(one) == digest(two)
 
 
@@ -80,10 +80,10 @@ def test_corpus_without_files_keeps_its_entries(spark, tree, tmp_path):
     other.mkdir()
     (other / "a.py").write_text("a = 1\n")
     store = StateStore(spark, str(tmp_path / "state"))
-    jobs.run_job(spark, scan(spark, p=tree, q=other), store, MOCK, NOW)
+    jobs.run_job(scan(spark, p=tree, q=other), store, MOCK, NOW)
     os.remove(other / "a.py")
     listing = trees.list_corpora(spark, {"p": str(tree), "q": str(other)})
-    jobs.run_job(spark, trees.read_contents(listing), store, MOCK, NOW + DAY, names=listing)
+    jobs.run_job(trees.read_contents(listing), store, MOCK, NOW + DAY, names=listing)
     rows = {(r.corpus_id, r.relative_path) for r in store.read().collect()}
     assert ("q", "a.py") in rows and ("p", "small.py") in rows
 
@@ -92,7 +92,7 @@ def test_copy_mode_and_size_limit(spark, tree, tmp_path):
     (tree / "wide.txt").write_text("w" * 3000)
     store = StateStore(spark, str(tmp_path / "state"))
     options = DigestOptions(mode=DigestMode.COPY, max_file_size_mb=0.0025)
-    jobs.run_job(spark, scan(spark, p=tree), store, options, NOW)
+    jobs.run_job(scan(spark, p=tree), store, options, NOW)
     got = digest(store)
     assert got["wide.txt"].content == "File size (0.0MB) exceeds limit (0.0025MB)"
     assert got["large.py"].content.startswith("File size") == (len(LARGE) > 0.0025 * 1024 * 1024)
@@ -109,22 +109,22 @@ def answer(request):
 def test_model_job_and_failed_refresh(spark, tree, tmp_path):
     options = DigestOptions(mode=DigestMode.AI, api_key="k", retry_pause=0.0)
     store = StateStore(spark, str(tmp_path / "state"))
-    jobs.run_job(spark, scan(spark, p=tree), store, options, NOW, client=answer)
+    jobs.run_job(scan(spark, p=tree), store, options, NOW, client=answer)
     first = digest(store)
     assert first["large.py"].content == "- **Role**: large.py" and first["small.py"].content == 'print("hello")'
     (tree / "large.py").write_text(LARGE + "# changed\n")
-    jobs.run_job(spark, scan(spark, p=tree), store, options, NOW + DAY, client=answer)
+    jobs.run_job(scan(spark, p=tree), store, options, NOW + DAY, client=answer)
     # the old entry stays whole, so the file is due again
     assert digest(store) == first
     assert outcomes(store)["large.py"] == ("outdated", "error")
-    jobs.run_job(spark, scan(spark, p=tree), store, options, NOW + 2 * DAY, client=answer)
+    jobs.run_job(scan(spark, p=tree), store, options, NOW + 2 * DAY, client=answer, fetch=trees.read_contents, tasks=2)
     assert outcomes(store)["large.py"] == ("outdated", "error")
 
 
 def test_preconditions(spark, tree, tmp_path):
     store = StateStore(spark, str(tmp_path / "state"))
     with pytest.raises(ValueError):
-        jobs.run_job(spark, None, store, DigestOptions(mode=DigestMode.AI), NOW, client=answer)
+        jobs.run_job(None, store, DigestOptions(mode=DigestMode.AI), NOW, client=answer)
     assert store.versions() == []
 
 
@@ -134,7 +134,7 @@ def test_status_job_and_process_files(spark, tree, tmp_path):
     (tree / "build" / "x.py").write_text("x")
     store = StateStore(spark, str(tmp_path / "state"))
     files = scan(spark, p=tree)
-    jobs.run_job(spark, files, store, MOCK, NOW)
+    jobs.run_job(files, store, MOCK, NOW)
     (tree / "small.py").write_text("changed")
     rules = spark.createDataFrame([("p", r) for r in fv.DEFAULT_IGNORE_RULES], "corpus_id string, pattern string")
     status = jobs.status_job(scan(spark, p=tree), store.read(), rules)

@@ -29,8 +29,8 @@ def test_listing_sees_every_file(spark, tree):
     (tree / "node_modules" / "m.js").write_text("no")
     os.symlink("nowhere", tree / "dangling")
     os.symlink(tree / "src", tree / "link")
-    for wanted in (1, 2, 16):
-        rows = trees.list_corpora(spark, {"p": str(tree)}, partitions=wanted)
+    for share in (1, 2, 2000):
+        rows = trees.list_corpora(spark, {"p": str(tree)}, directories_per_task=share)
         assert listed(rows) == {
             "small.py", "large.py", "binary_file.bin", "README.md", "config.json", "empty.txt",
             "__init__.py", ".gitignore", "src/_deep/er/q q+1%20.py", "dangling",
@@ -53,10 +53,10 @@ def test_listing_many_files_and_corpora(spark, tmp_path):
             folder = tmp_path / corpus / f"d{i % 7}" / f"e{i % 3}"
             folder.mkdir(parents=True, exist_ok=True)
             (folder / f"f{i}.py").write_text(f"# {i}")
-    rows = trees.list_corpora(spark, {c: str(tmp_path / c) for c in "ab"}, partitions=5)
-    assert rows.rdd.getNumPartitions() == 5
-    counts = {r.corpus_id: r["count"] for r in rows.groupBy("corpus_id").count().collect()}
-    assert counts == {"a": 30, "b": 30}
+    for share in (3, 2000):
+        rows = trees.list_corpora(spark, {c: str(tmp_path / c) for c in "ab"}, directories_per_task=share)
+        counts = {r.corpus_id: r["count"] for r in rows.groupBy("corpus_id").count().collect()}
+        assert counts == {"a": 30, "b": 30} and rows.select("path").distinct().count() == 60
 
 
 def test_listing_errors_and_empty_tree(spark, tmp_path, tree):
