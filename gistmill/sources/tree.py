@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime
 import functools
+import hashlib
 import math
 import os
 from collections import deque
@@ -33,6 +34,7 @@ BATCH_ROWS = 10_000
 # A task reads about this many bytes of files, and hands contents over in smaller batches.
 BYTES_PER_TASK = 256 * 1024 * 1024
 BATCH_BYTES = 64 * 1024 * 1024
+ROW_BYTES = 1024 * 1024 * 1024
 
 
 def rule_file_lines(root: str, ignore_file: str = fv.IGNORE_FILE) -> list[str]:
@@ -155,30 +157,43 @@ def list_corpora(
     )
 
 
+def _read_file(path: str, size: int | None) -> tuple[bytes | None, str | None]:
+    """Content, and the checksum where the content is too large for a row."""
+    try:
+        with open(path, "rb") as file:
+            if (size or 0) <= ROW_BYTES:
+                return file.read(), None
+            return None, hashlib.file_digest(file, "sha256").hexdigest()
+    except OSError:
+        return None, None
+
+
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        start, held, contents = 0, 0, []
-        for path in batch.column("path").to_pylist():
-            try:
-                with open(path, "rb") as file:
-                    contents.append(file.read())
-            except OSError:
-                contents.append(None)
-            held += len(contents[-1] or b"")
+        start, held, read = 0, 0, []
+        for path, size in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist()):
+            read.append(_read_file(path, size))
+            held += len(read[-1][0] or b"")
             if held >= BATCH_BYTES:
-                yield _with_contents(batch.slice(start, len(contents)), contents)
-                start, held, contents = start + len(contents), 0, []
-        if contents:
-            yield _with_contents(batch.slice(start, len(contents)), contents)
+                yield _with_contents(batch.slice(start, len(read)), read)
+                start, held, read = start + len(read), 0, []
+        if read:
+            yield _with_contents(batch.slice(start, len(read)), read)
 
 
-def _with_contents(batch: pa.RecordBatch, contents: list) -> pa.RecordBatch:
-    return batch.append_column("content", pa.array(contents, pa.binary()))
+def _with_contents(batch: pa.RecordBatch, read: list[tuple]) -> pa.RecordBatch:
+    contents, checksums = zip(*read)
+    return batch.append_column("content", pa.array(contents, pa.binary())).append_column(
+        "large_checksum", pa.array(checksums, pa.string())
+    )
 
 
 def read_contents(listing: DataFrame, tasks: int | None = None) -> DataFrame:
     """Add ``content`` and ``checksum``; content is NULL where a file cannot be read.
 
+    So it is for files above ``ROW_BYTES``, which no row could hold: they have their checksum,
+    but count as failed when they are processed.
+
     Files are dealt out by the hash of their path first, so the files of one big directory
     are read by all tasks.  There are as many tasks as the listed sizes call for, unless
     ``tasks`` says otherwise.
@@ -190,9 +205,11 @@ def read_contents(listing: DataFrame, tasks: int | None = None) -> DataFrame:
         )
     spread = listing.repartition(tasks, *KEY)
     columns = LISTING.fieldNames()
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LISTING) + ", content binary"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LISTING) + ", content binary, large_checksum string"
     read = spread.select(*columns).mapInArrow(_read_batches, schema)
-    return read.withColumn("checksum", checksum(F.col("content"))).select(*FILES.fieldNames())
+    return read.withColumn(
+        "checksum", F.coalesce("large_checksum", checksum(F.col("content")))
+    ).select(*FILES.fieldNames())
 
 
 def rule_lines(
