@@ -108,7 +108,8 @@ def rule_fragments(rule: str) -> tuple[str | None, str | None]:
     """
     if rule.endswith("/*"):
         directory = rule[:-2]
-        return f"{glob_regex(directory)}|{_escape(directory)}/.*", None
+        glob, literal = glob_regex(directory), _escape(directory)
+        return (f"{glob}(?:/.*)?" if glob == literal else f"{glob}|{literal}/.*"), None
     if "/" in rule:
         by_name = None
     else:
@@ -141,6 +142,14 @@ def combine(paths: Iterable[str], names: Iterable[str]) -> RuleRegex:
     )
 
 
+def _by_first_character(texts: Iterable[str]) -> str:
+    """Alternation of literal texts that looks at one character before it tries any of them."""
+    groups: dict[str, list[str]] = {}
+    for text in texts:
+        groups.setdefault(text[0], []).append(_escape(text[1:]))
+    return "|".join(f"{_escape(first)}(?:{'|'.join(rest)})" for first, rest in groups.items())
+
+
 @functools.lru_cache(maxsize=64)
 def compile_rules(rules: tuple[str, ...], own_output: str | None = None) -> RuleRegex:
     """Both expressions for a rule list; the digest's own name is always ignored."""
@@ -153,9 +162,9 @@ def compile_rules(rules: tuple[str, ...], own_output: str | None = None) -> Rule
             paths.append(path)
         tail = rule.lstrip("*")
         if path is None and tail != rule and tail:
-            suffixes.append(_escape(tail))
+            suffixes.append(tail)
         elif name is not None:
             names.append(name)
     if suffixes:
-        names.append(f"[^/]*(?:{'|'.join(suffixes)})")
+        names.append(f"[^/]*(?:{_by_first_character(suffixes)})")
     return combine(paths, names)

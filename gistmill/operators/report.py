@@ -17,9 +17,10 @@ def _count(condition: Column) -> Column:
     return F.count_if(condition).cast("long")
 
 
-def _first_by_path(rows: DataFrame, limit: int) -> DataFrame:
-    order = Window.partitionBy("corpus_id").orderBy("relative_path")
-    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).drop("_rank")
+def _first_by_path(rows: DataFrame, limit: int, *within: str) -> DataFrame:
+    """First rows in path order per corpus, or per corpus and ``within``, with their ``rank``."""
+    order = Window.partitionBy("corpus_id", *within).orderBy("relative_path")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
 def status_counts(statuses: DataFrame) -> DataFrame:
@@ -78,24 +79,27 @@ def attention_list(
 
     ``more`` counts the files needing an update beyond those shown.
     """
-    due = F.col("status").isin(NEW, OUTDATED)
-    counts = statuses.groupBy("corpus_id").agg(
-        F.count(F.lit(1)).alias("files"), _count(due).alias("due")
-    )
-    small = counts.where(F.col("files") <= small_corpus).withColumn("more", F.lit(0).cast("long"))
-    large = counts.where(F.col("files") > small_corpus).withColumn(
-        "more", F.greatest(F.col("due") - shown, F.lit(0)).cast("long")
+    rows = statuses.withColumn("is_due", F.col("status").isin(NEW, OUTDATED))
+    counts = rows.groupBy("corpus_id").agg(
+        F.count(F.lit(1)).alias("files"), _count(F.col("is_due")).alias("due")
     )
+    # The first due files and the first others hold both kinds of list, so one ranking serves.
+    is_small = F.col("files") <= small_corpus
     return (
-        _first_by_path(statuses, small_corpus).join(small, "corpus_id")
-        .unionByName(_first_by_path(statuses.where(due), shown).join(large, "corpus_id"))
+        _first_by_path(rows, max(small_corpus, shown), "is_due")
+        .join(counts, "corpus_id")
+        .where(is_small | (F.col("is_due") & (F.col("rank") <= shown)))
+        .withColumn("more", F.when(is_small, F.lit(0)).otherwise(
+            F.greatest(F.col("due") - shown, F.lit(0))
+        ).cast("long"))
+        .drop("is_due", "rank")
     )
 
 
 def run_plan(due_files: DataFrame, short: int = fv.SHORT_PLAN_ROWS) -> DataFrame:
     """Files about to be processed: each one where they are few, else one row with their number."""
     counts = due_files.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("to_process"))
-    listed = _first_by_path(due_files, short).join(
+    listed = _first_by_path(due_files, short).drop("rank").join(
         counts.where(F.col("to_process") <= short), "corpus_id"
     )
     return listed.unionByName(counts.where(F.col("to_process") > short), allowMissingColumns=True)

@@ -158,3 +158,15 @@ def test_model_texts_do_not_cross_the_status_join(spark):
     assert "text" not in frame.columns and "content" not in frame.columns
     longest = frame.where("route = 'summarise'").agg(F.max(F.length("payload"))).first()[0]
     assert longest is None
+
+
+def test_status_reads_no_contents_of_tables_with_checksums(spark, tree, tmp_path):
+    from gistmill.sources.tables import empty_state, files_from_table
+
+    scan(spark, p=tree).write.parquet(str(tmp_path / "files"))
+    files = files_from_table(spark.read.parquet(str(tmp_path / "files")))
+    rules = spark.createDataFrame([("p", "*.x")], "corpus_id string, pattern string")
+    status = jobs.status_job(files, empty_state(spark), rules)
+    for frame in (status.counts, status.attention):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "ReadSchema" in plan and "content:binary" not in plan
