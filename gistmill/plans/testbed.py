@@ -62,7 +62,8 @@ def _documents(spark: SparkSession, folder: str, by_source: bool) -> DataFrame:
     return (
         spread(read_table(spark, folder, "documents"), "doc_id")
         .selectExpr("doc_id", "text", "source", f"{corpus} AS corpus_id", f"inline(array(struct({_PATH} AS relative_path)))")
-        .selectExpr("doc_id", *KEY, f"inline(array(struct({_CONTENT} AS content)))")
+        # a plain column, so that queries on paths alone do not read the texts
+        .selectExpr("doc_id", *KEY, f"{_CONTENT} AS content")
     )
 
 
