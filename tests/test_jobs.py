@@ -90,12 +90,14 @@ def test_corpus_without_files_keeps_its_entries(spark, tree, tmp_path):
 
 def test_copy_mode_and_size_limit(spark, tree, tmp_path):
     (tree / "wide.txt").write_text("w" * 3000)
+    (tree / "__init__.py").write_text("")
     store = StateStore(spark, str(tmp_path / "state"))
     options = DigestOptions(mode=DigestMode.COPY, max_file_size_mb=0.0025)
     jobs.run_job(scan(spark, p=tree), store, options, NOW)
     got = digest(store)
     assert got["wide.txt"].content == "File size (0.0MB) exceeds limit (0.0025MB)"
     assert got["large.py"].content.startswith("File size") == (len(LARGE) > 0.0025 * 1024 * 1024)
+    assert got["__init__.py"].content == ""
     assert got["README.md"].content == (tree / "README.md").read_text()
 
 
