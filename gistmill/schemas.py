@@ -17,11 +17,6 @@ FILES = T.StructType(
     + [T.StructField("checksum", T.StringType()), T.StructField("content", T.BinaryType())]
 )
 
-PATTERNS = T.StructType([
-    T.StructField("corpus_id", T.StringType()),
-    T.StructField("pattern", T.StringType(), False),
-])
-
 # One digest entry as it moves through joins: date, checksum and content stay together.
 ENTRY = T.StructType([
     T.StructField("summary_date", T.TimestampNTZType()),
@@ -39,11 +34,3 @@ CHAT_RESPONSE = T.StructType([
         T.StructField("message", T.StructType([T.StructField("content", T.StringType())])),
     ]))),
 ])
-
-# One row per call made for a file.
-ATTEMPT = T.StructType([
-    T.StructField("attempt", T.IntegerType(), False),
-    T.StructField("status_code", T.IntegerType()),
-    T.StructField("error_kind", T.StringType()),
-    T.StructField("body", T.StringType()),
-])

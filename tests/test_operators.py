@@ -6,7 +6,6 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
-from pyspark.sql import functions as F
 
 from gistmill import fixed_values as fv
 from gistmill.operators import digest as dg
