@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, duck
+from gistmill.plans import oracles, queries as catalogue
 
 FOLDER = "/root/testdata/sf0.001"
-SQLS = entry.oracle_sql()
+SQLS = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,8 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(SQLS) == set(entry.queries())
+    assert set(SQLS) == set(catalogue.QUERIES)
+    assert set(SQLS) <= set(entry.oracle_sql()) and set(SQLS) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQLS))
