@@ -6,16 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmill.llm import mixing, token_counts, token_files
+from gistmill.llm import embeddings, mixing, simhash, token_counts, token_files
 from gistmill.llm.common import read_table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.embedding_links(read_table(spark, folder, "embeddings"))
+
+
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_files(read_table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), end_id=2)
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.simhash_groups(read_table(spark, folder, "documents"))
+
+
 def weighted_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents with ``_weight``: 2 if labelled good, 1/2 if labelled poor, 1 without label."""
     best = labels.groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("quality").alias("_quality"))
@@ -38,7 +46,9 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_token_files": op4_token_files,
+    "op5_simhash": op5_simhash,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
