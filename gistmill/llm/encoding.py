@@ -9,15 +9,18 @@ import re
 import numpy as np
 
 #: Words whose ids one worker remembers, and the longest that it does.
-REMEMBERED_WORDS, REMEMBERED_LENGTH = 600_000, 64
+REMEMBERED_WORDS, REMEMBERED_LENGTH = 1_000_000, 64
 
 # Characters whose class is the same for every Unicode version and every regex library:
 # printable ASCII, its white space, and the letters of the Latin-1 and Extended-A blocks.
 _UNUSUAL = re.compile("[^\t\n\x0b\x0c\r -~À-ÖØ-öø-įĲ-ň]")
+_BEYOND_LATIN_1 = re.compile("[^\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ]")
 
-# How the two kinds of pre-tokenizers split texts of such characters (fixed values).
-_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-_WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
+# How the two kinds of pre-tokenizers split texts of such characters (fixed values); what
+# stands for letters is filled in, because a class within Latin-1 is searched faster.
+_BYTE_LEVEL = r" ?{letter}+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+_WORD_END = r"{letter}+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\s\w]|_)+"
+_LETTERS = ["[A-Za-zÀ-ÖØ-öø-ÿ]", r"[^\W\d_]"]
 _WORD_END_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -58,10 +61,12 @@ class Encoder:
             self.known.clear()
         known, out, cut, whole = self.known, [b""] * len(texts), [], []
         for i, text in enumerate(texts):
-            if self.words is None or _UNUSUAL.search(text) or any(s in text for s in self.special):
+            plain = not _BEYOND_LATIN_1.search(text)
+            if self.words is None or not plain and _UNUSUAL.search(text) or any(s in text for s in self.special):
                 whole.append(i)
             else:
-                cut.append((i, self.words(text.lower() if self.lower else text)))
+                words = self.words[0 if plain else 1]
+                cut.append((i, words(text.lower() if self.lower else text)))
         missing = list({word for _, words in cut for word in words if word not in known})
         found = dict(zip(missing, self._from_library(missing))) if missing else {}
         seldom = {word: ids for word, ids in found.items() if len(word) > REMEMBERED_LENGTH}
@@ -76,12 +81,18 @@ class Encoder:
 
 
 def _words_of(described: dict):
-    """A function that cuts words as the described pre-tokenizer does, and whether it lower-cases."""
+    """Functions that cut words as the described pre-tokenizer does, and whether it lower-cases.
+
+    The first function is for texts within Latin-1, the second for the other usual ones.
+    """
+    def cutters(pattern):
+        return [re.compile(pattern.format(letter=letter)).findall for letter in _LETTERS]
+
     before, split = described.get("normalizer"), described.get("pre_tokenizer") or {}
     if described["model"].get("dropout") or described["model"].get("type") != "BPE":
         return None, False
     if before is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space"):
-        return re.compile(_BYTE_LEVEL).findall, False
+        return cutters(_BYTE_LEVEL), False
     kinds = [step.get("type") for step in (before or {}).get("normalizers", [])]
     parts = split.get("pretokenizers", [])
     if (
@@ -91,7 +102,7 @@ def _words_of(described: dict):
         and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
         and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]
     ):
-        return re.compile(_WORD_END).findall, True
+        return cutters(_WORD_END), True
     return None, False
 
 
