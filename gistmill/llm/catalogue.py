@@ -6,12 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmill.llm import embeddings, mixing, simhash, token_counts, token_files
-from gistmill.llm.common import read_table
+from gistmill.llm import embeddings, html_text, licenses, mixing, simhash, token_counts, token_files, toxicity
+from gistmill.llm.common import read_table, small_batches
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    pages = read_table(spark, folder, "pages").select("page_id", "url", html_text.main_text_column(F.col("html")).alias("text"))
+    return pages.select("*", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.embedding_links(read_table(spark, folder, "embeddings"))
 
@@ -24,6 +30,16 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(read_table(spark, folder, "documents"))
 
 
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_labels(licenses.license_blocks(read_table(spark, folder, "documents")))
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read_table(spark, folder, "documents")
+    model = toxicity.train(documents, read_table(spark, folder, "labels"))
+    return toxicity.toxicity_scores(documents, model)
+
+
 def weighted_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents with ``_weight``: 2 if labelled good, 1/2 if labelled poor, 1 without label."""
     best = labels.groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("quality").alias("_quality"))
@@ -46,9 +62,12 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_token_files": op4_token_files,
     "op5_simhash": op5_simhash,
+    "op6_licenses": op6_licenses,
+    "op7_toxicity": op7_toxicity,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }

@@ -1,14 +1,16 @@
 """Toxicity by compression distance.
 
-A text is cut into windows of a few words.  Each window is compressed twice by zstandard,
-once with a dictionary of ordinary text and once with a dictionary of toxic text before the
-same ordinary one; the bytes that the second saves are the window's gain.  Windows like
-anything ordinary gain nothing, whatever their language.
-
-Training takes a bounded sample of labelled texts (``MOST_TEXTS``).  Near copies are taken
+A text is cut into windows, one for each word.  Each window is compressed twice by zstandard,
+once with a dictionary of ordinary text and once with that and a dictionary of toxic text
+behind it; the bytes that the second saves are the window's gain.  A window stands
+between the same two runs of ordinary text in every frame: fixed costs are met by these, and
+the compressor, which looks for no match in the last few bytes, sees the whole word.
+Windows like anything ordinary gain nothing, whatever their language.
+
+Training takes a bounded sample of labelled texts (``MOST_TEXTS``, ``MOST_LENGTH``).  Near copies are taken
 once, so that a text that was copied often does not pass for a habit of speech.  The
-ordinary dictionary is trained on windows of ordinary texts, the toxic one on the words that
-toxic texts hold far more often than ordinary ones do.  The gain at which a window counts,
+ordinary dictionary is trained on windows of ordinary texts, the toxic one on the stems
+that toxic texts hold far more often than ordinary ones do.  The gain at which a window counts,
 and the weights that turn counts into a score, are calibrated on the same sample.
 
 Defined results: null and blank texts have no window, and the score of a text without any
@@ -19,7 +21,6 @@ of both kinds there is nothing to learn and every score is 0; other columns are
 
 from __future__ import annotations
 
-import random
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -32,17 +33,26 @@ from pyspark.sql import functions as F
 
 from gistmill.llm.common import small_batches
 
-#: Labelled texts of either kind that are fitted at most, and characters of them all.
-MOST_TEXTS, MOST_CHARACTERS = 20_000, 64_000_000
+#: Labelled texts that are fitted at most, and the longest of them in code points.
+MOST_TEXTS, MOST_LENGTH = 10_000, 50_000
+
+#: Words of a training window, sizes of the dictionaries, bytes of ordinary text before a window.
+TRAINING_WORDS, TOXIC_BYTES, ORDINARY_BYTES, LEAD = 8, 512, 8192, 32
+
+#: How a trained dictionary begins (fixed value of the format).
+DICTIONARY_MAGIC = bytes.fromhex("37a430ec")
 
-WINDOW, STEP = 8, 6
-TOXIC_BYTES, ORDINARY_BYTES = 2048, 8192
+#: Windows whose gain a worker remembers.
+REMEMBERED = 500_000
 
-#: A word is distinctive if this share of toxic texts has it, so many times the ordinary share.
-LEAST_SHARE, TIMES = 0.02, 8.0
+#: Bytes above the least gain from which a window gains much.
+MUCH = 3
+
+#: A stem (the first characters of words) is distinctive if this share of toxic texts has
+#: it, so many times the ordinary share, and that is so many deviations above chance.
+LEAST_SHARE, TIMES, SURPRISE, STEM = 0.02, 4.0, 6.0, (4, 8)
 
 THRESHOLD = 0.7
-SEED = 11
 
 # Lower-case A-Z; what is neither a letter, a digit nor beyond ASCII separates words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -52,9 +62,8 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
-def windows(found: list[bytes]) -> list[bytes]:
-    """Overlapping windows that together hold every word."""
-    return [b" " + b" ".join(found[i: i + WINDOW]) + b" " for i in range(0, max(len(found) - WINDOW + STEP, min(len(found), 1)), STEP)]
+def training_windows(found: list[bytes]) -> list[bytes]:
+    return [b" " + b" ".join(found[i: i + TRAINING_WORDS]) + b" " for i in range(0, len(found), TRAINING_WORDS)]
 
 
 @dataclass
@@ -67,40 +76,61 @@ class Model:
     weights: tuple[float, ...]
 
     def __post_init__(self):
-        self._pair = None
+        self._pair, self._known = None, {}
 
     def __getstate__(self):
-        return {**self.__dict__, "_pair": None}
+        return {**self.__dict__, "_pair": None, "_known": {}}
 
     def pair(self):
         if self._pair is None:
-            # a search that prefers matches in the dictionary, without any frame header
             settings = zstandard.ZstdCompressionParameters(
                 window_log=15, chain_log=13, hash_log=13, search_log=5, min_match=4, target_length=64,
                 strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0,
             )
-            made = []
-            for content in (self.ordinary, self.toxic + self.ordinary):
-                known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                known.precompute_compress(compression_params=settings)
-                made.append(zstandard.ZstdCompressor(dict_data=known, compression_params=settings))
-            self._pair = made
+            self._pair, self._known = [], {}
+            # the compressor does not look into a dictionary's last few bytes either
+            for content in (self.ordinary, self.ordinary + self.toxic + b" " * 16):
+                trained = content[:4] == DICTIONARY_MAGIC
+                kind = zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT
+                held = zstandard.ZstdCompressionDict(content, dict_type=kind)
+                held.precompute_compress(compression_params=settings)
+                self._pair.append(zstandard.ZstdCompressor(dict_data=held, compression_params=settings))
         return self._pair
 
-    def gains(self, text: str | None) -> np.ndarray:
-        plain, toxic = self.pair()
-        return np.array([len(plain.compress(w)) - len(toxic.compress(w)) for w in windows(words(text))], dtype=np.int64)
+    def gains(self, found: list[bytes]) -> np.ndarray:
+        """Gain of every window of a text's words."""
+        (plain, toxic), known = self.pair(), self._known
+        if len(known) > REMEMBERED:
+            known.clear()
+        lead, tail = self.ordinary[-2 * LEAD: -LEAD] + b" ", b" " + self.ordinary[-3 * LEAD: -2 * LEAD]
+        for word in found:
+            if word not in known:
+                window = lead + word + tail
+                known[word] = len(plain.compress(window)) - len(toxic.compress(window))
+        return np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found))
 
     def score(self, text: str | None) -> float:
         if not self.toxic:
             return 0.0
-        return float(1 / (1 + np.exp(-np.dot(signs(self.gains(text), self.least_gain), self.weights))))
+        found = words(text)
+        return float(1 / (1 + np.exp(-np.dot(signs(found, self.gains(found), self.least_gain), self.weights))))
 
 
-def signs(gains: np.ndarray, least: int) -> np.ndarray:
-    """Constant, whether any window counts, how many do, and their share of all."""
-    n = int((gains >= least).sum())
-    return np.array([1.0, float(n > 0), np.log1p(n), n / max(len(gains), 1)])
+def signs(found: list[bytes], gains: np.ndarray, least: int) -> np.ndarray:
+    """Constant; whether one, two, three different windows count; how many do, how many gain much, their share."""
+    hits = {word: gain for word, gain in zip(found, gains.tolist()) if gain >= least}
+    n, much = len(hits), sum(gain >= least + MUCH for gain in hits.values())
+    share = n / max(len(found), 1)
+    return np.array([1.0, n > 0, n > 1, n > 2, np.log1p(n), np.log1p(much), np.sqrt(share), min(share * 25, 1.0)], dtype=float)
+
+
+def stems(found: list[bytes]) -> set[str]:
+    """First characters of words, of all lengths that are looked at."""
+    kept = set()
+    for word in set(found):
+        letters = word.decode(errors="replace")
+        kept.update(letters[:n] for n in range(STEM[0], min(STEM[1], len(letters)) + 1))
+    return kept
 
 
 def held_out(doc_id: Column) -> Column:
@@ -109,19 +139,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str) -> list[tuple]:
-    """``(toxic, text)`` of labelled rows that may be learnt from, both kinds, in a fixed order.
-
-    The bound takes the rows with the smallest hash; shares of both kinds are kept apart.
-    """
+    """``(toxic, text)`` of labelled rows that may be learnt from, in a fixed order; the bound keeps the smallest hashes."""
     known = labels.where(F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("_id")).agg(F.max(label_column).alias("_toxic"))
-    known = known.where(~held_out(F.col("_id")))
-    halves = [
-        known.where(F.col("_toxic") == kind).orderBy(F.xxhash64("_id"), "_id").limit(MOST_TEXTS // 2) for kind in (1, 0)
-    ]
-    texts = documents.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-    share = MOST_CHARACTERS // MOST_TEXTS
-    rows = texts.join(halves[0].unionByName(halves[1]), "_id").select("_id", "_toxic", F.substring("_text", 1, share * 8).alias("_text"))
-    return [(int(r._toxic), r._text) for r in sorted(rows.collect(), key=lambda r: (r._id, r._text))]
+    known = known.where(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id").limit(MOST_TEXTS)
+    texts = documents.where(F.length(text_column) <= MOST_LENGTH).select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
+    rows = texts.join(known, "_id").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(MOST_TEXTS)
+    return [(int(r._toxic), r._text) for r in rows.select("_toxic", "_text").collect()]
 
 
 def without_copies(rows: list[tuple]) -> list[tuple[int, list[bytes]]]:
@@ -144,28 +167,28 @@ def fit(rows: list[tuple]) -> Model:
     if not texts[0] or not texts[1]:
         return Model(b"", b"", 0, ())
     for toxic, found in kept:
-        counts[toxic].update(set(found))
-    share = {k: {w: n / texts[k] for w, n in counts[k].items()} for k in (0, 1)}
+        counts[toxic].update(stems(found))
     floor = 0.5 / texts[0]
-    distinctive = {
-        w: counts[1][w] for w, s in share[1].items()
-        if s >= LEAST_SHARE and counts[1][w] >= 3 and s >= TIMES * max(share[0].get(w, 0.0), floor) and len(w) >= 3
-    }
-    plain = [w for toxic, found in kept if not toxic for w in windows(found)[:: 2]][:200_000]
+    distinctive = set()
+    for stem, n in counts[1].items():
+        chance = texts[1] * max(counts[0][stem] / texts[0], floor)
+        if n >= max(LEAST_SHARE * texts[1], TIMES * chance) and n - chance >= SURPRISE * np.sqrt(chance + 0.1):
+            distinctive.add(stem)
+    def telling(word: bytes) -> str | None:
+        return max(stems([word]) & distinctive, key=lambda stem: (counts[1][stem], stem), default=None)
+
+    told = Counter(stem for toxic, found in kept if toxic for stem in {telling(w) for w in set(found)} if stem)
+    plain = [w for toxic, found in kept if not toxic for w in training_windows(found)[::2]][:200_000]
     ordinary = _dictionary(plain, ORDINARY_BYTES)
-    draw, samples = random.Random(SEED), []
-    pool = [b" " + w + b" " for w in sorted(distinctive) for _ in range(distinctive[w])]
-    for _ in range(4):
-        draw.shuffle(pool)
-        samples += [b"".join(pool[i: i + 6]) for i in range(0, len(pool), 6)]
-    model = Model(_dictionary(samples, TOXIC_BYTES), ordinary, 1, ())
+    toxic_samples = [b" " + stem.encode() for stem in sorted(told) for _ in range(told[stem])]
+    model = Model(_dictionary(toxic_samples, TOXIC_BYTES), ordinary, 1, ())
     if not model.toxic:
         return model
-    gains = [(toxic, model.gains(b" ".join(found).decode(errors="replace"))) for toxic, found in kept]
+    gains = [(toxic, found, model.gains(found)) for toxic, found in kept]
     best = None
-    for least in range(2, 9):
-        x = np.stack([signs(g, least) for _, g in gains])
-        y = np.array([toxic for toxic, _ in gains], dtype=float)
+    for least in range(2, 7):
+        x = np.stack([signs(found, g, least) for _, found, g in gains])
+        y = np.array([toxic for toxic, _, _ in gains], dtype=float)
         weights = _logistic(x, y)
         p = np.clip(1 / (1 + np.exp(-x @ weights)), 1e-9, 1 - 1e-9)
         loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
@@ -176,17 +199,18 @@ def fit(rows: list[tuple]) -> Model:
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """Trained content; what there is, if it is too little to train on."""
-    joined = sum(map(len, samples))
-    if joined < 8 * size or len(samples) < 50:
-        return b"".join(dict.fromkeys(samples))[-size:]
+    """Trained content; if all that differs fits into the dictionary, it is that, most frequent last."""
+    counts = Counter(samples)
+    ranked = sorted(counts, key=lambda sample: (counts[sample], sample))
+    if sum(map(len, ranked)) <= size:
+        return b"".join(ranked) + b" "
     try:
         return zstandard.train_dictionary(size, samples, k=64, d=6).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
+    except zstandard.ZstdError:  # too little to train on
+        return b"".join(ranked)[-size:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Logistic regression by Newton steps; the constant is not shrunk."""
     shrink = np.diag([0.0] + [ridge] * (x.shape[1] - 1))
     weights = np.zeros(x.shape[1])
