@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmill.llm import embeddings, html_text, licenses, mixing, simhash, token_counts, token_files, toxicity
+from gistmill.llm import embeddings, html_text, licenses, mixing, packing, simhash, token_counts, token_files, toxicity
 from gistmill.llm.common import read_table, small_batches
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("*", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 def op3_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.embedding_links(read_table(spark, folder, "embeddings"))
 
@@ -63,6 +67,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_text": op1_html_text,
+    "op2_packing": op2_packing,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_token_files": op4_token_files,
     "op5_simhash": op5_simhash,

@@ -5,8 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: Words whose ids one worker remembers, and the longest that it does.
 REMEMBERED_WORDS, REMEMBERED_LENGTH = 1_000_000, 64
@@ -54,26 +53,33 @@ class Encoder:
 
     def _from_library(self, texts: list[str]) -> list[bytes]:
         done = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(one.ids, dtype="<u4").tobytes() for one in done]
+        return [array("I", one.ids).tobytes() for one in done]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED_WORDS:
             self.known.clear()
-        known, out, cut, whole = self.known, [b""] * len(texts), [], []
+        known, out, open_, whole, missing = self.known.get, [b""] * len(texts), [], [], set()
         for i, text in enumerate(texts):
             plain = not _BEYOND_LATIN_1.search(text)
             if self.words is None or not plain and _UNUSUAL.search(text) or any(s in text for s in self.special):
                 whole.append(i)
+                continue
+            words = self.words[0 if plain else 1](text.lower() if self.lower else text)
+            parts = list(map(known, words))
+            if None in parts:
+                holes = [k for k, part in enumerate(parts) if part is None]
+                missing.update([words[k] for k in holes])
+                open_.append((i, words, parts, holes))
             else:
-                words = self.words[0 if plain else 1]
-                cut.append((i, words(text.lower() if self.lower else text)))
-        missing = list({word for _, words in cut for word in words if word not in known})
-        found = dict(zip(missing, self._from_library(missing))) if missing else {}
-        seldom = {word: ids for word, ids in found.items() if len(word) > REMEMBERED_LENGTH}
-        known.update(found if not seldom else {w: ids for w, ids in found.items() if w not in seldom})
-        for i, words in cut:
-            ids = known.__getitem__ if not seldom else lambda w: known.get(w) or seldom[w]
-            out[i] = b"".join(map(ids, words))
+                out[i] = b"".join(parts)
+        if missing:
+            new = list(missing)
+            found = dict(zip(new, self._from_library(new)))
+            self.known.update((word, ids) for word, ids in found.items() if len(word) <= REMEMBERED_LENGTH)
+            for i, words, parts, holes in open_:
+                for k in holes:
+                    parts[k] = found[words[k]]
+                out[i] = b"".join(parts)
         if whole:
             for i, ids in zip(whole, self._from_library([texts[i] for i in whole])):
                 out[i] = ids

@@ -191,6 +191,11 @@ LABELLED = [
     f"<div class=related><p>Also in this paper, the story of the mill that was built on sand by two brothers.</p><a href=1>Read</a></div></article></body>",
     "<body><nav><a href=1>First</a><a href=2>Second item</a></nav><article><h1>*One word</h1><p>*Over.</p></article><footer>All rights reserved.</footer></body>",
     f"<body><article><p>*One <a href=1>two</a> three.</p><p>*{_LONG}</p><p>*Short one here.</p><p>*{_MORE}</p><p><a href=1>More stories like this one</a></p><p><a href=2>Next story</a></p></article></body>",
+    f"<body><nav><a href=1>Start</a></nav><article><h1>*Two hundred years</h1><p>*{_LONG} {_MORE}</p><p>*{_MORE} {_LONG}</p><p>*Gone.</p><p>*{_LONG} {_MORE} {_LONG}</p>"
+    f"<h2>*What is left</h2><p>*{_MORE} {_MORE}</p><p>*{_LONG}</p><p>*{_MORE} {_LONG}</p><p>*It was late.</p></article><footer>Valley Times, printed on the first day of the week.</footer></body>",
+    f"<body><div class=sidebar><p>{_LONG}</p><p>Tip of the day.</p></div><div class=post><p>*{_LONG} {_MORE}</p><p>*{_MORE} {_LONG} {_MORE}</p><p>*And then?</p><p>*{_MORE} {_LONG}</p></div>"
+    f"<div id=comments><p>{_MORE} {_LONG}</p><p>First!</p></div></body>",
+    f"<body><div>*{_LONG} {_MORE}</div><div>*{_MORE} {_LONG}</div><div>*{_LONG} {_MORE}</div><div>*{_MORE}</div><div>*{_LONG} {_LONG}</div><div>Print</div><div>Up</div></body>",
 ]
 
 

@@ -167,14 +167,13 @@ def write_token_files(
         store, root = _file_system(folder)
         own, final = f"{root}/.{number:06d}-{uuid.uuid4().hex}", f"{root}/ids-{number:06d}.planes"
         for batch in batches:
-            ids = None if batch["id"].isna().all() else batch["id"]
-            for held in chunked(range(len(batch)), 64):
-                for i, octets in zip(held, encoder(path).encode([batch["text"].iat[i] for i in held])):
+            names = [None if pd.isna(name) else int(name) for name in batch["id"].tolist()]
+            for held in chunked(zip(names, batch["text"].tolist()), 64):
+                for (name, _), octets in zip(held, encoder(path).encode([text for _, text in held])):
                     if writer is None:
                         store.create_dir(root, recursive=True)
                         out = store.open_output_stream(own)
                         writer = PlaneWriter(out, block, bits)
-                    name = None if ids is None or pd.isna(ids.iat[i]) else int(ids.iat[i])
                     writer.add(name, np.concatenate([np.frombuffer(octets, dtype="<u4"), end]))
         if writer is not None:
             writer.close()

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from gistmill.llm.common import small_batches
 
 #: Labelled texts that are fitted at most, and the longest of them in code points.
-MOST_TEXTS, MOST_LENGTH = 10_000, 50_000
+MOST_TEXTS, MOST_LENGTH = 5_000, 20_000
 
 #: Words of a training window, sizes of the dictionaries, bytes of ordinary text before a window.
 TRAINING_WORDS, TOXIC_BYTES, ORDINARY_BYTES, LEAD = 8, 512, 8192, 32
