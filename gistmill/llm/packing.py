@@ -41,6 +41,9 @@ from gistmill.session import staged
 
 LENGTH = 2048
 
+#: Pieces and gaps in one range.
+RANGE_ROWS = 10_000
+
 #: A round that places less than this part of what it leaves opens sequences in any case.
 STALLED = 10
 
@@ -79,10 +82,11 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     gaps = state.where(opens).select("id", (F.lit(length).cast("bigint") - F.col("size")).alias("size"))
     left = state.where(~opens)
     while True:
-        smallest = left.agg(F.min("size")).first()[0]
-        if smallest is None:
+        n_pieces, smallest = left.agg(F.count(F.lit(1)), F.min("size")).first()
+        if not n_pieces:
             break
-        swept, after = _round(left, gaps.where(F.col("size") >= smallest), length)
+        gaps = gaps.where(F.col("size") >= smallest)
+        swept, after = _round(left, gaps, length, math.ceil((n_pieces + gaps.count()) / RANGE_ROWS))
         placed += [frame.where("kind = 'placed'").select("row", "gap", "offset") for frame in (swept, after)]
         gaps = swept.where("kind = 'gap' AND number IS NULL").select(F.col("gap").alias("id"), "size").unionByName(
             after.where("kind = 'gap'").select(F.col("gap").alias("id"), "size")
@@ -91,7 +95,7 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     return reduce(DataFrame.unionByName, placed).select("row.*", F.col("gap").alias("sequence_id"), "offset")
 
 
-def _round(left: DataFrame, gaps: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+def _round(left: DataFrame, gaps: DataFrame, length: int, ranges: int) -> tuple[DataFrame, DataFrame]:
     """One round: what the sweeps of single ranges did, and what was done across ranges."""
     spark = left.sparkSession
     row = left.schema["row"].dataType
@@ -99,7 +103,6 @@ def _round(left: DataFrame, gaps: DataFrame, length: int) -> tuple[DataFrame, Da
         gaps.select("id", "size", F.lit(0).alias("is_piece"), F.lit(None).cast(row).alias("row"))
     )
     order = [F.col("size").desc(), F.col("is_piece"), F.xxhash64("id")]
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
