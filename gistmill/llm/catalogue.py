@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmill.llm import embeddings, html_text, licenses, mixing, packing, simhash, token_counts, token_files, toxicity
+from gistmill.llm import embeddings, html_text, licenses, mixing, packing, simhash, spotsigs, token_counts, token_files, toxicity
 from gistmill.llm.common import read_table, small_batches
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -44,6 +44,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(documents, model)
 
 
+def op8_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
+    return spotsigs.edited_fingerprints(read_table(spark, folder, "documents"))
+
+
 def weighted_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents with ``_weight``: 2 if labelled good, 1/2 if labelled poor, 1 without label."""
     best = labels.groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("quality").alias("_quality"))
@@ -73,6 +77,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_licenses": op6_licenses,
     "op7_toxicity": op7_toxicity,
+    "op8_spotsigs": op8_spotsigs,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
