@@ -56,32 +56,59 @@ def source_targets(sizes: DataFrame, source: str, weights: tuple = SOURCE_WEIGHT
     return sources.select(source, "source_size", F.least(reach, F.col("_cap").cast("double")).alias("target"))
 
 
-def mixture(
-    documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
-    weight: Column | None = None, weights: tuple = SOURCE_WEIGHTS, most: int = MOST, seed: str = SEED,
-) -> DataFrame:
-    """``id, size, source_size, target, taken`` of every row."""
+def _mixed(documents: DataFrame, carried: dict[str, Column], options: dict) -> DataFrame:
+    """Rows with ``carried`` columns, ``size, source_size, target`` and how many times each is taken."""
+    id_column, seed, weight = options["id_column"], options["seed"], options["weight"]
     weight = F.lit(1.0) if weight is None else F.coalesce(F.when(weight > 0, weight.cast("double")), F.lit(1.0))
     rows = documents.select(
-        F.col(id_column).alias("_id"), F.col(source_column).alias("_source"),
-        F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        (-F.log(unit_draw(F.col(id_column), seed)) / weight).alias("_key"),
+        F.col(id_column).alias("_id"), F.col(options["source_column"]).alias("_source"),
+        F.coalesce(F.regexp_count(F.col(options["text_column"]), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+        (-F.log(unit_draw(F.col(id_column), seed)) / weight).alias("_key"), *[column.alias(name) for name, column in carried.items()],
     )
     order = [F.col("_key"), F.col("_id"), F.col("size")]
     files = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = staged(
         rows.repartitionByRange(files, F.col("_source"), *order).withColumn("_part", F.spark_partition_id()), "mix-ranges"
     )
-    targets = source_targets(ranged, "_source", weights, most)
+    targets = source_targets(ranged, "_source", options["weights"], options["most"])
     summed = with_running_total(ranged, ["_source"], order, "size", "_before")
     joined = summed.join(targets.withColumnRenamed("_source", "_named"), F.col("_source").eqNullSafe(F.col("_named")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     budget = F.col("target") - F.col("_epochs") * F.col("source_size")
     more = (F.col("_before") + F.col("size") / 2 <= budget).cast("bigint")
-    return joined.withColumn("_epochs", epochs).select(
-        F.col("_id").alias(id_column), "size", "source_size", "target",
-        ((F.col("_epochs") + more) * F.col("size")).alias("taken"),
+    return joined.withColumn("_epochs", epochs).withColumn("_times", F.col("_epochs") + more)
+
+
+def mixture(
+    documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+    weight: Column | None = None, weights: tuple = SOURCE_WEIGHTS, most: int = MOST, seed: str = SEED,
+) -> DataFrame:
+    """``id, size, source_size, target, taken`` of every row."""
+    options = dict(id_column=id_column, text_column=text_column, source_column=source_column, weight=weight, weights=weights, most=most, seed=seed)
+    return _mixed(documents, {}, options).select(
+        F.col("_id").alias(id_column), "size", "source_size", "target", (F.col("_times") * F.col("size")).alias("taken")
+    )
+
+
+def mixed_documents(
+    documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+    weight: Column | None = None, weights: tuple = SOURCE_WEIGHTS, most: int = MOST, seed: str = SEED, columns: list[str] | None = None,
+) -> DataFrame:
+    """The mix itself: every document as many times as it is taken, with ``columns`` (all by default).
+
+    Rows are told apart by a hash of these columns; rows that are equal in all of them share
+    what is taken of them.
+    """
+    columns = columns or documents.columns
+    options = dict(id_column=id_column, text_column=text_column, source_column=source_column, weight=weight, weights=weights, most=most, seed=seed)
+    row = F.xxhash64(*columns)
+    times = staged(
+        _mixed(documents, {"_row": row}, options).groupBy("_row").agg(F.sum("_times").alias("_times"), F.count(F.lit(1)).alias("_alike"))
+        .where("_times > 0"), "mix-times"
     )
+    joined = documents.select(*columns, row.alias("_row")).join(times, "_row")
+    once = joined.where("_alike = 1").unionByName(joined.where("_alike > 1").dropDuplicates(["_row"]))
+    return once.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")).drop("_copy")
 
 
 def mixture_sql(documents: str, weight: str, seed: str = SEED, most: int = MOST) -> str:
