@@ -42,7 +42,7 @@ from gistmill.session import staged
 LENGTH = 2048
 
 #: Pieces and gaps in one range.
-RANGE_ROWS = 10_000
+RANGE_ROWS = 50_000
 
 #: A round that places less than this part of what it leaves opens sequences in any case.
 STALLED = 10
@@ -103,7 +103,8 @@ def _round(left: DataFrame, gaps: DataFrame, length: int, ranges: int) -> tuple[
         gaps.select("id", "size", F.lit(0).alias("is_piece"), F.lit(None).cast(row).alias("row"))
     )
     order = [F.col("size").desc(), F.col("is_piece"), F.xxhash64("id")]
-    dealt = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # rows for one range need not be dealt out
+    dealt = (both.repartitionByRange(ranges, *order) if ranges > 1 else both.coalesce(1)).sortWithinPartitions(*order)
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return sweep_range(batches, length, TaskContext.get().partitionId())
