@@ -3,8 +3,9 @@
 A text is cut into windows, one for each word.  Each window is compressed twice by zstandard,
 once with a dictionary of ordinary text and once with that and a dictionary of toxic text
 behind it; the bytes that the second saves are the window's gain.  A window stands
-between the same two runs of ordinary text in every frame: fixed costs are met by these, and
-the compressor, which looks for no match in the last few bytes, sees the whole word.
+between the same two runs of ordinary text in both frames: fixed costs are met by these, and
+the compressor, which looks for no match in the last few bytes, sees the whole word.  Gains
+are whole bytes and depend a little on these runs, so they are summed over a few pairs.
 Windows like anything ordinary gain nothing, whatever their language.
 
 Training takes a bounded sample of labelled texts (``MOST_TEXTS``, ``MOST_LENGTH``).  Near copies are taken
@@ -34,10 +35,11 @@ from pyspark.sql import functions as F
 from gistmill.llm.common import small_batches
 
 #: Labelled texts that are fitted at most, and the longest of them in code points.
-MOST_TEXTS, MOST_LENGTH = 5_000, 20_000
+MOST_TEXTS, MOST_LENGTH = 5_000, 50_000
 
-#: Words of a training window, sizes of the dictionaries, bytes of ordinary text before a window.
-TRAINING_WORDS, TOXIC_BYTES, ORDINARY_BYTES, LEAD = 8, 512, 8192, 32
+#: Words of a training window, sizes of the dictionaries, bytes of ordinary text before
+#: and behind a window, and how many pairs of these.
+TRAINING_WORDS, TOXIC_BYTES, ORDINARY_BYTES, LEAD, FRAMES = 8, 512, 8192, 32, 3
 
 #: How a trained dictionary begins (fixed value of the format).
 DICTIONARY_MAGIC = bytes.fromhex("37a430ec")
@@ -46,7 +48,7 @@ DICTIONARY_MAGIC = bytes.fromhex("37a430ec")
 REMEMBERED = 500_000
 
 #: Bytes above the least gain from which a window gains much.
-MUCH = 3
+MUCH = 6
 
 #: A stem (the first characters of words) is distinctive if this share of toxic texts has
 #: it, so many times the ordinary share, and that is so many deviations above chance.
@@ -88,6 +90,8 @@ class Model:
                 strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0,
             )
             self._pair, self._known = [], {}
+            cuts = [self.ordinary[len(self.ordinary) - k * LEAD:][:LEAD] for k in range(2, 2 + 2 * FRAMES)]
+            self._frames = [(lead + b" ", b" " + tail) for lead, tail in zip(cuts[::2], cuts[1::2])]
             # the compressor does not look into a dictionary's last few bytes either
             for content in (self.ordinary, self.ordinary + self.toxic + b" " * 16):
                 trained = content[:4] == DICTIONARY_MAGIC
@@ -102,11 +106,13 @@ class Model:
         (plain, toxic), known = self.pair(), self._known
         if len(known) > REMEMBERED:
             known.clear()
-        lead, tail = self.ordinary[-2 * LEAD: -LEAD] + b" ", b" " + self.ordinary[-3 * LEAD: -2 * LEAD]
         for word in found:
             if word not in known:
-                window = lead + word + tail
-                known[word] = len(plain.compress(window)) - len(toxic.compress(window))
+                gain = 0
+                for lead, tail in self._frames:
+                    window = lead + word + tail
+                    gain += len(plain.compress(window)) - len(toxic.compress(window))
+                known[word] = gain
         return np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found))
 
     def score(self, text: str | None) -> float:
@@ -186,7 +192,7 @@ def fit(rows: list[tuple]) -> Model:
         return model
     gains = [(toxic, found, model.gains(found)) for toxic, found in kept]
     best = None
-    for least in range(2, 7):
+    for least in range(3, 16, 2):
         x = np.stack([signs(found, g, least) for _, found, g in gains])
         y = np.array([toxic for toxic, _, _ in gains], dtype=float)
         weights = _logistic(x, y)
