@@ -48,17 +48,15 @@ def op8_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
     return spotsigs.edited_fingerprints(read_table(spark, folder, "documents"))
 
 
-def weighted_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with ``_weight``: 2 if labelled good, 1/2 if labelled poor, 1 without label."""
-    best = labels.groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("quality").alias("_quality"))
-    weight = F.when(F.col("_quality") == 1, 2.0).when(F.col("_quality") == 0, 0.5).otherwise(1.0)
-    return documents.join(best, F.col("doc_id") == F.col("_labelled"), "left").withColumn("_weight", weight)
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """``doc_id, weight``: 2 if labelled good, 1/2 if labelled poor."""
+    best = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return best.select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0).alias("weight"))
 
 
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    documents = read_table(spark, folder, "documents").select("doc_id", "source", "text")
-    rows = weighted_documents(documents, read_table(spark, folder, "labels"))
-    return mixing.mixture(rows, weight=F.col("_weight"))
+    quality = quality_weights(read_table(spark, folder, "labels"))
+    return mixing.mixture(read_table(spark, folder, "documents"), quality=quality)
 
 
 _WEIGHTED = """(SELECT d.doc_id, d.source, d.text, CASE q WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS weight

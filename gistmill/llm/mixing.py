@@ -15,7 +15,7 @@ One source may hold most rows: running sums are taken inside ranges of the sorte
 only one row for each range and source is summed across ranges.
 
 Defined results: null or empty text has size 0 and its ``taken`` is 0; a null source is a
-source of its own, after all others; null or non-positive document weights count as 1; rows
+source of its own, after all others; null, non-positive or absent document weights count as 1; rows
 that repeat an id draw the same key and are taken one after the other; an empty table gives
 no rows; other columns are kept by ``mixed_documents`` and ignored by ``mixture``.
 """
@@ -58,13 +58,17 @@ def source_targets(sizes: DataFrame, source: str, weights: tuple = SOURCE_WEIGHT
 
 def _mixed(documents: DataFrame, carried: dict[str, Column], options: dict) -> DataFrame:
     """Rows with ``carried`` columns, ``size, source_size, target`` and how many times each is taken."""
-    id_column, seed, weight = options["id_column"], options["seed"], options["weight"]
-    weight = F.lit(1.0) if weight is None else F.coalesce(F.when(weight > 0, weight.cast("double")), F.lit(1.0))
     rows = documents.select(
-        F.col(id_column).alias("_id"), F.col(options["source_column"]).alias("_source"),
+        F.col(options["id_column"]).alias("_id"), F.col(options["source_column"]).alias("_source"),
         F.coalesce(F.regexp_count(F.col(options["text_column"]), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        (-F.log(unit_draw(F.col(id_column), seed)) / weight).alias("_key"), *[column.alias(name) for name, column in carried.items()],
+        *[column.alias(name) for name, column in carried.items()],
     )
+    weight = F.lit(1.0)
+    if options["quality"] is not None:  # texts are behind these rows already
+        given = options["quality"].select(F.col(options["id_column"]).alias("_named"), F.col("weight").cast("double").alias("_weight"))
+        rows = rows.join(given, F.col("_id") == F.col("_named"), "left").drop("_named")
+        weight = F.coalesce(F.when(F.col("_weight") > 0, F.col("_weight")), F.lit(1.0))
+    rows = rows.withColumn("_key", -F.log(unit_draw(F.col("_id"), options["seed"])) / weight).drop("_weight")
     order = [F.col("_key"), F.col("_id"), F.col("size")]
     files = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = staged(
@@ -81,10 +85,10 @@ def _mixed(documents: DataFrame, carried: dict[str, Column], options: dict) -> D
 
 def mixture(
     documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
-    weight: Column | None = None, weights: tuple = SOURCE_WEIGHTS, most: int = MOST, seed: str = SEED,
+    quality: DataFrame | None = None, weights: tuple = SOURCE_WEIGHTS, most: int = MOST, seed: str = SEED,
 ) -> DataFrame:
-    """``id, size, source_size, target, taken`` of every row."""
-    options = dict(id_column=id_column, text_column=text_column, source_column=source_column, weight=weight, weights=weights, most=most, seed=seed)
+    """``id, size, source_size, target, taken`` of every row; ``quality`` has ids, each once, and a ``weight``."""
+    options = dict(id_column=id_column, text_column=text_column, source_column=source_column, quality=quality, weights=weights, most=most, seed=seed)
     return _mixed(documents, {}, options).select(
         F.col("_id").alias(id_column), "size", "source_size", "target", (F.col("_times") * F.col("size")).alias("taken")
     )
@@ -92,20 +96,20 @@ def mixture(
 
 def mixed_documents(
     documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
-    weight: Column | None = None, weights: tuple = SOURCE_WEIGHTS, most: int = MOST, seed: str = SEED, columns: list[str] | None = None,
+    quality: DataFrame | None = None, weights: tuple = SOURCE_WEIGHTS, most: int = MOST, seed: str = SEED,
 ) -> DataFrame:
-    """The mix itself: every document as many times as it is taken, with ``columns`` (all by default).
+    """The mix itself: every document, with all its columns, as many times as it is taken.
 
-    Rows are told apart by a hash of these columns; rows that are equal in all of them share
-    what is taken of them.
+    Rows are told apart by a hash of their columns; rows that are equal in all of them share
+    what is taken of them.  Texts cross one shuffle, whatever their number.
     """
-    columns = columns or documents.columns
-    options = dict(id_column=id_column, text_column=text_column, source_column=source_column, weight=weight, weights=weights, most=most, seed=seed)
+    columns = documents.columns
+    options = dict(id_column=id_column, text_column=text_column, source_column=source_column, quality=quality, weights=weights, most=most, seed=seed)
     row = F.xxhash64(*columns)
     times = staged(
         _mixed(documents, {"_row": row}, options).groupBy("_row").agg(F.sum("_times").alias("_times"), F.count(F.lit(1)).alias("_alike"))
         .where("_times > 0"), "mix-times"
-    )
+    ).hint("merge")
     joined = documents.select(*columns, row.alias("_row")).join(times, "_row")
     once = joined.where("_alike = 1").unionByName(joined.where("_alike > 1").dropDuplicates(["_row"]))
     return once.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")).drop("_copy")

@@ -187,8 +187,27 @@ def one_of_each_group(documents: DataFrame, *, id_column: str = "doc_id", text_c
     unnamed = F.col("_id").isNull().alias("unnamed")
     chosen = staged(
         prints.join(named.select("print", "root"), "print").groupBy("root")
-        .agg(F.min(F.struct(unnamed, "_id", "print", "_hash")).alias("best")).select("best._id", "best._hash"), "simhash-chosen"
+        .agg(F.min(F.struct(unnamed, "_id", "print", "_hash")).alias("best")).select("best.*"), "simhash-chosen"
     )
-    kept = documents.withColumn("_hash", F.xxhash64(text_column))
-    kept = kept.join(chosen, kept[id_column].eqNullSafe(chosen["_id"]) & (kept["_hash"] == chosen["_hash"]), "left_semi")
-    return kept.dropDuplicates([id_column, "_hash"]).drop("_hash")
+    return single_rows(documents, prints, chosen, id_column, text_column)
+
+
+def single_rows(documents: DataFrame, prints: DataFrame, chosen: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Documents of the chosen ids and text hashes, one row for each.
+
+    Texts cross one shuffle, whatever their number; only rows that repeat both are
+    gathered to leave one.
+    """
+    columns = documents.columns
+    repeated = prints.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_rows"))
+    wanted = staged(
+        chosen.select(F.struct("_id", "_hash").alias("_key")).join(
+            repeated.select(F.struct("_id", "_hash").alias("_key"), "_rows"), "_key"
+        ).select(F.col("_key._id").alias("_id"), F.col("_key._hash").alias("_hash"), "_rows"), "simhash-wanted"
+    ).hint("merge")
+    hashed = documents.withColumn("_own", F.xxhash64(text_column))
+    joined = hashed.join(wanted, hashed[id_column].eqNullSafe(wanted["_id"]) & (hashed["_own"] == wanted["_hash"])).select(
+        *[hashed[name] for name in columns], "_own", "_rows"
+    )
+    once = joined.where("_rows = 1").select(*columns)
+    return once.unionByName(joined.where("_rows > 1").dropDuplicates([id_column, "_own"]).select(*columns))

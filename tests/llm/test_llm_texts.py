@@ -133,7 +133,8 @@ def test_mix_epochs_caps_and_weights(spark):
     mixed = mixing.mixed_documents(edge.documents(spark, rows))
     assert mixed.columns == edge.documents(spark, rows).columns
     assert {r.source: 10 * r["count"] for r in mixed.groupBy("source").count().collect()} == {s: r.k for s, r in by.items()}
-    heavy = mixing.mixture(edge.documents(spark, rows), weight=F.when(F.col("doc_id") % 2 == 0, 50.0).otherwise(1.0))
+    quality = spark.createDataFrame([(i, 50.0) for i in range(0, 400, 2)] + [(1, -3.0), (3, None), (None, 9.0)], "doc_id bigint, weight double")
+    heavy = mixing.mixture(edge.documents(spark, rows), quality=quality)
     sums = {r.even: r.s for r in heavy.where("doc_id >= 210").groupBy((F.col("doc_id") % 2 == 0).alias("even")).agg(F.sum("taken").alias("s")).collect()}
     assert sums[True] > 1.5 * sums[False]
 
