@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.functions import entries as en
-from gistmill.operators.skew import join_by_corpus
 from gistmill.schemas import ENTRY, KEY
 
-# A corpus whose digest text is at most this long becomes one document.
-ONE_DOCUMENT_BYTES = 64 * 1024 * 1024
-
 
 def stamp(run_time: datetime.datetime) -> Column:
     """Run time as a literal without zone, in whole seconds as digests keep it."""
@@ -76,18 +73,21 @@ def digest_lines(digest: DataFrame, totals: DataFrame, run_time: datetime.dateti
     return headers.unionByName(bodies)
 
 
-def digest_documents(lines: DataFrame, one_document_bytes: int = ONE_DOCUMENT_BYTES) -> DataFrame:
-    """Digest texts as ``corpus_id, first_path, document``.
+def digest_documents(lines: DataFrame, boundaries: Sequence[str]) -> DataFrame:
+    """Digest texts as ``corpus_id, part, document``: the parts of a corpus in order are its text.
 
-    A corpus within the size bound is one row, with the empty ``first_path``.  A larger one
-    stays one row per piece: no corpus is gathered in a task unless its size is known to be
-    small, and joining the rows in ``first_path`` order gives the same text in both cases.
+    ``boundaries`` are paths in ascending order; a part holds the entries from one boundary up
+    to the next, so without any there is one document a corpus.  The caller chooses them, for
+    corpora of any size; :func:`path_boundaries` finds some that part the entries evenly.
     """
-    sizes = lines.groupBy("corpus_id").agg(F.sum(F.octet_length("value")).alias("bytes"))
-    placed = join_by_corpus(lines, sizes).withColumn(
-        "first_path",
-        F.when(F.col("bytes") <= one_document_bytes, F.lit("")).otherwise(F.col("relative_path")),
-    )
-    return placed.groupBy("corpus_id", "first_path").agg(
+    part = sum((F.col("relative_path") >= path).cast("int") for path in boundaries) if boundaries else F.lit(0)
+    return lines.withColumn("part", part).groupBy("corpus_id", "part").agg(
         F.expr("listagg(value, '') within group (order by relative_path)").alias("document")
     )
+
+
+def path_boundaries(lines: DataFrame, parts: int) -> list[str]:
+    """Paths that cut all entries into about ``parts`` even ranges; reads the paths once."""
+    ranged = lines.select("relative_path").repartitionByRange(parts, "relative_path")
+    first = ranged.groupBy(F.spark_partition_id().alias("range")).agg(F.min("relative_path").alias("path")).orderBy("range")
+    return [row.path for row in first.collect()][1:]

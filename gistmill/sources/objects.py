@@ -29,6 +29,11 @@ def qualified_path(spark: SparkSession, path: str) -> str:
     return given.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(given).toString()
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    given = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return given.getFileSystem(spark._jsc.hadoopConfiguration()).exists(given)
+
+
 def read_objects(spark: SparkSession, root: str, corpus_id: str | None = None) -> DataFrame:
     """Files below ``root`` as one corpus, or, without ``corpus_id``, one corpus per child directory."""
     source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
