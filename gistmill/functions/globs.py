@@ -110,7 +110,7 @@ def rule_fragments(rule: str) -> tuple[str | None, str | None]:
         directory = rule[:-2]
         glob, literal = glob_regex(directory), _escape(directory)
         return (f"{glob}(?:/.*)?" if glob == literal else f"{glob}|{literal}/.*"), None
-    if "/" in rule:
+    if any(piece.kind == "text" and piece.text == "/" for piece in _pieces(rule)):
         by_name = None
     else:
         by_name = glob_regex(rule, within_name=True)

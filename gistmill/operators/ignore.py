@@ -6,6 +6,8 @@ above it is hit, so a walk would not have come across it; such files count nowhe
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterable
 
 import pandas as pd
@@ -74,12 +76,27 @@ def _fragments(rules: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([rule_fragments(rule) for rule in rules], columns=["path", "name"])
 
 
+@functools.lru_cache(maxsize=10_000)
+def _compiled(regex: str) -> re.Pattern:
+    return re.compile(regex.replace(r"\z", r"\Z"))
+
+
+@F.pandas_udf(T.BooleanType())
+def hits(paths: pd.Series, regexes: pd.Series) -> pd.Series:
+    """Whether an expression that differs by row hits; each is compiled once a worker, not once a row."""
+    return pd.Series([
+        None if path is None or regex is None else _compiled(regex).search(path) is not None for path, regex in zip(paths, regexes)
+    ], dtype=object)
+
+
 def rules_by_corpus(rules: DataFrame) -> DataFrame:
     """``corpus_id, pattern`` rows folded to the two expressions of each corpus.
 
     A corpus has as many rules as its rule file has lines; files never enter this group.
     """
-    parts = rules.distinct().withColumn("fragment", _fragments("pattern"))
+    # many corpora share a rule, which is translated once
+    translated = rules.select("pattern").distinct().withColumn("fragment", _fragments("pattern"))
+    parts = rules.distinct().join(translated, "pattern")
 
     def joined(field: str) -> Column:
         found = F.array_sort(F.collect_set(F.col("fragment")[field]))
@@ -139,8 +156,8 @@ def with_scan_class(
     return (
         with_corpus_rules(files, own_rules)
         .withColumn("scan_class", _classify(
-            below | F.coalesce(F.rlike(path, F.col("ancestor_regex")), F.lit(False)),
-            itself | F.coalesce(F.rlike(path, F.col("itself_regex")), F.lit(False)),
+            below | F.coalesce(hits(path, F.col("ancestor_regex")), F.lit(False)),
+            itself | F.coalesce(hits(path, F.col("itself_regex")), F.lit(False)),
         ))
         .drop("ancestor_regex", "itself_regex")
     )

@@ -75,6 +75,22 @@ def test_odd_rules_agree_with_a_walk(spark):
         assert all(compiled.hits(p) == hit(p, rules) for p in paths)
 
 
+def test_slashes_in_character_classes(spark):
+    rng = random.Random(19)
+    fixed = [["[a/b]x"], ["[!/]x"], ["[a/b]x", "[!/]x/*"]]
+    drawn = [[rng.choice(["[a/b]", "[!/]", "[+-0]", "a"]) + rng.choice(["x", "*", "?x", "[/]"]) for _ in range(3)] for _ in range(6)]
+    for rules in fixed + drawn:
+        paths = ["dir/ax", "ax", "bx/c", "d/bx/c", *["/".join(rng.choice(["ax", "x", "ab", "bx", "axx"]) for _ in range(rng.randint(1, 4))) for _ in range(80)]]
+        rows = spark.createDataFrame([(p,) for p in paths], "path string").select("path", ignore.scan_class(F.col("path"), rules).alias("c")).collect()
+        for row in rows:
+            assert row.c == walk_class(row.path, rules), (rules, row.path)
+    assert scan_of(spark, "dir/ax", ["[a/b]x"]) == scan_of(spark, "dir/ax", ["[!/]x"]) == "ignored"
+
+
+def scan_of(spark, path, rules):
+    return spark.createDataFrame([(path,)], "path string").select(ignore.scan_class(F.col("path"), rules)).first()[0]
+
+
 def test_depth_and_trailing_slash(spark):
     cases = {
         "node_modules/a": "pruned", "src/node_modules/a": "kept", "x/y.egg-info/z": "pruned",
