@@ -14,8 +14,7 @@ from gistmill.schemas import CHAT_RESPONSE
 def chat_request(relative_path: Column, text: Column, model: str) -> Column:
     """JSON body that asks for the summary of one file."""
     question = F.concat(
-        F.lit("Describe this file in the required form.\n\nFile: "), relative_path,
-        F.lit("\n\nContent:\n```\n"), text, F.lit("\n```"),
+        F.lit("Path: "), relative_path, F.lit("\n----- text of the file -----\n"), text, F.lit("\n----- end of the file -----"),
     )
 
     def message(role: str, content: Column) -> Column:
@@ -30,9 +29,16 @@ def chat_request(relative_path: Column, text: Column, model: str) -> Column:
     ))
 
 
+def _content(body: Column) -> Column:
+    """Text of the first choice; only a JSON string is an answer."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), "$.choices[0].message.content", "variant"))
+    text = F.get(F.from_json(body, CHAT_RESPONSE)["choices"], F.lit(0))["message"]["content"]
+    return F.when(kind == "STRING", text)
+
+
 def chat_answer(status_code: Column, body: Column, relative_path: Column) -> Column:
     """Text of the first choice of a successful response; NULL for any other response."""
-    answer = F.get(F.from_json(body, CHAT_RESPONSE)["choices"], F.lit(0))["message"]["content"]
+    answer = _content(body)
     return F.when(status_code == 200, strip_header(strip(answer), relative_path))
 
 
@@ -44,26 +50,22 @@ def attempt_error(
     A transport failure has an ``error_kind`` and its detail in ``body``.
     """
     choices = F.from_json(body, CHAT_RESPONSE)["choices"]
-    answer = F.get(choices, F.lit(0))["message"]["content"]
+    answer = _content(body)
     detail = F.coalesce(body, F.lit(""))
     return (
         F.when(error_kind == "no_key", F.lit(fv.NO_KEY))
-        .when(error_kind == "timeout", F.lit(f"API request timed out after {timeout}s"))
-        .when(error_kind == "connection", F.concat(F.lit("Connection error: "), detail))
-        .when(error_kind == "request", F.concat(F.lit("API request failed: "), detail))
-        .when(error_kind.isNotNull(), F.concat(F.lit("Unexpected error: "), detail))
+        .when(error_kind == "timeout", F.lit(fv.TIMED_OUT.format(timeout)))
+        .when(error_kind == "connection", F.concat(F.lit(fv.CONNECTION_FAILED), detail))
+        .when(error_kind == "request", F.concat(F.lit(fv.REQUEST_FAILED), detail))
+        .when(error_kind.isNotNull(), F.concat(F.lit(fv.UNEXPECTED), detail))
         .when(F.coalesce(status_code, F.lit(0)) != 200,
-              F.concat(F.lit("API error "), F.coalesce(status_code.cast("string"), F.lit("none")),
+              F.concat(F.lit(fv.API_ERROR), F.coalesce(status_code.cast("string"), F.lit("none")),
                        F.lit(": "), detail))
+        .when(F.try_parse_json(body).isNull(), F.lit(fv.REQUEST_FAILED + fv.NOT_JSON))
         .when(F.coalesce(F.size(choices), F.lit(0)) < 1, F.lit(fv.NO_CHOICES))
-        .when(answer.isNull(), F.lit("Unexpected error: the first choice has no text"))
+        .when(answer.isNull(), F.lit(fv.NO_TEXT))
     )
 
 
-def failed_text(error: Column) -> Column:
-    """Failure as a result text, for callers that keep only text."""
-    return F.concat(F.lit("Error: "), error)
-
-
 def is_failed_text(result: Column) -> Column:
-    return F.startswith(result, F.lit("Error:"))
+    return F.startswith(result, F.lit(fv.FAILED_TEXT))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,9 @@ from gistmill.schemas import KEY
 # Takes the JSON request, returns the status code and the body; raises when no response came.
 ChatClient = Callable[[str], tuple[int, str]]
 
+# Calls of one thread before their results are handed on.
+GROUP_CALLS = 4
+
 _CALLED = "corpus_id string, relative_path string, attempts int, status_code int, error_kind string, body string"
 
 
@@ -64,20 +68,25 @@ def call_model(
 
     Returns ``corpus_id, relative_path, summary, error, attempts``; exactly one of
     ``summary`` and ``error`` is set.  Building requests and reading answers are column
-    functions; Python only makes the calls, one batch of requests after another.  ``tasks``
-    sets how many calls run at a time.  Evaluate the result once, into a table: every
-    evaluation calls the model.
+    functions; Python only makes the calls, ``options.calls_per_task`` at a time in each of
+    ``tasks`` tasks (as many as shuffle partitions, unless given), so ``client`` is called
+    from several threads.  Evaluate the result once, into a table: every evaluation calls
+    the model.
     """
-    limit, pause = options.retry_attempts, options.retry_pause
+    limit, pause, at_once = options.retry_attempts, options.retry_pause, options.calls_per_task
 
     def calls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            outcomes = [_call(client, request, limit, pause) for request in batch["request"]]
-            called = pd.DataFrame(
-                outcomes, columns=["attempts", "status_code", "error_kind", "body"], index=batch.index
-            )
-            called["status_code"] = called["status_code"].astype("Int32")
-            yield pd.concat([batch[KEY], called], axis=1)
+            # small groups: what a lost task had finished before the last one is handed on
+            for start in range(0, len(batch), GROUP_CALLS * at_once):
+                group = batch.iloc[start: start + GROUP_CALLS * at_once]
+                with ThreadPoolExecutor(at_once) as pool:
+                    outcomes = list(pool.map(lambda request: _call(client, request, limit, pause), group["request"]))
+                called = pd.DataFrame(
+                    outcomes, columns=["attempts", "status_code", "error_kind", "body"], index=group.index
+                )
+                called["status_code"] = called["status_code"].astype("Int32")
+                yield pd.concat([group[KEY], called], axis=1)
 
     requests = texts.select(
         *KEY, chat.chat_request(F.col("relative_path"), F.col("text"), options.model).alias("request")
@@ -88,9 +97,8 @@ def call_model(
             F.lit("no_key").alias("error_kind"), F.lit(None).cast("string").alias("body"),
         )
     else:
-        if tasks:
-            requests = requests.repartition(tasks, *KEY)
-        answered = requests.mapInPandas(calls, _CALLED)
+        tasks = tasks or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        answered = requests.repartition(tasks, *KEY).mapInPandas(calls, _CALLED)
     code, kind, body = F.col("status_code"), F.col("error_kind"), F.col("body")
     return answered.select(
         *KEY,

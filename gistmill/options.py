@@ -25,16 +25,17 @@ class DigestMode(str, enum.Enum):
 
 @dataclasses.dataclass(frozen=True)
 class DigestOptions:
-    """Scalars that enter the plans as literals."""
+    """Scalars that enter the plans as literals; ``api_url`` is for the caller's client."""
 
     mode: DigestMode = DigestMode.AI
     api_key: str | None = None
-    api_url: str = fv.API_URL
-    model: str = fv.MODEL
+    api_url: str | None = None
+    model: str | None = None
     token_threshold: int = fv.TOKEN_THRESHOLD
     timeout: float = fv.TIMEOUT_SECONDS
     retry_attempts: int = fv.RETRY_ATTEMPTS
     retry_pause: float = fv.RETRY_PAUSE_SECONDS
+    calls_per_task: int = 8
     max_file_size_mb: float = fv.MAX_FILE_SIZE_MB
     output_file: str = fv.DIGEST_FILE
     ignore_file: str = fv.IGNORE_FILE
@@ -46,3 +47,5 @@ class DigestOptions:
         """Fail before anything is read when the model is needed but cannot be called."""
         if self.mode is DigestMode.AI and not self.api_key:
             raise ValueError("summarising with a model needs an API key; set api_key or use mock mode")
+        if self.mode is DigestMode.AI and not self.model:
+            raise ValueError("summarising with a model needs the name of the model")

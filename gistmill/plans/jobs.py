@@ -1,8 +1,8 @@
 """Whole jobs: status, update, rebuild.
 
-The plan of a run scans the files once and joins them once with the stored digest, on the
-full key.  Hash, route and ready-made content are worked out in the scan stage, so only
-short rows cross the shuffle; the texts of files to be summarised do not.
+A run first compares keys and checksums with those of the stored digest, which are short
+rows, and so knows which files are due.  Only their contents are decoded, routed and turned
+into entries; contents that did not change stay where they are.
 """
 
 from __future__ import annotations
@@ -20,9 +20,8 @@ from gistmill.operators.digest import rendered, stamp
 from gistmill.operators.skew import join_by_corpus
 from gistmill.operators.summarise import ChatClient, call_model, ready_content
 from gistmill.options import DigestMode, DigestOptions
-from gistmill.schemas import KEY, LISTING, STATE
+from gistmill.schemas import ENTRY, KEY, LISTING, STATE
 from gistmill.session import staged
-from gistmill.sources.http_chat import HttpChatClient
 from gistmill.sources.tables import StateStore
 
 
@@ -31,44 +30,54 @@ def current_files(files: DataFrame, own_rules: DataFrame | None = None) -> DataF
     return ignore.kept(ignore.with_scan_class(files, own_rules))
 
 
-def assess(current: DataFrame, state: DataFrame, options: DigestOptions) -> DataFrame:
-    """Route, status and stored entry of each current file."""
-    return status.with_status(route.with_route(current, options), state)
+def compared(current: DataFrame, state: DataFrame, everything: bool = False, strict: bool = False) -> DataFrame:
+    """``corpus_id, relative_path, checksum, status, due`` of each current file, from short rows on both sides."""
+    rows = status.with_status(current.select(*KEY, "checksum"), state)
+    due = F.lit(True) if everything else status.is_due(strict)
+    return rows.select(*KEY, "checksum", "status", due.alias("due"))
+
+
+def due_only(files: DataFrame, keys: DataFrame, everything: bool) -> DataFrame:
+    """Files, with their contents, that are due; few keys reach the scan, many are joined."""
+    if everything:
+        return files
+    return files.join(keys.where("due").select(*KEY), KEY, "left_semi")
+
+
+def routed(files: DataFrame, options: DigestOptions) -> DataFrame:
+    """``corpus_id, relative_path, route, ready, is_ready``: entry content where no model is needed."""
+    ready = ready_content(options)
+    return route.with_route(files, options).select(*KEY, "route", ready.alias("ready"), ready.isNotNull().alias("is_ready"))
 
 
 def _fresh(run_time: datetime.datetime, content: Column) -> Column:
-    return F.when(content.isNotNull(), F.struct(
-        stamp(run_time).alias("summary_date"), F.col("checksum"), content.alias("content"),
-    ))
+    return F.struct(stamp(run_time).alias("summary_date"), F.col("checksum"), content.alias("content"))
 
 
-def conclude(
-    assessed: DataFrame, due: Column, content: Column, run_time: datetime.datetime
-) -> DataFrame:
+def conclude(rows: DataFrame, state: DataFrame, content: Column, done: Column, run_time: datetime.datetime) -> DataFrame:
     """Run log: per current file its status, route, outcome and resulting entry.
 
-    Files that are not due have no outcome.  The entry columns are NULL where a file got
-    no entry now and had none before.
+    Files that are not due have neither route nor outcome.  The entry columns are NULL where
+    a file got no entry now and had none before.  ``done`` says whether ``content`` is there,
+    so that counting outcomes moves no contents.
     """
-    fresh = F.when(due, _fresh(run_time, content))
-    finished = assessed.withColumn("fresh", fresh).withColumn("done", F.col("fresh").isNotNull())
-    return finished.select(
+    finished = rows.withColumn("done", F.col("due") & F.coalesce(done, F.lit(False)))
+    stored = state.select(*KEY, F.struct(*ENTRY.fieldNames()).alias("stored"))
+    return finished.join(stored, KEY, "left").select(
         *KEY, "status", "route",
-        F.when(due, report.outcome()).alias("outcome"),
-        F.coalesce("fresh", status.previous_entry()).alias("entry"),
+        F.when(F.col("due"), report.outcome()).alias("outcome"),
+        F.when(F.col("done"), _fresh(run_time, content)).otherwise(F.col("stored")).alias("entry"),
     ).select(*KEY, "status", "route", "outcome", "entry.*")
 
 
 def with_untouched(log: DataFrame, state: DataFrame, names: DataFrame) -> DataFrame:
     """Add the stored entries of corpora without any current file; a run leaves them alone.
 
-    Usually there are none.  That is looked up first, from names only, because the stored
-    contents need not be read again then.  ``names`` has the keys of the current files.
+    Usually there are none, and nothing is left of this side once their names are known.
+    ``names`` has the keys of the current files.
     """
     stored, present = state.select("corpus_id").distinct(), names.select("corpus_id").distinct()
     absent = stored.join(present, "corpus_id", "left_anti")
-    if absent.isEmpty():
-        return log
     return log.unionByName(join_by_corpus(state, absent, "left_semi"), allowMissingColumns=True)
 
 
@@ -82,9 +91,10 @@ def plan_current(
     own_rules: DataFrame | None = None,
 ) -> DataFrame:
     """Run log of the current files, for modes that need no model."""
-    due = F.lit(True) if everything else status.is_due(strict)
-    assessed = assess(current_files(files, own_rules), state, options)
-    return conclude(assessed, due, ready_content(options), run_time)
+    current = current_files(files, own_rules)
+    keys = compared(current, state, everything, strict)
+    made = routed(due_only(current, keys, everything), options)
+    return conclude(keys.join(made, KEY, "left"), state, F.col("ready"), F.col("is_ready"), run_time)
 
 
 def plan_run(
@@ -122,13 +132,11 @@ def process_files(
     ``update`` takes the files that are due, a missing stored checksum included; ``status``
     gives no rows; anything else takes all files.
     """
-    rows = assess(files, state, options)
-    if mode == "update":
-        rows = rows.where(status.is_due(strict=True))
-    elif mode == "status":
-        rows = rows.where(F.lit(False))
-    fresh = rows.withColumn("fresh", _fresh(run_time, ready_content(options)))
-    return rendered(fresh.where(F.col("fresh").isNotNull()).select(*KEY, "fresh.*"))
+    if mode == "status":
+        files = files.where(F.lit(False))
+    keys = compared(files, state, mode != "update", strict=True)
+    made = routed(due_only(files, keys, mode != "update"), options).where("is_ready")
+    return rendered(made.join(keys.select(*KEY, "checksum"), KEY).select(*KEY, _fresh(run_time, F.col("ready")).alias("fresh")).select(*KEY, "fresh.*"))
 
 
 @dataclasses.dataclass(frozen=True)
@@ -181,9 +189,9 @@ def run_job(
 ) -> int:
     """Run an update, or a rebuild with ``everything``, and store the new version.
 
-    Deletions are applied even when nothing else changed.  With a model the run has three
-    writes: the assessment, the answers, and the new version; whatever is lost is computed
-    again from the last of them.  ``client`` may replace the HTTP endpoint of the options.
+    Deletions are applied even when nothing else changed.  With a model the run writes what
+    is due, the routes, the answers, and the new version; whatever is lost is computed again
+    from the last of them.  ``client`` makes the calls and is needed only then.
     ``fetch`` reads the contents of listed files, so that only the files to be summarised
     are opened again; without it ``files`` is scanned again for them.
     """
@@ -193,22 +201,21 @@ def run_job(
         return store.write(
             plan_run(files, state, options, run_time, everything, own_rules=own_rules, names=names)
         )
+    if client is None:
+        raise ValueError("summarising with a model needs a client")
     current = current_files(files, own_rules)
-    due = F.lit(True) if everything else status.is_due()
-    assessed = staged(assess(current, state, options).withColumn("due", due), "assessed")
-    asked = assessed.where(F.col("due") & (F.col("route") == route.SUMMARISE))
+    keys = staged(compared(current, state, everything), "compared")
+    due = due_only(current, keys, everything)
+    listing = [name for name in LISTING.fieldNames() if name not in KEY]
+    made = staged(routed(due, options).join(due.select(*KEY, *listing), KEY), "routed")
+    asked = made.where(F.col("route") == route.SUMMARISE)
     if fetch is None:
         contents = current.join(asked.select(*KEY), KEY, "left_semi")
     else:
         contents = fetch(asked.select(*LISTING.fieldNames()))
-    answers = staged(
-        call_model(
-            route.with_text(contents), options, client or HttpChatClient.for_options(options), tasks
-        ),
-        "answers",
-    )
+    answers = staged(call_model(route.with_text(contents), options, client, tasks), "answers")
+    rows = keys.join(made.drop(*listing), KEY, "left").join(answers.select(*KEY, "summary"), KEY, "left")
     log = conclude(
-        assessed.join(answers.select(*KEY, "summary"), KEY, "left"),
-        F.col("due"), F.coalesce("payload", "summary"), run_time,
+        rows, state, F.coalesce("ready", "summary"), F.col("is_ready") | F.col("summary").isNotNull(), run_time
     )
-    return store.write(with_untouched(log, state, assessed))
+    return store.write(with_untouched(log, state, keys))

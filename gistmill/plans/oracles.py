@@ -84,7 +84,7 @@ own_rules AS (
   SELECT DISTINCT corpus_id, pattern FROM (
     SELECT lang AS corpus_id, trim(CASE doc_id % 5 WHEN 0 THEN '  src/' || source || '/* ' WHEN 1 THEN '# comment'
       WHEN 2 THEN ' ' || chr(9) WHEN 3 THEN 'doc_?' || (doc_id % 7) || '.[jm]*' ELSE chr(9) || '*.rs ' END, {_BLANKS}) AS pattern
-    FROM documents WHERE right(source, 1) IN ('1', '2', '3'))
+    FROM documents)
   WHERE pattern <> '' AND NOT starts_with(pattern, '#'))"""
 
 _DEFAULTS = f"defaults AS (SELECT unnest({_list(fv.DEFAULT_IGNORE_RULES)}) AS pattern)"
@@ -214,24 +214,25 @@ raw_attempts AS (
   FROM conversations WHERE role = 'assistant'),
 attempts AS (
   SELECT *,
-    CASE WHEN kind >= 8 THEN trim(CASE WHEN conv_id % 3 = 0 THEN text ELSE text END, {_BLANKS}) END AS answer,
+    CASE WHEN kind > 8 OR kind = 8 AND conv_id % 4 = 3 THEN trim(CASE WHEN conv_id % 3 = 0 THEN text ELSE text END, {_BLANKS}) END AS answer,
     CASE kind WHEN 0 THEN 'API error 500: busy' WHEN 1 THEN 'API error 429: slow down'
       WHEN 2 THEN 'API request timed out after 30.0s' WHEN 3 THEN 'Connection error: no route'
       WHEN 4 THEN 'API request failed: no route' WHEN 5 THEN 'Unexpected error: no route'
-      WHEN 6 THEN '{fv.NO_CHOICES}' WHEN 7 THEN '{fv.NO_CHOICES}' END AS failure
+      WHEN 6 THEN '{fv.NO_CHOICES}' WHEN 7 THEN '{fv.NO_CHOICES}'
+      WHEN 8 THEN CASE conv_id % 4 WHEN 2 THEN '{fv.NO_TEXT}' WHEN 3 THEN NULL ELSE '{fv.REQUEST_FAILED}{fv.NOT_JSON}' END END AS failure
   FROM raw_attempts)"""
 
 
-def _folded(condition: str = "true") -> str:
-    return f"""
+_FOLDED = f"""
 folded AS (
   SELECT corpus_id, relative_path,
     arg_min(answer, attempt) FILTER (WHERE answer IS NOT NULL) AS summary,
     CASE WHEN count(answer) = 0 THEN arg_max(failure, attempt) END AS error,
     coalesce(min(attempt) FILTER (WHERE answer IS NOT NULL), max(attempt)) AS attempts
-  FROM attempts WHERE attempt <= {fv.RETRY_ATTEMPTS} AND {condition} GROUP BY corpus_id, relative_path)"""
+  FROM attempts WHERE attempt <= {fv.RETRY_ATTEMPTS} GROUP BY corpus_id, relative_path)"""
 
 
+# Fixed value: what an entry looks like, written out independently of the engine's own pattern.
 # A digest text cut at its second-level headings; sections without an entry mark are, as in
 # a single regular expression over the text, the beginning of the next entry's path.
 _MARK = r"\n\nSummarized on (\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})(?: \(checksum: ([a-f0-9]{64}|unreadable)\))?\n\n"
@@ -313,9 +314,9 @@ SELECT corpus_id, relative_path, {_ROUTE} AS route,
 SELECT corpus_id, relative_path, {_size_message('(size * 1021)', '10.0')} AS message,
   {_size_message('(size * 262144)', '0.5')} AS tie_message FROM all_files""",
         "chat_request": files + f"""
-SELECT corpus_id, relative_path, 'codestral-latest' AS model, {_quoted(fv.SYSTEM_PROMPT)} AS instruction, 'user' AS role,
-  'Describe this file in the required form.' || chr(10) || chr(10) || 'File: ' || relative_path || chr(10) || chr(10)
-    || 'Content:' || chr(10) || '```' || chr(10) || file_text || chr(10) || '```' AS question,
+SELECT corpus_id, relative_path, 'some-model' AS model, {_quoted(fv.SYSTEM_PROMPT)} AS instruction, 'user' AS role,
+  'Path: ' || relative_path || chr(10) || '----- text of the file -----' || chr(10) || file_text || chr(10)
+    || '----- end of the file -----' AS question,
   CAST({fv.TEMPERATURE} AS DOUBLE) AS temperature, {fv.MAX_ANSWER_TOKENS} AS max_tokens FROM files""",
         "chat_response": attempts + "SELECT corpus_id, relative_path, attempt, answer FROM attempts",
         "error_class": attempts + "SELECT corpus_id, relative_path, attempt, failure AS error FROM attempts",
@@ -348,7 +349,7 @@ SELECT corpus_id, count(*) FILTER (WHERE scan_class = 'kept') AS kept,
   count(*) FILTER (WHERE scan_class = 'ignored') AS ignored, any_value(n) AS patterns
 FROM classes JOIN (SELECT corpus_id, count(DISTINCT pattern) AS n FROM rules GROUP BY corpus_id) USING (corpus_id)
 GROUP BY corpus_id""",
-        "outcome_counts": _with(_ATTEMPTS, _folded("attempt > 1")) + """
+        "outcome_counts": _with(_ATTEMPTS, _FOLDED) + """
 SELECT corpus_id, count(summary) AS completed, count(f.relative_path) - count(summary) AS error,
   count(*) - count(f.relative_path) AS pending
 FROM (SELECT DISTINCT 'c' || (conv_id % 4) AS corpus_id, 'conv_' || conv_id AS relative_path FROM conversations)
@@ -356,7 +357,7 @@ LEFT JOIN folded f USING (corpus_id, relative_path) GROUP BY corpus_id""",
         "completion_stats": status + f"""
 SELECT corpus_id, count(*) FILTER (WHERE {due} AND NOT is_binary) AS processed,
   count(*) FILTER (WHERE status = 'up-to-date') AS up_to_date FROM statuses GROUP BY corpus_id""",
-        "digest_document": _with(_FILES, _STATE, _LINES) + "SELECT corpus_id, '' AS first_path, document FROM texts",
+        "digest_document": _with(_FILES, _STATE, _LINES) + "SELECT corpus_id, 0 AS part, document FROM texts",
         "attention_list": fine + f"""
 , numbered AS (
   SELECT *, {due} AS is_due, count(*) OVER c AS n, count(*) FILTER (WHERE {due}) OVER c AS n_due,
@@ -373,7 +374,7 @@ SELECT DISTINCT corpus_id, NULL, NULL, to_process FROM due WHERE to_process > {f
         # summaries
         "mock_digest": _with(_FILES, _READ, _KEPT, _fresh("kept")) + f"SELECT {_DATED} FROM fresh",
         "copy_digest": _with(_FILES, _READ, _KEPT, _fresh("kept", copy=True)) + f"SELECT {_DATED} FROM fresh",
-        "retry_outcome": _with(_ATTEMPTS, _folded()) + "SELECT corpus_id, relative_path, summary, error, attempts FROM folded",
+        "retry_outcome": _with(_ATTEMPTS, _FOLDED) + "SELECT corpus_id, relative_path, summary, error, attempts FROM folded",
         "model_answers": _with(_FILES, _READ, _KEPT) + f"""
 SELECT corpus_id, relative_path, CASE WHEN doc_id % 4 <> 1 THEN '- **Role**: ' || relative_path END AS summary,
   CASE WHEN doc_id % 4 = 1 THEN 'API error 503: busy' END AS error,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +21,7 @@ from gistmill.sources.tables import files_from_table
 
 MOCK = DigestOptions(mode=DigestMode.MOCK, max_file_size_mb=0.01)
 COPY = DigestOptions(mode=DigestMode.COPY, max_file_size_mb=0.01)
-MODEL = DigestOptions(mode=DigestMode.AI, api_key="key", max_file_size_mb=0.01, retry_pause=0.0)
+MODEL = DigestOptions(mode=DigestMode.AI, api_key="key", model="some-model", max_file_size_mb=0.01, retry_pause=0.0)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,7 +96,9 @@ def digest_lines(spark, folder):
 
 @query
 def digest_import(spark, folder):
-    return _dated(import_digest(digest_document(spark, folder).select("corpus_id", "document")))
+    """Digests in pieces of different lengths, read as if each were one text."""
+    pieces = dg.digest_documents(digest_lines(spark, folder), boundaries=["docs/", "pkg.egg-info/src3", "src/src15/", "src/src5"])
+    return _dated(import_digest(pieces))
 
 
 # ---- filters -------------------------------------------------------------------------
@@ -112,7 +113,7 @@ def ignore_match(spark, folder):
 @query
 def ignore_match_by_corpus(spark, folder):
     ruled = ignore.with_corpus_rules(testbed.files(spark, folder).select(*KEY), _own_rules(spark, folder))
-    return ruled.where(F.rlike("relative_path", F.col("itself_regex"))).select(*KEY)
+    return ruled.where(ignore.hits("relative_path", "itself_regex")).select(*KEY)
 
 
 @query
@@ -321,9 +322,7 @@ def outcome_counts(spark, folder):
         F.concat(F.lit("c"), (F.col("conv_id") % 4).cast("string")).alias("corpus_id"),
         F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("relative_path"),
     ).distinct()
-    results = summarise.fold_attempts(
-        testbed.attempts(spark, folder).where(F.col("attempt") > 1), MODEL
-    ).select(*KEY, F.col("summary").isNotNull().alias("done"))
+    results = summarise.fold_attempts(testbed.attempts(spark, folder), MODEL).select(*KEY, F.col("summary").isNotNull().alias("done"))
     outcomes = asked.join(results, KEY, "left").withColumn("outcome", report.outcome())
     return report.outcome_counts(outcomes)
 
@@ -337,7 +336,7 @@ def completion_stats(spark, folder):
 
 @query
 def digest_document(spark, folder):
-    return dg.digest_documents(digest_lines(spark, folder))
+    return dg.digest_documents(digest_lines(spark, folder), boundaries=[])
 
 
 @query
@@ -372,31 +371,11 @@ def retry_outcome(spark, folder):
     return summarise.fold_attempts(testbed.attempts(spark, folder), MODEL)
 
 
-class UnsteadyClient:
-    """Answers with the file's name.  Some files fail at first, some always."""
-
-    def __init__(self):
-        self.calls: dict[str, int] = {}
-
-    def __call__(self, request: str) -> tuple[int, str]:
-        question = json.loads(request)["messages"][1]["content"]
-        path = question.split("File: ", 1)[1].split("\n", 1)[0]
-        number = int(path.rsplit("doc_", 1)[1].split(".")[0])
-        self.calls[path] = self.calls.get(path, 0) + 1
-        if number % 4 == 1:
-            return 503, "busy"
-        if number % 4 == 2 and self.calls[path] < 3:
-            raise TimeoutError("late")
-        if number % 4 == 3 and self.calls[path] < 2:
-            return 200, '{"choices": []}'
-        return 200, json.dumps({"choices": [{"message": {"content": f" - **Role**: {path} \n"}}]})
-
-
 @query
 def model_answers(spark, folder):
     texts = add_once(route.with_text(_current(spark, folder)), route=route.route(MODEL))
     asked = texts.where(F.col("route") == route.SUMMARISE)
-    return summarise.call_model(asked, MODEL, UnsteadyClient())
+    return summarise.call_model(asked, MODEL, testbed.UnsteadyClient())
 
 
 # ---- jobs ----------------------------------------------------------------------------

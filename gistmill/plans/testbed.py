@@ -8,6 +8,7 @@ derived from the same table, and conversations serve as model responses.
 from __future__ import annotations
 
 import datetime
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,22 +46,11 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def spread(table: DataFrame, *key: str) -> DataFrame:
-    """Deal a table out over the cores if it has fewer splits than there are cores.
-
-    A small table written as one row group would otherwise be worked on by one task.  Large
-    tables have more splits than cores and are left as they are.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    splits = table._jdf.queryExecution().toRdd().getNumPartitions()
-    return table if splits >= cores else table.repartition(cores, *key)
-
-
 def _documents(spark: SparkSession, folder: str, by_source: bool) -> DataFrame:
     """Documents with their key and content."""
     corpus = "concat(lang, '/', source)" if by_source else "lang"
     return (
-        spread(read_table(spark, folder, "documents"), "doc_id")
+        read_table(spark, folder, "documents")
         .selectExpr("doc_id", "text", "source", f"{corpus} AS corpus_id", f"inline(array(struct({_PATH} AS relative_path)))")
         # a plain column, so that queries on paths alone do not read the texts
         .selectExpr("doc_id", *KEY, f"{_CONTENT} AS content")
@@ -120,9 +110,7 @@ def rule_lines(spark: SparkSession, folder: str) -> DataFrame:
     line = r"""CASE doc_id % 5
       WHEN 0 THEN concat('  src/', source, '/* ') WHEN 1 THEN '# comment' WHEN 2 THEN ' \t'
       WHEN 3 THEN concat('doc_?', doc_id % 7, '.[jm]*') ELSE '\t*.rs ' END AS line"""
-    return read_table(spark, folder, "documents").where(
-        "substring(source, -1, 1) IN ('1', '2', '3')"
-    ).selectExpr("lang AS corpus_id", line)
+    return read_table(spark, folder, "documents").selectExpr("lang AS corpus_id", line)
 
 
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,6 +125,8 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
         "CASE kind WHEN 2 THEN 'timeout' WHEN 3 THEN 'connection' WHEN 4 THEN 'request' WHEN 5 THEN 'unexpected' END AS error_kind",
         r"""CASE WHEN kind = 0 THEN 'busy' WHEN kind = 1 THEN 'slow down' WHEN kind < 6 THEN 'no route'
           WHEN kind = 6 THEN '{"choices": []}' WHEN kind = 7 THEN '{"usage": 1}'
+          WHEN kind = 8 AND conv_id % 4 = 0 THEN concat('<html>', text) WHEN kind = 8 AND conv_id % 4 = 1 THEN ''
+          WHEN kind = 8 AND conv_id % 4 = 2 THEN '{"choices": [{"message": {"role": "assistant", "content": 5}}]}'
           ELSE to_json(named_struct('choices', array(named_struct('message', named_struct('role', 'assistant', 'content',
             concat(if(conv_id % 3 = 0, concat('## File: ', relative_path, '\n\n'), ' \n'), text, ' \n')))))) END AS body""",
     )
@@ -150,3 +140,23 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.expr("(conv_id + turn) % 4 = 0"), F.lit(f"Error: {fv.NO_CHOICES}"))
         .otherwise(F.col("text")).alias("summary"),
     )
+
+
+class UnsteadyClient:
+    """Answers with the file's name.  Some files fail at first, some always."""
+
+    def __init__(self):
+        self.calls: dict[str, int] = {}
+
+    def __call__(self, request: str) -> tuple[int, str]:
+        question = json.loads(request)["messages"][1]["content"]
+        path = question.split("Path: ", 1)[1].split("\n", 1)[0]
+        number = int(path.rsplit("doc_", 1)[1].split(".")[0])
+        self.calls[path] = self.calls.get(path, 0) + 1
+        if number % 4 == 1:
+            return 503, "busy"
+        if number % 4 == 2 and self.calls[path] < 3:
+            raise TimeoutError("late")
+        if number % 4 == 3 and self.calls[path] < 2:
+            return 200, '{"choices": []}'
+        return 200, json.dumps({"choices": [{"message": {"content": f" - **Role**: {path} \n"}}]})

@@ -63,21 +63,10 @@ class StateStore:
         log = self.run_log(version)
         if log is None:
             return empty_state(self.spark)
-        return log.where(F.col("content").isNotNull()).select(*STATE.fieldNames())
+        return log.where(F.col("summary_date").isNotNull()).select(*STATE.fieldNames())
 
     def write(self, digest: DataFrame) -> int:
         """Write the next version, with any extra columns, and return its number."""
         version = max(self._all_versions(), default=0) + 1
         digest.write.mode("errorifexists").parquet(self._folder(version))
         return version
-
-
-def write_bucketed(digest: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
-    """Write a digest as a table bucketed and sorted on the key.
-
-    Where the catalog keeps tables, later joins on the key with it need no shuffle of the
-    stored side, nor of the files if they are bucketed alike.  A new table name per run
-    keeps what is being read intact.
-    """
-    writer = digest.write.mode("errorifexists").bucketBy(buckets, *KEY).sortBy(*KEY).format("parquet")
-    (writer.option("path", path) if path else writer).saveAsTable(table)

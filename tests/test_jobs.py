@@ -103,13 +103,13 @@ def test_copy_mode_and_size_limit(spark, tree, tmp_path):
 
 def answer(request):
     question = json.loads(request)["messages"][1]["content"]
-    if "File: large.py" in question and "changed" in question:
+    if "Path: large.py" in question and "changed" in question:
         return 500, "busy"
-    return 200, json.dumps({"choices": [{"message": {"content": "- **Role**: " + question.split("File: ")[1].split("\n")[0]}}]})
+    return 200, json.dumps({"choices": [{"message": {"content": "- **Role**: " + question.split("Path: ")[1].split("\n")[0]}}]})
 
 
 def test_model_job_and_failed_refresh(spark, tree, tmp_path):
-    options = DigestOptions(mode=DigestMode.AI, api_key="k", retry_pause=0.0)
+    options = DigestOptions(mode=DigestMode.AI, api_key="k", model="m", retry_pause=0.0)
     store = StateStore(spark, str(tmp_path / "state"))
     jobs.run_job(scan(spark, p=tree), store, options, NOW, client=answer)
     first = digest(store)
@@ -126,7 +126,11 @@ def test_model_job_and_failed_refresh(spark, tree, tmp_path):
 def test_preconditions(spark, tree, tmp_path):
     store = StateStore(spark, str(tmp_path / "state"))
     with pytest.raises(ValueError):
-        jobs.run_job(None, store, DigestOptions(mode=DigestMode.AI), NOW, client=answer)
+        jobs.run_job(None, store, DigestOptions(mode=DigestMode.AI, model="m"), NOW, client=answer)
+    with pytest.raises(ValueError):
+        jobs.run_job(None, store, DigestOptions(mode=DigestMode.AI, api_key="k"), NOW, client=answer)
+    with pytest.raises(ValueError):
+        jobs.run_job(None, store, DigestOptions(mode=DigestMode.AI, api_key="k", model="m"), NOW)
     assert store.versions() == []
 
 
@@ -151,15 +155,39 @@ def test_status_job_and_process_files(spark, tree, tmp_path):
     assert jobs.process_files(current, store.read(), MOCK, NOW).count() == 4
 
 
-def test_model_texts_do_not_cross_the_status_join(spark):
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_to_be_summarised_stay_in_the_scan(spark):
     from gistmill.plans import testbed
 
-    folder = "/root/testdata/sf0.001"
-    options = DigestOptions(mode=DigestMode.AI, api_key="k")
-    frame = jobs.assess(testbed.files(spark, folder), testbed.state(spark, folder), options)
+    options = DigestOptions(mode=DigestMode.AI, api_key="k", model="m")
+    frame = jobs.routed(jobs.current_files(testbed.files(spark, "/root/testdata/sf0.001")), options)
     assert "text" not in frame.columns and "content" not in frame.columns
-    longest = frame.where("route = 'summarise'").agg(F.max(F.length("payload"))).first()[0]
-    assert longest is None
+    assert frame.where("route = 'summarise'").agg(F.max(F.length("ready"))).first()[0] is None
+
+
+def test_due_files_are_known_before_contents_are_read(spark, tree, tmp_path):
+    from gistmill.sources.tables import files_from_table
+
+    store = StateStore(spark, str(tmp_path / "state"))
+    scan(spark, p=tree).write.parquet(str(tmp_path / "files"))
+    files = files_from_table(spark.read.parquet(str(tmp_path / "files")))
+    jobs.run_job(files, store, MOCK, NOW)
+    current = jobs.current_files(files)
+    keys = jobs.compared(current, store.read())
+    assert "content" not in plan_of(keys)
+    assert jobs.due_only(current, keys, False).select("relative_path").collect()[0].relative_path == "binary_file.bin"
+    # counting moves no contents between tasks
+    counts = report.completion_stats(jobs.plan_current(files, store.read(), MOCK, NOW))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan_of(report.completion_stats(jobs.plan_current(files, store.read(), MOCK, NOW))).split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert counts.first().up_to_date == 4
+    assert not [line for line in lines if "Aggregate" in line and ("ready#" in line or "content#" in line)]
 
 
 def test_status_reads_no_contents_of_tables_with_checksums(spark, tree, tmp_path):

@@ -15,7 +15,7 @@ from gistmill.schemas import KEY, STATE
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 OLD, NOW = datetime.datetime(2024, 1, 1), datetime.datetime(2024, 5, 1, 8, 30)
-AI = DigestOptions(mode=DigestMode.AI, api_key="k", retry_pause=0.0)
+AI = DigestOptions(mode=DigestMode.AI, api_key="k", model="m", retry_pause=0.0)
 FILES = "corpus_id string, relative_path string, checksum string"
 
 
@@ -98,7 +98,7 @@ class Faulty:
 
     def __call__(self, request):
         question = json.loads(request)["messages"][1]["content"]
-        path = question.split("File: ", 1)[1].split("\n", 1)[0]
+        path = question.split("Path: ", 1)[1].split("\n", 1)[0]
         self.calls[path] = self.calls.get(path, 0) + 1
         if path == "third" and self.calls[path] < 3:
             raise ConnectionError("refused")
@@ -116,6 +116,10 @@ class Faulty:
             return 200, '{"choices": []}'
         if path == "null":
             return 200, '{"choices": [{"message": {"content": null}}]}'
+        if path == "number":
+            return 200, '{"choices": [{"message": {"content": 5}}]}'
+        if path == "page":
+            return 200, "<html>busy</html>"
         if path == "head":
             return 200, reply(f" ## File: {path}\n\n body ")
         return 200, reply("Error: not really")
@@ -126,7 +130,7 @@ def asked(spark, *paths):
 
 
 def test_model_calls(spark):
-    names = ["ok", "third", "down", "late", "lost", "broken", "odd", "none", "null", "head"]
+    names = ["ok", "third", "down", "late", "lost", "broken", "odd", "none", "null", "head", "number", "page"]
     rows = summarise.call_model(asked(spark, *names), AI, Faulty(), tasks=3).collect()
     got = {r.relative_path: (r.summary, r.error, r.attempts) for r in rows}
     assert got["ok"] == ("Error: not really", None, 1)
@@ -139,6 +143,8 @@ def test_model_calls(spark):
     assert got["odd"] == (None, "Unexpected error: 'x'", 3)
     assert got["none"] == (None, fv.NO_CHOICES, 3)
     assert got["null"][0] is None and got["null"][1].startswith("Unexpected error") and len(got) == len(names)
+    # a number is no answer, and what is not JSON is a failed request
+    assert got["number"] == (None, fv.NO_TEXT, 3) and got["page"] == (None, fv.REQUEST_FAILED + fv.NOT_JSON, 3)
 
 
 def test_model_without_key(spark):
@@ -170,38 +176,3 @@ def test_failed_texts_and_mode_switch(spark):
     assert [r.relative_path for r in summarise.drop_failed(frame).collect()] == ["b"]
     assert DigestMode.choose(mock=True, copy=True) is DigestMode.MOCK
     assert DigestMode.choose(copy=True) is DigestMode.COPY and DigestMode.choose() is DigestMode.AI
-
-
-def test_http_client(monkeypatch):
-    import io
-    import urllib.error
-    import urllib.request
-
-    from gistmill.sources.http_chat import HttpChatClient
-
-    client = HttpChatClient.for_options(DigestOptions(api_key="secret", api_url="http://model.invalid/chat", timeout=5.0))
-    seen = []
-
-    class Response(io.BytesIO):
-        status = 200
-
-    def answering(post, timeout):
-        seen.append((post.full_url, post.get_header("Authorization"), post.data, timeout))
-        return Response(b'{"choices": []}')
-
-    def raising(error):
-        def urlopen(post, timeout):
-            raise error
-        return urlopen
-
-    monkeypatch.setattr(urllib.request, "urlopen", answering)
-    assert client('{"a": 1}') == (200, '{"choices": []}')
-    assert seen == [("http://model.invalid/chat", "Bearer secret", b'{"a": 1}', 5.0)]
-    refused = urllib.error.HTTPError("http://model.invalid", 429, "slow", {}, io.BytesIO(b"slow down"))
-    monkeypatch.setattr(urllib.request, "urlopen", raising(refused))
-    assert client("{}") == (429, "slow down")
-    for reason, kind in ((TimeoutError("t"), "timeout"), (OSError("no route"), "connection")):
-        monkeypatch.setattr(urllib.request, "urlopen", raising(urllib.error.URLError(reason)))
-        with pytest.raises(Exception) as caught:
-            client("{}")
-        assert summarise._error_kind(caught.value) == kind

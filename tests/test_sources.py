@@ -130,21 +130,6 @@ def test_state_versions(spark, tmp_path):
     assert store.write(first) == 4
 
 
-def test_bucketed_state_joins_without_a_shuffle(spark):
-    rows = spark.createDataFrame([entry("c", f"f{i}", "x") for i in range(50)], STATE)
-    tables.write_bucketed(rows, "digest_one", 4)
-    tables.write_bucketed(rows, "digest_two", 4)
-    from gistmill.operators.status import new_files
-
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        joined = new_files(spark.table("digest_one"), spark.table("digest_two"))
-        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
-        assert joined.count() == 0
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
 def test_digest_text_round_trip(spark, tmp_path):
     stored = spark.createDataFrame([
         entry("c", "b.py", "beta\n"), entry("c", "a b.py", "alpha", None), entry("d/x", "z.md", "zeta\n\nmore", "unreadable"),
@@ -177,11 +162,33 @@ def test_documents_of_small_and_large_corpora(spark):
     stored = spark.createDataFrame([entry("big", f"f{i:03d}", "x" * 100) for i in range(50)] + [entry("small", "a", "y")], STATE)
     totals = stored.groupBy("corpus_id").agg(F.count("*").alias("total"))
     lines = dg.digest_lines(stored, totals, NOW)
-    whole = {r.corpus_id: r.document for r in dg.digest_documents(lines).collect()}
-    pieces = dg.digest_documents(lines, one_document_bytes=1000).orderBy("corpus_id", "first_path").collect()
-    assert len([p for p in pieces if p.corpus_id == "big"]) == 51
-    assert "".join(p.document for p in pieces if p.corpus_id == "big") == whole["big"]
-    assert [p.document for p in pieces if p.corpus_id == "small"] == [whole["small"]]
+    whole = {r.corpus_id: r.document for r in dg.digest_documents(lines, []).collect()}
+    for boundaries in (["f010", "f03"], dg.path_boundaries(lines, 5), [f"f{i:03d}" for i in range(50)]):
+        pieces = dg.digest_documents(lines, boundaries).orderBy("corpus_id", "part").collect()
+        assert 2 < len([p for p in pieces if p.corpus_id == "big"]) <= len(boundaries) + 1
+        for corpus in ("big", "small"):
+            assert "".join(p.document for p in pieces if p.corpus_id == corpus) == whole[corpus]
+
+
+def test_import_of_pieces_is_that_of_the_whole(spark):
+    contents = ["plain", "a\n## Heading\nb", "x\n## One\n\n## Two\nc", "", "z\n## Summarized on nothing"]
+    stored = spark.createDataFrame([entry("c", f"f{i:02d}", contents[i * 7 % 5]) for i in range(30)], STATE)
+    lines = dg.digest_lines(stored, stored.groupBy("corpus_id").agg(F.count("*").alias("total")), NOW)
+
+    def imported(boundaries):
+        return sorted(map(repr, digest_text.import_digest(dg.digest_documents(lines, boundaries)).collect()))
+
+    whole = imported([])
+    assert any("##" in row for row in whole)
+    for boundaries in (["f05", "f06", "f07", "f20"], [f"f{i:02d}" for i in range(30)], dg.path_boundaries(lines, 4)):
+        assert imported(boundaries) == whole
+
+
+def test_absent_digests_give_no_rows(spark, tmp_path):
+    (tmp_path / "c.md").write_text(f"## a\n\nSummarized on 2024-05-01 08:30:00\n\ntext\n")
+    paths = {"c": str(tmp_path / "c.md"), "d": str(tmp_path / "none.md")}
+    assert [r.corpus_id for r in digest_text.import_digest(digest_text.read_digest_texts(spark, paths)).collect()] == ["c"]
+    assert digest_text.import_digest(digest_text.read_digest_texts(spark, {"d": str(tmp_path / "none.md")})).count() == 0
 
 
 def test_import_keeps_the_known_cut_at_headings(spark):
