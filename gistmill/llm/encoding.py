@@ -23,6 +23,12 @@ _LETTERS = ["[A-Za-zÀ-ÖØ-öø-ÿ]", r"[^\W\d_]"]
 _WORD_END_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+# How byte-level models show bytes (fixed values): printable ones as they are, the others
+# as the characters from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = dict(zip(_PLAIN, map(chr, _PLAIN))) | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
 def load(path: str):
     """The library's tokenizer of a file, on one thread: Spark has the other cores."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,7 +44,7 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit integers, one byte string a text.
 
     The library never merges across the words its pre-tokenizer cuts, so the ids of a text
-    are those of its words in a row.  Ids of words come from the library and are remembered;
+    are those of its words in a row.  Ids of words come from the library's model and are remembered;
     texts with unusual characters or special strings go to the library whole, as does
     everything if the file describes a pre-tokenizer not known here.
     """
@@ -49,8 +55,13 @@ class Encoder:
             described = json.load(file)
         self.special = [token["content"] for token in described.get("added_tokens", [])]
         self.words, self.lower = _words_of(described)
+        self.merge = self.library.model.tokenize
         self.known: dict[str, bytes] = {}
 
+    def _ids_of_word(self, word: str) -> bytes:
+        """Ids of what the pre-tokenizer would hand to the model as one word."""
+        return array("I", [token.id for token in self.merge(word.encode().decode("latin-1").translate(_SHOWN))]).tobytes()
+
     def _from_library(self, texts: list[str]) -> list[bytes]:
         done = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", one.ids).tobytes() for one in done]
@@ -73,8 +84,7 @@ class Encoder:
             else:
                 out[i] = b"".join(parts)
         if missing:
-            new = list(missing)
-            found = dict(zip(new, self._from_library(new)))
+            found = {word: self._ids_of_word(word) for word in missing}
             self.known.update((word, ids) for word, ids in found.items() if len(word) <= REMEMBERED_LENGTH)
             for i, words, parts, holes in open_:
                 for k in holes:
