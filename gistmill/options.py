@@ -8,6 +8,10 @@ import enum
 from gistmill import fixed_values as fv
 
 
+#: The largest file that becomes a row with its content, in bytes.
+LARGEST_ROW = 1024 * 1024 * 1024
+
+
 class DigestMode(str, enum.Enum):
     """How files at or above the token threshold are turned into entries."""
 
@@ -42,6 +46,8 @@ class DigestOptions:
 
     def __post_init__(self):
         object.__setattr__(self, "mode", DigestMode(self.mode))
+        if self.max_file_size_mb * 1024 * 1024 > LARGEST_ROW:
+            raise ValueError(f"the size limit cannot exceed {LARGEST_ROW // 1024 // 1024} MB")
 
     def require_key(self) -> None:
         """Fail before anything is read when the model is needed but cannot be called."""

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import dataclasses
 import datetime
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gistmill import fixed_values as fv
 from gistmill.functions import text as tx
 from gistmill.operators import ignore, report, route, status
 from gistmill.operators.digest import rendered, stamp
@@ -25,9 +27,9 @@ from gistmill.session import staged
 from gistmill.sources.tables import StateStore
 
 
-def current_files(files: DataFrame, own_rules: DataFrame | None = None) -> DataFrame:
-    """Files that the rules keep."""
-    return ignore.kept(ignore.with_scan_class(files, own_rules))
+def current_files(files: DataFrame, own_rules: DataFrame | None = None, output_file: str = fv.DIGEST_FILE) -> DataFrame:
+    """Files that the rules keep, the digest's own file left out."""
+    return ignore.kept(ignore.with_scan_class(files, own_rules, own_output=os.path.basename(output_file)))
 
 
 def compared(current: DataFrame, state: DataFrame, everything: bool = False, strict: bool = False) -> DataFrame:
@@ -91,7 +93,7 @@ def plan_current(
     own_rules: DataFrame | None = None,
 ) -> DataFrame:
     """Run log of the current files, for modes that need no model."""
-    current = current_files(files, own_rules)
+    current = current_files(files, own_rules, options.output_file)
     keys = compared(current, state, everything, strict)
     made = routed(due_only(current, keys, everything), options)
     return conclude(keys.join(made, KEY, "left"), state, F.col("ready"), F.col("is_ready"), run_time)
@@ -112,7 +114,7 @@ def plan_run(
     out the contents, as when they are read from a file tree.
     """
     log = plan_current(files, state, options, run_time, everything, own_rules=own_rules)
-    return with_untouched(log, state, current_files(files if names is None else names, own_rules))
+    return with_untouched(log, state, current_files(files if names is None else names, own_rules, options.output_file))
 
 
 def digest_of(log: DataFrame) -> DataFrame:
@@ -203,7 +205,7 @@ def run_job(
         )
     if client is None:
         raise ValueError("summarising with a model needs a client")
-    current = current_files(files, own_rules)
+    current = current_files(files, own_rules, options.output_file)
     keys = staged(compared(current, state, everything), "compared")
     due = due_only(current, keys, everything)
     listing = [name for name in LISTING.fieldNames() if name not in KEY]

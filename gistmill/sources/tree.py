@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from gistmill import fixed_values as fv
 from gistmill.functions.globs import RuleRegex, compile_rules
 from gistmill.functions.text import checksum
+from gistmill.options import LARGEST_ROW
 from gistmill.schemas import FILES, KEY, LISTING
 from gistmill.session import staged
 
@@ -34,15 +35,16 @@ BATCH_ROWS = 10_000
 # A task reads about this many bytes of files, and hands contents over in smaller batches.
 BYTES_PER_TASK = 256 * 1024 * 1024
 BATCH_BYTES = 64 * 1024 * 1024
-ROW_BYTES = 1024 * 1024 * 1024
+# Larger files are streamed: they have an entry that names their size, never their text.
+ROW_BYTES = LARGEST_ROW
 
 
 def rule_file_lines(root: str, ignore_file: str = fv.IGNORE_FILE) -> list[str]:
-    """Usable rules in the rule file at a corpus root; none if it cannot be read."""
+    """Usable rules in the rule file at a corpus root; none if it cannot be read or is not UTF-8."""
     try:
         with open(os.path.join(root, ignore_file), encoding="utf-8") as lines:
             stripped = [line.strip() for line in lines]
-    except OSError:
+    except (OSError, UnicodeDecodeError):  # concerns this corpus only
         return []
     return [line for line in stripped if line and not line.startswith("#")]
 
@@ -83,13 +85,13 @@ def _file_row(corpus: str, root: str, path: str, entry: os.DirEntry) -> tuple:
     return corpus, root, path, size, modified, False
 
 
-def _walk(directories: Iterator[tuple[str, str, str]], limit: int, ignore_file: str) -> Iterator[tuple]:
+def _walk(directories: Iterator[tuple[str, str, str]], limit: int, ignore_file: str, output_file: str) -> Iterator[tuple]:
     """Open up to ``limit`` directories, nearest first; hand back those left over."""
 
     @functools.cache
     def rules(root: str) -> RuleRegex:
         own = rule_file_lines(root, ignore_file)
-        return compile_rules(fv.DEFAULT_IGNORE_RULES + tuple(own), fv.DIGEST_FILE)
+        return compile_rules(fv.DEFAULT_IGNORE_RULES + tuple(own), output_file)
 
     waiting, opened = deque(), 0
     for given in directories:
@@ -111,10 +113,11 @@ def list_corpora(
     roots: dict[str, str],
     ignore_file: str = fv.IGNORE_FILE,
     directories_per_task: int = DIRECTORIES_PER_TASK,
+    output_file: str = fv.DIGEST_FILE,
 ) -> DataFrame:
     """List the files of corpora given as ``{corpus_id: directory}``.
 
-    Directories the rules exclude are not entered.  A file without ``size`` could not be
+    Directories the rules exclude, or that have the digest's own name, are not entered.  A file without ``size`` could not be
     examined; it counts as ignored.  The listing is written to the staging folder, so using
     it again does not walk again.
     """
@@ -130,7 +133,7 @@ def list_corpora(
             (row["corpus_id"], row["root"], row["relative_path"]) for batch in batches for row in batch.to_pylist()
         )
         rows = []
-        for row in _walk(given, directories_per_task, ignore_file):
+        for row in _walk(given, directories_per_task, ignore_file, output_file):
             rows.append(dict(zip(_FOUND_ARROW.names, row)))
             if len(rows) == BATCH_ROWS:
                 yield pa.RecordBatch.from_pylist(rows, schema=_FOUND_ARROW)
@@ -157,22 +160,41 @@ def list_corpora(
     )
 
 
-def _read_file(path: str, size: int | None) -> tuple[bytes | None, str | None]:
-    """Content, and the checksum where the content is too large for a row."""
+def _is_text(path: str, encoding: str) -> bool:
+    """Whether a file read as text has no NUL and at most a tenth of control characters; in pieces."""
+    characters = controls = 0
+    with open(path, encoding=encoding) as file:
+        while piece := file.read(1 << 20):
+            if "\0" in piece:
+                return False
+            characters += len(piece)
+            controls += len(piece) - len(piece.translate(_NO_CONTROLS))
+    return controls * 10 <= characters
+
+
+_NO_CONTROLS = dict.fromkeys(map(ord, fv.CONTROL_CHARACTERS))
+
+
+def _read_file(path: str, size: int | None, row_bytes: int) -> tuple[bytes | None, str | None]:
+    """Content; beyond ``row_bytes`` the checksum, and empty content if it is text, else none."""
     try:
         with open(path, "rb") as file:
-            if (size or 0) <= ROW_BYTES:
+            if (size or 0) <= row_bytes:
                 return file.read(), None
-            return None, hashlib.file_digest(file, "sha256").hexdigest()
+            digest = hashlib.file_digest(file, "sha256").hexdigest()
+        try:
+            return (b"" if _is_text(path, "utf-8") else None), digest
+        except UnicodeDecodeError:
+            return (b"" if _is_text(path, "latin-1") else None), digest
     except OSError:
         return None, None
 
 
-def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_batches(batches: Iterator[pa.RecordBatch], row_bytes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         start, held, read = 0, 0, []
         for path, size in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist()):
-            read.append(_read_file(path, size))
+            read.append(_read_file(path, size, row_bytes))
             held += len(read[-1][0] or b"")
             if held >= BATCH_BYTES:
                 yield _with_contents(batch.slice(start, len(read)), read)
@@ -188,11 +210,13 @@ def _with_contents(batch: pa.RecordBatch, read: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def read_contents(listing: DataFrame, tasks: int | None = None) -> DataFrame:
+def read_contents(listing: DataFrame, tasks: int | None = None, row_bytes: int = ROW_BYTES) -> DataFrame:
     """Add ``content`` and ``checksum``; content is NULL where a file cannot be read.
 
-    So it is for files above ``ROW_BYTES``, which no row could hold: they have their checksum,
-    but count as failed when they are processed.
+    Files above ``row_bytes``, which no row could hold, are streamed.  They have their
+    checksum, and instead of their content an empty one if they are text and NULL if they
+    are binary: with their size that leads to the same entry, because the options allow no
+    size limit above it.
 
     Files are dealt out by the hash of their path first, so the files of one big directory
     are read by all tasks.  There are as many tasks as the listed sizes call for, unless
@@ -206,7 +230,7 @@ def read_contents(listing: DataFrame, tasks: int | None = None) -> DataFrame:
     spread = listing.repartition(tasks, *KEY)
     columns = LISTING.fieldNames()
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LISTING) + ", content binary, large_checksum string"
-    read = spread.select(*columns).mapInArrow(_read_batches, schema)
+    read = spread.select(*columns).mapInArrow(lambda batches: _read_batches(batches, row_bytes), schema)
     return read.withColumn(
         "checksum", F.coalesce("large_checksum", checksum(F.col("content")))
     ).select(*FILES.fieldNames())

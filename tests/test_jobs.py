@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from conftest import LARGE
 from gistmill import fixed_values as fv
-from gistmill.operators import report
+from gistmill.operators import ignore, report
 from gistmill.options import DigestMode, DigestOptions
 from gistmill.plans import jobs
 from gistmill.sources import tree as trees
@@ -101,6 +101,51 @@ def test_copy_mode_and_size_limit(spark, tree, tmp_path):
     assert got["README.md"].content == (tree / "README.md").read_text()
 
 
+def test_files_too_large_for_a_row(spark, tree, tmp_path):
+    (tree / "wide.txt").write_text("é" * 3000)
+    (tree / "latin.txt").write_bytes(b"\xe9" * 5000)
+    (tree / "wide.bin").write_bytes(b"\0" + b"x" * 5000)
+    (tree / "odd.txt").write_bytes(b"\x01" * 600 + b"y" * 4500)
+    (tree / "control.txt").write_bytes(b"\x01" * 600 + b"y" * 5400)
+    options = DigestOptions(mode=DigestMode.MOCK, max_file_size_mb=0.001)
+    got = []
+    for row_bytes in (2000, trees.ROW_BYTES):
+        store = StateStore(spark, str(tmp_path / f"state{row_bytes}"))
+        listing = trees.list_corpora(spark, {"p": str(tree)})
+        jobs.run_job(trees.read_contents(listing, row_bytes=row_bytes), store, options, NOW)
+        jobs.run_job(trees.read_contents(listing, row_bytes=row_bytes), store, options, NOW + DAY)
+        assert outcomes(store)["wide.txt"] == ("up-to-date", None) and outcomes(store)["wide.bin"] == ("new", "error")
+        got.append(digest(store))
+    assert got[0] == got[1] and got[0]["wide.txt"].content.startswith("File size (0.0MB)")
+    assert {"wide.txt", "latin.txt", "control.txt"} <= set(got[0]) and not {"wide.bin", "odd.txt"} & set(got[0])
+    with pytest.raises(ValueError):
+        DigestOptions(mode=DigestMode.MOCK, max_file_size_mb=2000)
+
+
+def test_own_names_of_digest_and_rule_files(spark, tree, tmp_path):
+    (tree / "summary.md").write_text("old digest")
+    (tree / "skip.list").write_text("*.json\n")
+    store = StateStore(spark, str(tmp_path / "state"))
+    options = DigestOptions(mode=DigestMode.MOCK, output_file="out/summary.md", ignore_file="skip.list")
+    roots = {"p": str(tree)}
+    own = ignore.usable_rules(trees.rule_lines(spark, roots, options.ignore_file))
+    listing = trees.list_corpora(spark, roots, options.ignore_file, output_file="summary.md")
+    jobs.run_job(trees.read_contents(listing), store, options, NOW, own_rules=own)
+    assert set(digest(store)) == {"small.py", "large.py", "README.md", "skip.list"}
+
+
+def test_rule_file_that_is_not_text_concerns_its_corpus_only(spark, tree, tmp_path):
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "a.py").write_text("a = 1\n")
+    (other / fv.IGNORE_FILE).write_bytes(b"\xff\xfe*.py")
+    (tree / fv.IGNORE_FILE).write_text("*.json\n")
+    roots = {"p": str(tree), "q": str(other)}
+    assert [(r.corpus_id, r.line) for r in trees.rule_lines(spark, roots).collect()] == [("p", "*.json")]
+    names = {(r.corpus_id, r.relative_path) for r in trees.list_corpora(spark, roots).collect()}
+    assert ("q", "a.py") in names and ("p", "small.py") in names
+
+
 def answer(request):
     question = json.loads(request)["messages"][1]["content"]
     if "Path: large.py" in question and "changed" in question:

@@ -59,10 +59,11 @@ def test_listing_many_files_and_corpora(spark, tmp_path):
         assert counts == {"a": 30, "b": 30} and rows.select("path").distinct().count() == 60
 
 
-def test_file_too_large_for_a_row(spark, tree, monkeypatch):
-    monkeypatch.setattr(trees, "ROW_BYTES", 100)
-    got = {r.relative_path: r for r in trees.read_contents(trees.list_corpora(spark, {"p": str(tree)})).collect()}
-    assert got["large.py"].content is None
+def test_file_too_large_for_a_row(spark, tree):
+    (tree / "large.bin").write_bytes(b"\0" * 200)
+    listing = trees.list_corpora(spark, {"p": str(tree)})
+    got = {r.relative_path: r for r in trees.read_contents(listing, row_bytes=100).collect()}
+    assert got["large.py"].content == b"" and got["large.bin"].content is None
     assert got["large.py"].checksum == hashlib.sha256((tree / "large.py").read_bytes()).hexdigest()
     assert got["small.py"].content == b'print("hello")'
 
