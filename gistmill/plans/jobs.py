@@ -7,6 +7,7 @@ into entries; contents that did not change stay where they are.
 
 from __future__ import annotations
 
+import contextlib
 import dataclasses
 import datetime
 import os
@@ -23,7 +24,7 @@ from gistmill.operators.skew import join_by_corpus
 from gistmill.operators.summarise import ChatClient, call_model, ready_content
 from gistmill.options import DigestMode, DigestOptions
 from gistmill.schemas import ENTRY, KEY, LISTING, STATE
-from gistmill.session import staged
+from gistmill.session import Staging
 from gistmill.sources.tables import StateStore
 
 
@@ -205,19 +206,20 @@ def run_job(
         )
     if client is None:
         raise ValueError("summarising with a model needs a client")
-    current = current_files(files, own_rules, options.output_file)
-    keys = staged(compared(current, state, everything), "compared")
-    due = due_only(current, keys, everything)
-    listing = [name for name in LISTING.fieldNames() if name not in KEY]
-    made = staged(routed(due, options).join(due.select(*KEY, *listing), KEY), "routed")
-    asked = made.where(F.col("route") == route.SUMMARISE)
-    if fetch is None:
-        contents = current.join(asked.select(*KEY), KEY, "left_semi")
-    else:
-        contents = fetch(asked.select(*LISTING.fieldNames()))
-    answers = staged(call_model(route.with_text(contents), options, client, tasks), "answers")
-    rows = keys.join(made.drop(*listing), KEY, "left").join(answers.select(*KEY, "summary"), KEY, "left")
-    log = conclude(
-        rows, state, F.coalesce("ready", "summary"), F.col("is_ready") | F.col("summary").isNotNull(), run_time
-    )
-    return store.write(with_untouched(log, state, keys))
+    with contextlib.closing(Staging(files.sparkSession)) as staging:
+        current = current_files(files, own_rules, options.output_file)
+        keys = staging.keep(compared(current, state, everything), "compared")
+        due = due_only(current, keys, everything)
+        listing = [name for name in LISTING.fieldNames() if name not in KEY]
+        made = staging.keep(routed(due, options).join(due.select(*KEY, *listing), KEY), "routed")
+        asked = made.where(F.col("route") == route.SUMMARISE)
+        if fetch is None:
+            contents = current.join(asked.select(*KEY), KEY, "left_semi")
+        else:
+            contents = fetch(asked.select(*LISTING.fieldNames()))
+        answers = staging.keep(call_model(route.with_text(contents), options, client, tasks), "answers")
+        rows = keys.join(made.drop(*listing), KEY, "left").join(answers.select(*KEY, "summary"), KEY, "left")
+        log = conclude(
+            rows, state, F.coalesce("ready", "summary"), F.col("is_ready") | F.col("summary").isNotNull(), run_time
+        )
+        return store.write(with_untouched(log, state, keys))

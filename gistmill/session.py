@@ -46,3 +46,22 @@ def staged(rows: DataFrame, label: str) -> DataFrame:
     path = staging_path(rows.sparkSession, label)
     rows.write.mode("errorifexists").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+class Staging:
+    """Staged tables of one run, removed when it is over."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def keep(self, rows: DataFrame, label: str) -> DataFrame:
+        path = staging_path(self.spark, label)
+        self.folders.append(path)
+        rows.write.mode("errorifexists").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def close(self) -> None:
+        for folder in self.folders:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.folders = []

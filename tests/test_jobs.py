@@ -156,7 +156,10 @@ def answer(request):
 def test_model_job_and_failed_refresh(spark, tree, tmp_path):
     options = DigestOptions(mode=DigestMode.AI, api_key="k", model="m", retry_pause=0.0)
     store = StateStore(spark, str(tmp_path / "state"))
-    jobs.run_job(scan(spark, p=tree), store, options, NOW, client=answer)
+    files, staging = scan(spark, p=tree), spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(staging))
+    jobs.run_job(files, store, options, NOW, client=answer)
+    assert set(os.listdir(staging)) == before  # nothing staged is left behind
     first = digest(store)
     assert first["large.py"].content == "- **Role**: large.py" and first["small.py"].content == 'print("hello")'
     (tree / "large.py").write_text(LARGE + "# changed\n")
