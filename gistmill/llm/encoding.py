@@ -60,7 +60,11 @@ class Encoder:
 
     def _ids_of_word(self, word: str) -> bytes:
         """Ids of what the pre-tokenizer would hand to the model as one word."""
-        return array("I", [token.id for token in self.merge(word.encode().decode("latin-1").translate(_SHOWN))]).tobytes()
+        if word[0] == " " and word.isascii() and word[1:].isalnum():
+            shown = _SHOWN[32] + word[1:]
+        else:
+            shown = word.encode().decode("latin-1").translate(_SHOWN)
+        return array("I", [token.id for token in self.merge(shown)]).tobytes()
 
     def _from_library(self, texts: list[str]) -> list[bytes]:
         done = self.library.encode_batch_fast(texts, add_special_tokens=False)

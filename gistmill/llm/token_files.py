@@ -41,7 +41,7 @@ from gistmill.session import staged, staging_path
 
 MAGIC = b"IDPLANE1"
 BLOCK = 65_536
-LEVEL = 3
+LEVEL = 1
 
 
 # ---- the format -------------------------------------------------------------------------
