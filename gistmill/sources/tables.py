@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistmill.functions.text import checksum
-from gistmill.schemas import FILES, KEY, STATE
+from gistmill.schemas import FILES, STATE
 
 
 def files_from_table(table: DataFrame) -> DataFrame:
