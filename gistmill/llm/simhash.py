@@ -57,20 +57,26 @@ def byte_triples() -> list[tuple[int, int, int]]:
     return chosen
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Unsigned fingerprint of a whole text: a bit is 1 if over half of the shingle hashes have it."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> list[int]:
+    """Hashes of all word shingles of a whole text; of all its words if they are too few for one."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts, ends = (ends - lengths).tolist(), ends.tolist()
     digest = xxhash.xxh64_intdigest
     if len(words) < shingle:
-        hashes = [digest(joined, seed)]
-    else:
-        hashes = [digest(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1:])]
+        return [digest(joined, seed)]
+    return [digest(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1:])]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Unsigned fingerprint of a whole text: a bit is 1 if over half of the shingle hashes have it."""
+    hashes = shingle_hashes(text, shingle, seed)
+    if not hashes:
+        return 0
     octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(octets), 16_384):
