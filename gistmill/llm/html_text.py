@@ -3,7 +3,7 @@
 A page is read from left to right into flat blocks of text, cut wherever a block-level
 element begins or ends.  Each block is described by its words, the share of them inside
 links, the same of the blocks before and after, and what it stands in: an element or a class
-name that speaks of menus, adverts and the like, an article, a heading.  A decision tree
+name that speaks of menus, adverts and the like and how plainly, an article, a heading.  A decision tree
 trained on the blocks of the labelled pages below says which blocks are main text.
 
 Markup need not be well formed: elements that are never closed end with what holds them.
@@ -30,6 +30,10 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT_TAGS = frozenset("script style head noscript template svg math iframe object canvas audio video select button textarea title".split())
 
+#: Silent elements whose text is no markup, so only their end tag ends them, and those that may hold each other.
+RAW_TAGS = frozenset("script style textarea title".split())
+NESTING_TAGS = frozenset("template object svg math".split())
+
 #: Elements, and words of class, id and role names, that say a part is not main text.
 APART_TAGS = frozenset("nav aside footer form menu dialog".split())
 APART_NAMES = frozenset(
@@ -40,16 +44,45 @@ APART_NAMES = frozenset(
 )
 MAIN_NAMES = frozenset("article main content post entry story".split())
 
+#: How far a part stands apart: a name that has such a word among others, a form, a name or element of its own, hidden.
+#: An article within ends what is less than APART, main ends what is less than HIDDEN.
+HINTED, FORM, APART, HIDDEN = 0.4, 0.8, 1.0, 2.0
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""(?:\b(?:class|id|role)\s*=\s*)(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
+_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK_TAGS))})\b", re.I)
+
+
+def _end_of_silent(page: str, name: str, at: int) -> int:
+    """Where a silent element ends whose start tag ends at ``at``; one that is never closed ends at the next block tag."""
+    close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)" + (r"|(?=<body\b)" if name == "head" else ""), re.I).search(page, at)
+    if name == "head":
+        return close.end() if close else at
+    if name in RAW_TAGS:
+        return close.end() if close else len(page)
+    if close and (name in NESTING_TAGS or not re.compile(rf"<{name}\b", re.I).search(page, at, close.start())):
+        return close.end()
+    block = _BLOCK.search(page, at)
+    return block.start() if block else len(page)
+
+
+def _apart_by_names(tokens: list[str]) -> float:
+    """How far class, id and role names set a part apart."""
+    level = 0.0
+    for token in tokens:
+        words = set(re.split(r"[^a-z]+", token)) - {""}
+        if words & APART_NAMES:
+            level = max(level, APART if words <= APART_NAMES else HINTED)
+    return level
+
 
 def flat_blocks(page: str) -> list[dict]:
     """Blocks in page order: text and what it stands in."""
     blocks, parts, linked = [], [], 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, apart, main, link
-    apart = main = link = False
+    stack: list[tuple[str, float, bool, bool]] = []  # name, apart, main, link
+    apart, main, link = 0.0, False, False
     heading = ""
     at, end = 0, len(page)
 
@@ -86,8 +119,7 @@ def flat_blocks(page: str) -> list[dict]:
                 del stack[depth:]
         else:
             if name in SILENT_TAGS and not found[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)" + (r"|(?=<body\b)" if name == "head" else ""), re.I).search(page, at)
-                at = close.end() if close else (at if name == "head" else end)
+                at = _end_of_silent(page, name, at)
                 continue
             if name == "br":
                 add("\n")
@@ -101,17 +133,22 @@ def flat_blocks(page: str) -> list[dict]:
                     del stack[depth:]
             if name in VOID_TAGS:
                 continue
-            _, was_apart, was_main, was_link = stack[-1] if stack else ("", False, False, False)
-            names = set()
+            _, was_apart, was_main, was_link = stack[-1] if stack else ("", 0.0, False, False)
+            names, tokens = set(), []
             if "=" in found[3]:
                 for groups in _NAMES.findall(found[3]):
+                    tokens += "".join(groups).lower().split()
                     names.update(re.split(r"[^a-z]+", "".join(groups).lower()))
             is_main = name in ("article", "main") or (not names.isdisjoint(MAIN_NAMES) and names.isdisjoint(APART_NAMES))
-            is_apart = name in APART_TAGS or (name == "header" and not was_main) or bool(_HIDDEN.search(found[3]))
-            # the outermost elements hold everything, whatever their names say
-            is_apart |= name not in ("html", "body") and not names.isdisjoint(APART_NAMES) and name not in ("article", "main")
-            stack.append((name, was_apart or is_apart, was_main or is_main, was_link or name == "a"))
-        _, apart, main, link = stack[-1] if stack else ("", False, False, False)
+            own = FORM if name == "form" else APART if name in APART_TAGS or (name == "header" and not was_main) else 0.0
+            if name not in ("html", "body", "article", "main"):  # these hold everything, whatever their names say
+                own = max(own, _apart_by_names(tokens))
+            if _HIDDEN.search(found[3]):
+                own = HIDDEN
+            if (name == "article" or (name == "h1" and was_main)) and was_apart < APART or name == "main" and was_apart < HIDDEN:
+                was_apart = 0.0
+            stack.append((name, max(was_apart, own), was_main or is_main, was_link or name == "a"))
+        _, apart, main, link = stack[-1] if stack else ("", 0.0, False, False)
         heading = next((tag for tag, *_ in reversed(stack) if tag in ("h1", "h2", "h3", "h4", "h5", "h6")), "")
     close_block()
     return blocks
@@ -128,7 +165,7 @@ def features(blocks: list[dict]) -> np.ndarray:
     density = np.array([b["linked"] / max(b["words"], 1) for b in blocks])
     before, after = np.concatenate([[0], words[:-1]]), np.concatenate([words[1:], [0]])
     d_before, d_after = np.concatenate([[0], density[:-1]]), np.concatenate([density[1:], [0]])
-    stands = np.array([[b["apart"], b["main"], bool(b["heading"])] for b in blocks], dtype=float)
+    stands = np.array([[min(b["apart"], APART), b["main"], bool(b["heading"])] for b in blocks], dtype=float)
     return np.column_stack([words, density, before, d_before, after, d_after, stands])
 
 
@@ -196,6 +233,13 @@ LABELLED = [
     f"<body><div class=sidebar><p>{_LONG}</p><p>Tip of the day.</p></div><div class=post><p>*{_LONG} {_MORE}</p><p>*{_MORE} {_LONG} {_MORE}</p><p>*And then?</p><p>*{_MORE} {_LONG}</p></div>"
     f"<div id=comments><p>{_MORE} {_LONG}</p><p>First!</p></div></body>",
     f"<body><div>*{_LONG} {_MORE}</div><div>*{_MORE} {_LONG}</div><div>*{_LONG} {_MORE}</div><div>*{_MORE}</div><div>*{_LONG} {_LONG}</div><div>Print</div><div>Up</div></body>",
+    f"<body><div class=site-header><a href=1>Valley Times</a></div><div class='page has-sidebar'><p>*{_LONG}</p><p>*{_MORE}</p><p>*{_LONG} {_MORE}</p><p>*{_MORE} {_LONG}</p></div>"
+    f"<div class=left-sidebar><p><a href=1>Weather</a> <a href=2>Traffic</a></p><p>Tip of the day.</p><p>Most read</p></div><div class=site-footer>All rights reserved.</div></body>",
+    f"<body><div class=main-menu><a href=1>Start</a> <a href=2>About us</a></div><div class=with-banner><p>*{_MORE} {_LONG}</p><p>*{_LONG}</p><p>*{_MORE}</p></div>"
+    f"<div class=share-buttons><a href=1>Share</a> <a href=2>Send</a></div><div class=page-footer>Printed on the first day.</div></body>",
+    f"<article><h1>*Early end</h1><p>*{_LONG}</p><p>*It rained.</p></article>", f"<article><p>*{_MORE}</p><p>*They all went home.</p></article>",
+    f"<p>*{_LONG}</p>", "<p>*The bridge was gone.</p>", f"<div class=post><p>*{_LONG}</p></div>", "<div class=post>*Nobody was hurt.</div>",
+    f"<div class=wide-banner><p>*{_LONG} {_MORE}</p></div>", "<div class=top-banner>Buy two lamps today.</div>",
 ]
 
 
