@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from gistmill.functions import entries as en
 from gistmill.schemas import ENTRY, KEY
 
+#: Text of all corpora together for which one more part is made.
+PART_BYTES = 64 << 20
+
 
 def stamp(run_time: datetime.datetime) -> Column:
     """Run time as a literal without zone, in whole seconds as digests keep it."""
@@ -91,3 +95,10 @@ def path_boundaries(lines: DataFrame, parts: int) -> list[str]:
     ranged = lines.select("relative_path").repartitionByRange(parts, "relative_path")
     first = ranged.groupBy(F.spark_partition_id().alias("range")).agg(F.min("relative_path").alias("path")).orderBy("range")
     return [row.path for row in first.collect()][1:]
+
+
+def size_boundaries(lines: DataFrame) -> list[str]:
+    """Paths that cut all entries into even ranges, as many as their text is long; no row or task holds a whole large corpus."""
+    total = lines.agg(F.sum(F.octet_length("value"))).first()[0] or 0
+    parts = math.ceil(total / PART_BYTES)
+    return path_boundaries(lines, parts) if parts > 1 else []

@@ -96,8 +96,10 @@ def digest_lines(spark, folder):
 
 @query
 def digest_import(spark, folder):
-    """Digests in pieces of different lengths, read as if each were one text."""
-    pieces = dg.digest_documents(digest_lines(spark, folder), boundaries=["docs/", "pkg.egg-info/src3", "src/src15/", "src/src5"])
+    """Digests in pieces of different lengths, as many as their size calls for, read as if each were one text."""
+    lines = digest_lines(spark, folder)
+    always = ["docs/", "pkg.egg-info/src3", "src/src15/", "src/src5"]
+    pieces = dg.digest_documents(lines, boundaries=sorted({*always, *dg.size_boundaries(lines)}))
     return _dated(import_digest(pieces))
 
 
