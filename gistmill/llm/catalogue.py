@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmill.llm import embeddings, html_text, licenses, mixing, packing, simhash, spotsigs, token_counts, token_files, toxicity
+from gistmill.llm import (
+    decontaminate, embeddings, hard_negatives, html_text, licenses, mixing, packing, simhash, spelling, spotsigs, token_counts,
+    token_files, toxicity,
+)
 from gistmill.llm.common import read_table, small_batches
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -67,6 +70,27 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read_table(spark, folder, "embeddings").select(
+        "vec_id", label.alias("label"), hard_negatives.integer_vector(F.col("embedding")).alias("vector")
+    )
+    return hard_negatives.hard_negatives(rows)
+
+
+_INTEGERS = """(SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vector
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+def op12_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.benchmark_hits(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, folder, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_packing": op2_packing,
@@ -78,8 +102,13 @@ QUERIES = {
     "op8_spotsigs": op8_spotsigs,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_spelling": op13_spelling,
 }
 
 SQLS = {
     "op9_mixing": mixing.mixture_sql(_WEIGHTED, "weight"),
+    "op11_hard_negatives": hard_negatives.hard_negatives_sql(_INTEGERS),
+    "op12_decontaminate": decontaminate.benchmark_hits_sql(),
 }

@@ -1,0 +1,122 @@
+"""The FM-index against plain search, and hits against brute force over all windows."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+import edge
+from compare import compare, duck
+from gistmill.llm import catalogue, decontaminate
+from gistmill.llm.fm_index import FmIndex, suffix_order
+
+ITEMS = "item_id bigint, text string, row string, words string, block string, size string"
+
+
+def sequence(draw, documents, alphabet, longest):
+    return np.array([s for _ in range(documents) for s in [draw.randint(1, alphabet) for _ in range(draw.randint(0, longest))] + [0]])
+
+
+@pytest.mark.parametrize("alphabet", [1, 2, 5, 1000])
+def test_suffix_order(alphabet):
+    draw = random.Random(alphabet)
+    for n in (0, 1, 2, 50, 400):
+        symbols = np.array([draw.randrange(alphabet) for _ in range(n)], dtype=np.int64)
+        assert suffix_order(symbols).tolist() == sorted(range(n), key=lambda i: symbols[i:].tolist())
+
+
+@pytest.mark.parametrize("alphabet, sample", [(1, 32), (2, 4), (7, 32), (300, 1)])
+def test_search_and_locate(alphabet, sample):
+    draw = random.Random(alphabet)
+    symbols = sequence(draw, 40, alphabet, 60)
+    symbols = np.concatenate([symbols, symbols[:200], [0]])
+    built = FmIndex.build(symbols, alphabet + 1, sample)
+    index = FmIndex.from_bytes(built.n, built.n_symbols, built.to_bytes())
+    patterns = []
+    for _ in range(300):
+        size = draw.randint(1, 4)
+        at = draw.randrange(len(symbols) - size)
+        patterns.append([0] * (4 - size) + symbols[at: at + size].tolist())
+    patterns = [p for p in patterns if 0 not in p[p.count(0):] and sum(p)] + [[0, -1, 1, 1], [-1, 1, 1, 1]]
+    patterns = [p for p in patterns if all(x != 0 for x in p[next(i for i, x in enumerate(p) if x):])]
+    low, high = index.search(np.array(patterns))
+    for pattern, a, b in zip(patterns, low.tolist(), high.tolist()):
+        plain = [x for x in pattern if x]
+        expected = [i for i in range(len(symbols) - len(plain) + 1) if symbols[i: i + len(plain)].tolist() == plain]
+        assert sorted(index.locate(np.arange(a, max(a, b))).tolist()) == expected
+
+
+def words(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower)
+
+
+def brute(documents, items, window):
+    windows = {}
+    for item, text in items:
+        found = words(text)
+        size = min(window, len(found))
+        for i in range(len(found) - size + 1 if size else 0):
+            windows.setdefault(tuple(found[i: i + size]), set()).add("" if item is None else str(item))
+    out = []
+    for ident, text in documents:
+        found, hit, has = words(text), set(), set()
+        for size in {len(w) for w in windows}:
+            for i in range(len(found) - size + 1):
+                if tuple(found[i: i + size]) in windows:
+                    hit.update(range(i, i + size))
+                    has |= windows[tuple(found[i: i + size])]
+        digest = hashlib.sha256(",".join(sorted(has)).encode()).hexdigest()
+        out.append((ident, len(found), len(hit), len(has), digest, bool(hit)))
+    return sorted(map(repr, out))
+
+
+def hits(spark, documents, items, **options):
+    frame = spark.createDataFrame([(i, t, *["x"] * 4) for i, t in items], ITEMS)
+    rows = decontaminate.benchmark_hits(edge.documents(spark, documents), frame, **options)
+    assert rows.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    return sorted(map(repr, map(tuple, rows.collect())))
+
+
+@pytest.mark.parametrize("shard, block, window", [(1 << 20, 1 << 20, 10), (7, 30, 3), (1, 60, 4), (50, 200, 10)])
+def test_against_brute_force(spark, shard, block, window):
+    draw = random.Random(shard + window)
+    letters = "a b c It's 7 ß".split()
+    some = lambda n: " ".join(draw.choice(letters) for _ in range(n))
+    texts = [some(draw.choice([0, 1, 3, 12, 60])) for _ in range(60)]
+    passage = edge.text_of(9, 30)
+    items = [(k, some(draw.choice([0, 1, 2, 9, 14]))) for k in range(10, 30)] + [(3, passage), (4, passage), (3, "x y z"), (None, "nobody's words"), (5, None), (6, " ,, ")]
+    if window == 10:  # short items that are nearly everywhere say little
+        items = [(k, t) for k, t in items if len(words(t)) > 1]
+    texts += [some(5) + " " + passage + " " + some(5), passage, passage, "before " + " ".join(passage.split()[3:20]) + " after"]
+    rows = edge.rows() + [(100 + i, t, None, None, 0, *["x"] * 8) for i, t in enumerate(texts)]
+    expected = brute([(r[0], r[1]) for r in rows], items, window)
+    assert sum("True" in r for r in expected) > 4
+    assert hits(spark, rows, items, shard=shard, block=block, window=window) == expected
+
+
+def test_removal_spans(spark):
+    documents = edge.documents(spark, [(1, "zero a b c d a b five six a b c", None, None, 0, *["x"] * 8)])
+    index = decontaminate.index_shards(documents, window=2, shard=4)
+    pieces = decontaminate.item_pieces(spark.createDataFrame([(1, "a b c"), (2, "d a")], "item_id bigint, text string"), window=2)
+    _, spans = decontaminate.contamination(index, pieces, window=2)
+    assert sorted((r.start, r.end) for r in spans.collect()) == [(1, 7), (9, 12)]
+
+
+def test_items_longer_than_a_piece(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 5)
+    text = edge.text_of(4, 60)
+    rows = [(1, text, None, None, 0, *["x"] * 8), (2, " ".join(text.split()[20:40]), None, None, 0, *["x"] * 8)]
+    assert hits(spark, rows, [(8, text)], block=20) == brute([(r[0], r[1]) for r in rows], [(8, text)], 10)
+
+
+def test_nothing(spark):
+    assert hits(spark, [], [(1, "a b")]) == []
+    assert hits(spark, edge.rows(), []) == brute([(r[0], r[1]) for r in edge.rows()], [], 10)
+
+
+def test_query(spark):
+    folder = "/root/testdata/sf0.001"
+    assert compare(spark, duck(folder), folder, catalogue.op12_decontaminate, catalogue.SQLS["op12_decontaminate"]) is None
