@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import datetime
-import math
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.functions import entries as en
+from gistmill.operators.cuts import part_cuts, with_part
 from gistmill.schemas import ENTRY, KEY
 
-#: Text of all corpora together for which one more part is made.
+#: Length of a part of a digest text.
 PART_BYTES = 64 << 20
 
 
@@ -77,28 +76,14 @@ def digest_lines(digest: DataFrame, totals: DataFrame, run_time: datetime.dateti
     return headers.unionByName(bodies)
 
 
-def digest_documents(lines: DataFrame, boundaries: Sequence[str]) -> DataFrame:
+def digest_documents(lines: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Digest texts as ``corpus_id, part, document``: the parts of a corpus in order are its text.
 
-    ``boundaries`` are paths in ascending order; a part holds the entries from one boundary up
-    to the next, so without any there is one document a corpus.  The caller chooses them, for
-    corpora of any size; :func:`path_boundaries` finds some that part the entries evenly.
+    A part takes the entries that begin in its ``part_bytes`` bytes of the text, so none is twice
+    as long unless a single entry is longer.  Every text crosses the shuffle to its part once;
+    the cuts are found from paths and lengths.
     """
-    part = sum((F.col("relative_path") >= path).cast("int") for path in boundaries) if boundaries else F.lit(0)
-    return lines.withColumn("part", part).groupBy("corpus_id", "part").agg(
+    weighed = lines.select(*KEY, F.octet_length("value").cast("long").alias("weight"))
+    return with_part(lines, part_cuts(weighed, part_bytes)).groupBy("corpus_id", "part").agg(
         F.expr("listagg(value, '') within group (order by relative_path)").alias("document")
     )
-
-
-def path_boundaries(lines: DataFrame, parts: int) -> list[str]:
-    """Paths that cut all entries into about ``parts`` even ranges; reads the paths once."""
-    ranged = lines.select("relative_path").repartitionByRange(parts, "relative_path")
-    first = ranged.groupBy(F.spark_partition_id().alias("range")).agg(F.min("relative_path").alias("path")).orderBy("range")
-    return [row.path for row in first.collect()][1:]
-
-
-def size_boundaries(lines: DataFrame) -> list[str]:
-    """Paths that cut all entries into even ranges, as many as their text is long; no row or task holds a whole large corpus."""
-    total = lines.agg(F.sum(F.octet_length("value"))).first()[0] or 0
-    parts = math.ceil(total / PART_BYTES)
-    return path_boundaries(lines, parts) if parts > 1 else []

@@ -7,7 +7,7 @@ cross product of path prefixes and rules, merges through joins of common table e
 from __future__ import annotations
 
 from gistmill import fixed_values as fv
-from gistmill.plans.testbed import DIRECTORIES, EXTENSIONS, RUN_TIME
+from gistmill.plans.testbed import DIRECTORIES, EXTENSIONS, PART_BYTES, RUN_TIME
 
 
 def _quoted(text: str) -> str:
@@ -357,7 +357,12 @@ LEFT JOIN folded f USING (corpus_id, relative_path) GROUP BY corpus_id""",
         "completion_stats": status + f"""
 SELECT corpus_id, count(*) FILTER (WHERE {due} AND NOT is_binary) AS processed,
   count(*) FILTER (WHERE status = 'up-to-date') AS up_to_date FROM statuses GROUP BY corpus_id""",
-        "digest_document": _with(_FILES, _STATE, _LINES) + "SELECT corpus_id, 0 AS part, document FROM texts",
+        "digest_document": _with(_FILES, _STATE, _LINES) + f"""
+, placed AS (
+  SELECT *, sum(strlen(value)) OVER (PARTITION BY corpus_id ORDER BY relative_path) - strlen(value) AS begins FROM lines),
+numbered AS (SELECT *, dense_rank() OVER (PARTITION BY corpus_id ORDER BY begins // {PART_BYTES}) - 1 AS part FROM placed)
+SELECT corpus_id, CAST(part AS INTEGER) AS part, string_agg(value, '' ORDER BY relative_path) AS document
+FROM numbered GROUP BY corpus_id, part""",
         "attention_list": fine + f"""
 , numbered AS (
   SELECT *, {due} AS is_due, count(*) OVER c AS n, count(*) FILTER (WHERE {due}) OVER c AS n_due,

@@ -96,11 +96,8 @@ def digest_lines(spark, folder):
 
 @query
 def digest_import(spark, folder):
-    """Digests in pieces of different lengths, as many as their size calls for, read as if each were one text."""
-    lines = digest_lines(spark, folder)
-    always = ["docs/", "pkg.egg-info/src3", "src/src15/", "src/src5"]
-    pieces = dg.digest_documents(lines, boundaries=sorted({*always, *dg.size_boundaries(lines)}))
-    return _dated(import_digest(pieces))
+    """Digests in parts of bounded length, read as if each were one text."""
+    return _dated(import_digest(dg.digest_documents(digest_lines(spark, folder), testbed.PART_BYTES)))
 
 
 # ---- filters -------------------------------------------------------------------------
@@ -338,7 +335,7 @@ def completion_stats(spark, folder):
 
 @query
 def digest_document(spark, folder):
-    return dg.digest_documents(digest_lines(spark, folder), boundaries=[])
+    return dg.digest_documents(digest_lines(spark, folder), testbed.PART_BYTES)
 
 
 @query

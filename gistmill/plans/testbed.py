@@ -18,6 +18,9 @@ from gistmill.schemas import KEY
 
 RUN_TIME = datetime.datetime(2024, 9, 1, 12, 0, 0)
 
+# Length of a part of a digest text, so that the small tables have several.
+PART_BYTES = 1 << 14
+
 DIRECTORIES = ["src", "node_modules", "src/node_modules", "docs/_build", "pkg.egg-info", ".git"]
 EXTENSIONS = [".py", ".md", ".log", ".txt", ".tmp", ".js", ".rs", ".json"]
 
