@@ -4,9 +4,9 @@ Rows are packed into tiles of one label each, anchors and candidates alike.  A p
 tiles multiplies halves recursively with seven products instead of eight, padding odd sides
 with zeros; sums and products are exact 64-bit integers.  Candidate tiles are dealt over
 stripes, anchor tiles go to every stripe, so each pair of tiles meets once and candidates
-cross one shuffle.  A task keeps one bounded heap for each anchor of the tile in hand: the
-first positives in the first pass (tiles of equal label only), the best candidates inside each
-positive's window in the second (tiles of other labels).  Heaps of tasks are merged by rank.
+cross one shuffle.  A task keeps one bounded heap for each anchor of up to ``HELD_TILES`` tiles:
+the first positives in the first pass (tiles of equal label only), the best candidates inside
+each positive's window in the second (tiles of other labels).  Heaps of tasks are merged by rank.
 
 Defined results: rows with a null id, label or vector, or a null or non-finite component, take
 no part; an empty vector scores 0 and a shorter one counts as padded with zeros; rows with the
@@ -30,6 +30,9 @@ from gistmill.session import staged
 #: Rows of a tile of candidates, and of anchors.
 TILE, ANCHOR_TILE = 512, 256
 
+#: Anchor tiles whose heaps a task holds at a time, whatever order the pairs come in.
+HELD_TILES = 32
+
 #: Sides up to which tiles are multiplied directly.
 LEAF = 32
 
@@ -186,17 +189,21 @@ def _heaped(pairs: DataFrame, size: int, positives: bool, schema: str, window: t
         return pa.RecordBatch.from_arrays([pa.array(columns[name], pa.int64()) for name in names], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, heaps, slots = None, None, []
+        held = {}
         for batch in batches:
             for pair in batch.to_pylist():
-                if held is None or held["a_tile"] != pair["a_tile"]:
-                    if held is not None:
-                        yield flushed(held, heaps, slots)
-                    held, slots = pair, [] if positives else pair["a_positives"]
+                if pair["a_tile"] not in held:
+                    if len(held) == HELD_TILES:
+                        for tile, heaps, slots, *_ in held.values():
+                            yield flushed(tile, heaps, slots)
+                        held = {}
                     _, own, vectors = _opened(pair, "a_")
+                    slots = [] if positives else pair["a_positives"]
                     owner = np.arange(len(own)) if positives else np.array([s["place"] for s in slots], dtype=np.int64)
-                    heaps = Heaps(len(owner), size)
                     bound = np.array([s["positive_score"] for s in slots], dtype=np.int64)[:, None]
+                    kept = {name: value for name, value in pair.items() if name in ("a_tile", "a_ids", "a_rows", "a_vectors", "a_kind")}
+                    held[pair["a_tile"]] = kept, Heaps(len(owner), size), slots, own, vectors, owner, bound
+                _, heaps, _, own, vectors, owner, bound = held[pair["a_tile"]]
                 ids, rows, matrix = _opened(pair)
                 scores = _product(vectors, matrix)
                 if positives:
@@ -206,8 +213,8 @@ def _heaped(pairs: DataFrame, size: int, positives: bool, schema: str, window: t
                     fit = (scores * 10 >= bound * window[0]) & (scores * 10 <= bound * window[1])
                 i, j = np.nonzero(fit & (scores >= heaps.least[:, None]))
                 heaps.push(i, scores[i, j], ids[j], rows[j])
-        if held is not None:
-            yield flushed(held, heaps, slots)
+        for tile, heaps, slots, *_ in held.values():
+            yield flushed(tile, heaps, slots)
 
     return pairs.mapInArrow(run, schema)
 
