@@ -13,6 +13,9 @@ import functools
 import re
 from collections.abc import Iterable, Iterator
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _SLASH = ord("/")
 NOTHING = "(?!)"
 
@@ -168,3 +171,57 @@ def compile_rules(rules: tuple[str, ...], own_output: str | None = None) -> Rule
     if suffixes:
         names.append(f"[^/]*(?:{_by_first_character(suffixes)})")
     return combine(paths, names)
+
+
+# ---- the same for rules in a column ----
+
+_TOKENS = r"(?s)(\*+|\?|\[!?\]?[^\]]*\]|.)"
+
+
+def _tokens(pattern: Column) -> Column:
+    return F.regexp_extract_all(pattern, F.lit(_TOKENS), F.lit(1))
+
+
+def has_literal_slash(pattern: Column) -> Column:
+    """Whether a glob has a slash outside character classes."""
+    return F.array_contains(_tokens(pattern), "/")
+
+
+def _escaped(character: Column) -> Column:
+    return F.when(F.rlike(character, F.lit(r"\A[A-Za-z0-9_/]")) | (F.ascii(character) > 126), character).otherwise(
+        F.concat(F.lit("\\"), character)
+    )
+
+
+def _class_column(token: Column, any_char: str, guard: str) -> Column:
+    """Regex for a token ``[…]``; one without members is plain text."""
+    negated = F.startswith(token, F.lit("[!"))
+    body = F.when(negated, F.substr(token, F.lit(3), F.length(token) - 3)).otherwise(F.substr(token, F.lit(2), F.length(token) - 2))
+    members = F.regexp_extract_all(body, F.lit("(?s)(.-.|.)"), F.lit(1))
+
+    def end(member: Column, place: int) -> Column:
+        return F.substr(member, F.lit(place), F.lit(1))
+
+    # a range that runs backward has no members
+    forward = F.filter(members, lambda m: (F.length(m) < 3) | (end(m, 1) <= end(m, 3)))
+    inside = F.array_join(F.transform(forward, lambda m: F.when(F.length(m) < 3, _escaped(m)).otherwise(
+        F.concat(_escaped(end(m, 1)), F.lit("-"), _escaped(end(m, 3)))
+    )), "")
+    found = F.concat(F.lit(guard + "["), F.when(negated, F.lit("^")).otherwise(F.lit("")), inside, F.lit("]"))
+    plain = F.array_join(F.transform(F.split(token, ""), _escaped), "")
+    return F.when(body == "", plain).when(inside != "", found).when(negated, F.lit(any_char)).otherwise(F.lit(NOTHING))
+
+
+def glob_regex_column(pattern: Column, within_name: bool = False) -> Column:
+    """Unanchored regex for a column of globs; the counterpart of :func:`glob_regex`."""
+    any_char, guard = ("[^/]", "(?!/)") if within_name else (".", "")
+
+    def piece(token: Column) -> Column:
+        return (
+            F.when(F.startswith(token, F.lit("*")), F.lit(any_char + "*"))
+            .when(token == "?", F.lit(any_char))
+            .when(F.length(token) > 1, _class_column(token, any_char, guard))
+            .otherwise(_escaped(token))
+        )
+
+    return F.array_join(F.transform(_tokens(pattern), piece), "")

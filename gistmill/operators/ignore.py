@@ -6,25 +6,17 @@ above it is hit, so a walk would not have come across it; such files count nowhe
 
 from __future__ import annotations
 
-import functools
-import re
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gistmill import fixed_values as fv
-from gistmill.functions.globs import NOTHING, compile_rules, rule_fragments
+from gistmill.functions.globs import compile_rules, glob_regex_column, has_literal_slash
 from gistmill.functions.text import strip
 from gistmill.operators.skew import join_by_corpus
 
 
-# Rule expressions of all corpora up to this size are sent to every executor.
-BROADCAST_BYTES = 32 * 1024 * 1024
-
-
 def usable_rules(rule_lines: DataFrame) -> DataFrame:
     """``corpus_id, pattern`` from ``corpus_id, line``, without blank lines and comments."""
     return (
@@ -71,68 +63,94 @@ def _classify(below: Column, itself: Column) -> Column:
     return F.when(below, F.lit("pruned")).when(itself, F.lit("ignored")).otherwise(F.lit("kept"))
 
 
-@F.pandas_udf(T.StructType([T.StructField("path", T.StringType()), T.StructField("name", T.StringType())]))
-def _fragments(rules: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([rule_fragments(rule) for rule in rules], columns=["path", "name"])
-
-
-@functools.lru_cache(maxsize=10_000)
-def _compiled(regex: str) -> re.Pattern:
-    return re.compile(regex.replace(r"\z", r"\Z"))
-
-
-@F.pandas_udf(T.BooleanType())
-def hits(paths: pd.Series, regexes: pd.Series) -> pd.Series:
-    """Whether an expression that differs by row hits; each is compiled once a worker, not once a row."""
-    return pd.Series([
-        None if path is None or regex is None else _compiled(regex).search(path) is not None for path, regex in zip(paths, regexes)
-    ], dtype=object)
+#: What the rules of a corpus come to: texts that paths are held against, and two expressions for the rest.
+_LISTS = ["names", "tails", "equals", "trees"]
+
+
+def _with_shapes(rules: DataFrame) -> DataFrame:
+    """Sort rules of a column ``pattern`` by what they need: a rule that is plain text, or such text behind ``*``, needs no regex."""
+    pattern = F.col("pattern")
+    is_tree = F.endswith(pattern, F.lit("/*"))
+    body = F.when(is_tree, F.expr("left(pattern, length(pattern) - 2)")).otherwise(pattern)
+    is_plain, tail = ~F.rlike(body, F.lit(r"[*?\[]")), F.regexp_replace("pattern", r"\A\*+", "")
+    is_tail = ~is_tree & F.startswith(pattern, F.lit("*")) & (tail != "") & ~F.rlike(tail, F.lit(r"[*?\[]"))
+    is_name = ~is_tree & is_plain & ~F.contains(pattern, F.lit("/"))
+    is_glob = ~is_plain & ~is_tail
+    by_name = is_glob & ~is_tree & ~has_literal_slash(pattern)
+    return rules.select(
+        "pattern",
+        F.when(is_name, pattern).alias("names"),
+        F.when(is_tail, tail).alias("tails"),
+        F.when(is_plain & ~is_name, body).alias("equals"),
+        F.when(is_tree, F.concat(F.lit("/"), body, F.lit("/"))).alias("trees"),
+        F.when(is_glob, glob_regex_column(body)).alias("whole"),
+        F.when(by_name, glob_regex_column(pattern, within_name=True)).alias("name"),
+    )
 
 
 def rules_by_corpus(rules: DataFrame) -> DataFrame:
-    """``corpus_id, pattern`` rows folded to the two expressions of each corpus.
+    """``corpus_id, pattern`` rows folded to one row ``corpus_id, own`` for each corpus.
 
     A corpus has as many rules as its rule file has lines; files never enter this group.
     """
     # many corpora share a rule, which is translated once
-    translated = rules.select("pattern").distinct().withColumn("fragment", _fragments("pattern"))
-    parts = rules.distinct().join(translated, "pattern")
+    shaped = rules.distinct().join(_with_shapes(rules.select("pattern").distinct()), "pattern")
 
     def joined(field: str) -> Column:
-        found = F.array_sort(F.collect_set(F.col("fragment")[field]))
-        return F.coalesce(F.nullif(F.array_join(found, "|"), F.lit("")), F.lit(NOTHING))
+        return F.array_join(F.array_sort(F.collect_set(field)), "|").alias(field)
 
-    folded = parts.groupBy("corpus_id").agg(joined("path").alias("p"), joined("name").alias("n"))
+    folded = shaped.groupBy("corpus_id").agg(
+        *[F.array_sort(F.collect_set(name)).alias(name) for name in _LISTS], joined("whole"), joined("name")
+    )
 
-    def expression(path_end: str, name_end: str) -> Column:
-        return F.concat(
-            F.lit(r"(?s)\A(?:"), F.col("p"), F.lit(rf"){path_end}|(?:\A|/)(?:"),
-            F.col("n"), F.lit(f"){name_end}"),
-        )
+    def expression(end: str) -> Column:
+        parts = [F.when(F.col("whole") != "", F.concat(F.lit(r"\A(?:"), "whole", F.lit(f"){end}"))),
+                 F.when(F.col("name") != "", F.concat(F.lit(r"(?:\A|/)(?:"), "name", F.lit(f"){end}")))]
+        return F.when((F.col("whole") != "") | (F.col("name") != ""), F.concat(F.lit("(?s)"), F.concat_ws("|", *parts)))
 
-    return folded.select(
-        "corpus_id",
-        expression(r"\z", r"\z").alias("itself_regex"),
-        expression("/", "/").alias("ancestor_regex"),
-    )
+    return folded.select("corpus_id", F.struct(
+        *_LISTS, expression(r"\z").alias("itself_regex"), expression("/").alias("ancestor_regex")
+    ).alias("own"))
 
 
-def with_corpus_rules(
-    files: DataFrame, own_rules: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Attach each corpus's own expressions (NULL where it has none).
+def with_corpus_rules(files: DataFrame, own_rules: DataFrame) -> DataFrame:
+    """Attach what a corpus's own rules come to as ``own`` (NULL where it has none).
 
-    The expressions are measured first, which reads the rules only.  Within the bound they
-    are broadcast, so that files, which carry their contents here, are not shuffled; beyond
-    it the join is salted.
+    For rows without contents: beyond the size that the planner broadcasts they are shuffled,
+    a corpus over many tasks.
     """
-    folded = rules_by_corpus(own_rules)
-    size = folded.agg(F.sum(
-        F.octet_length("corpus_id") + F.octet_length("itself_regex") + F.octet_length("ancestor_regex")
-    )).first()[0]
-    if (size or 0) <= broadcast_bytes:
-        return files.join(F.broadcast(folded), "corpus_id", "left")
-    return join_by_corpus(files, folded, "left")
+    return join_by_corpus(files, rules_by_corpus(own_rules), "left")
+
+
+def own_rules_hit() -> Column:
+    """Whether the rules in ``own`` hit the path itself."""
+    path = F.col("relative_path")
+    return F.coalesce(
+        F.array_contains("own.names", F.substring_index(path, "/", -1))
+        | F.exists("own.tails", lambda tail: F.endswith(path, tail))
+        | F.array_contains("own.equals", path)
+        | _below_tree()
+        | F.coalesce(F.rlike(path, F.col("own.itself_regex")), F.lit(False)),
+        F.lit(False),
+    )
+
+
+def own_rules_hit_above() -> Column:
+    """Whether the rules in ``own`` hit a directory above the path."""
+    path, rooted, slash = F.col("relative_path"), F.concat(F.lit("/"), F.col("relative_path")), F.lit("/")
+    return F.coalesce(
+        F.exists("own.names", lambda name: F.contains(rooted, F.concat(slash, name, slash)))
+        | F.exists("own.tails", lambda tail: F.contains(path, F.concat(tail, slash)))
+        | F.exists("own.equals", lambda whole: F.startswith(path, F.concat(whole, slash)))
+        | _below_tree()
+        | F.coalesce(F.rlike(path, F.col("own.ancestor_regex")), F.lit(False)),
+        F.lit(False),
+    )
+
+
+def _below_tree() -> Column:
+    rooted = F.concat(F.lit("/"), F.col("relative_path"))
+    return F.exists("own.trees", lambda tree: F.startswith(rooted, tree))
 
 
 def with_scan_class(
@@ -143,9 +161,10 @@ def with_scan_class(
 ) -> DataFrame:
     """Add ``scan_class`` under the shared rules and, if given, rules per corpus.
 
-    The shared rules are constants of the plan, compiled once per task.  Rules per corpus
-    are columns; they are tried last, and only in corpora that have some.  Files that could
-    not be examined, which have no ``size``, count as ignored.
+    The shared rules are constants of the plan, compiled once per task.  Rules per corpus are
+    columns, nearly all of them plain texts; an expression is compiled again only where the
+    corpus changes from one row to the next.  Files that could not be examined, which have no
+    ``size``, count as ignored.
     """
     path = F.col("relative_path")
     below, itself = is_below_ignored(path, rules, own_output), is_ignored(path, rules, own_output)
@@ -155,11 +174,8 @@ def with_scan_class(
         return files.withColumn("scan_class", _classify(below, itself))
     return (
         with_corpus_rules(files, own_rules)
-        .withColumn("scan_class", _classify(
-            below | F.coalesce(hits(path, F.col("ancestor_regex")), F.lit(False)),
-            itself | F.coalesce(hits(path, F.col("itself_regex")), F.lit(False)),
-        ))
-        .drop("ancestor_regex", "itself_regex")
+        .withColumn("scan_class", _classify(below | own_rules_hit_above(), itself | own_rules_hit()))
+        .drop("own")
     )
 
 

@@ -1,7 +1,8 @@
 """Counts and short lists about a run.
 
-Counts combine before the shuffle.  Lists are cut to their few rows per corpus before it,
-too: a ranking filter is applied within each task first.
+Counts alone combine before the shuffle.  Lists with counts evaluate their input once: a
+corpus is dealt over many groups by the hash of the path, each group ranks and counts its
+rows, and only its first few, the first of them with the group's counts, meet the others.
 """
 
 from __future__ import annotations
@@ -17,10 +18,29 @@ def _count(condition: Column) -> Column:
     return F.count_if(condition).cast("long")
 
 
-def _first_by_path(rows: DataFrame, limit: int, *within: str) -> DataFrame:
-    """First rows in path order per corpus, or per corpus and ``within``, with their ``rank``."""
-    order = Window.partitionBy("corpus_id", *within).orderBy("relative_path")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+# Groups of a corpus, which may hold a large part of all files.
+GROUPS = 512
+
+
+def first_with_counts(rows: DataFrame, limit: int, kind: Column, **counts: Column) -> DataFrame:
+    """First rows in path order per corpus and ``kind``, their ``rank``, and counts over the whole corpus.
+
+    Every corpus has its counts on each of its rows; conditions in ``counts`` are counted.
+    """
+    dealt = rows.withColumn("_kind", kind).withColumn("_group", F.pmod(F.xxhash64("relative_path"), F.lit(GROUPS)).cast("int"))
+    group = Window.partitionBy("corpus_id", "_group")
+    place = F.row_number().over(group.orderBy("_kind", "relative_path"))
+    rank = F.row_number().over(Window.partitionBy("corpus_id", "_group", "_kind").orderBy("relative_path"))
+    first = dealt.select(
+        *rows.columns, "_kind", place.alias("_place"), rank.alias("rank"),
+        *[F.count_if(condition).over(group).alias(name) for name, condition in counts.items()],
+    ).where(F.col("rank") <= limit)
+    corpus = Window.partitionBy("corpus_id")
+    rank = F.row_number().over(Window.partitionBy("corpus_id", "_kind").orderBy("relative_path"))
+    return first.select(
+        *rows.columns, rank.alias("rank"),
+        *[F.sum(F.when(F.col("_place") == 1, F.col(name)).otherwise(0)).over(corpus).cast("long").alias(name) for name in counts],
+    ).where(F.col("rank") <= limit)
 
 
 def status_counts(statuses: DataFrame) -> DataFrame:
@@ -79,27 +99,40 @@ def attention_list(
 
     ``more`` counts the files needing an update beyond those shown.
     """
-    rows = statuses.withColumn("is_due", F.col("status").isin(NEW, OUTDATED))
-    counts = rows.groupBy("corpus_id").agg(
-        F.count(F.lit(1)).alias("files"), _count(F.col("is_due")).alias("due")
+    is_due, is_small = F.col("status").isin(NEW, OUTDATED), F.col("files") <= small_corpus
+    # the first due files and the first others hold both kinds of list
+    first = first_with_counts(statuses, max(small_corpus, shown), is_due, files=F.lit(True), due=is_due)
+    more = F.when(is_small, F.lit(0)).otherwise(F.greatest(F.col("due") - shown, F.lit(0))).cast("long")
+    return first.where(is_small | (is_due & (F.col("rank") <= shown))).withColumn("more", more).drop("rank")
+
+
+def attention_with_counts(
+    statuses: DataFrame, counts: dict[str, Column], entry: Column,
+    small_corpus: int = fv.SMALL_CORPUS_FILES, shown: int = fv.ATTENTION_ROWS,
+) -> DataFrame:
+    """One row a corpus: its counts, ``files, due, more``, and ``listed``, the ``entry`` of each file of its attention list.
+
+    Rows without a status, which are ignored files, are counted and never listed.
+    """
+    is_due = F.col("status").isin(NEW, OUTDATED)
+    kind = F.when(is_due, 0).when(F.col("status").isNotNull(), 1).otherwise(2)
+    first = first_with_counts(
+        statuses, max(small_corpus, shown), kind, **counts, files=F.col("status").isNotNull(), due=is_due
     )
-    # The first due files and the first others hold both kinds of list, so one ranking serves.
     is_small = F.col("files") <= small_corpus
-    return (
-        _first_by_path(rows, max(small_corpus, shown), "is_due")
-        .join(counts, "corpus_id")
-        .where(is_small | (F.col("is_due") & (F.col("rank") <= shown)))
-        .withColumn("more", F.when(is_small, F.lit(0)).otherwise(
-            F.greatest(F.col("due") - shown, F.lit(0))
-        ).cast("long"))
-        .drop("is_due", "rank")
+    is_listed = F.when(is_small, F.col("status").isNotNull()).otherwise(is_due & (F.col("rank") <= shown))
+    # every count stands on each row of its corpus
+    names = [*counts, "files", "due"]
+    rows = first.groupBy("corpus_id").agg(
+        *[F.max(name).alias(name) for name in names], F.array_sort(F.collect_list(F.when(is_listed, entry))).alias("listed")
     )
+    more = F.when(is_small, F.lit(0)).otherwise(F.greatest(F.col("due") - shown, F.lit(0))).cast("long")
+    return rows.select("corpus_id", *names, more.alias("more"), "listed")
 
 
 def run_plan(due_files: DataFrame, short: int = fv.SHORT_PLAN_ROWS) -> DataFrame:
     """Files about to be processed: each one where they are few, else one row with their number."""
-    counts = due_files.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("to_process"))
-    listed = _first_by_path(due_files, short).drop("rank").join(
-        counts.where(F.col("to_process") <= short), "corpus_id"
-    )
-    return listed.unionByName(counts.where(F.col("to_process") > short), allowMissingColumns=True)
+    is_short = F.col("to_process") <= short
+    first = first_with_counts(due_files, short, F.lit(0), to_process=F.lit(True)).where(is_short | (F.col("rank") == 1))
+    listed = [F.when(is_short, F.col(name)).alias(name) for name in due_files.columns if name != "corpus_id"]
+    return first.select("corpus_id", *listed, "to_process")

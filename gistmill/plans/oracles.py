@@ -270,6 +270,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         # sources and sinks
         "corpus_scan": everything + f"SELECT corpus_id, relative_path, size, strftime(modified_time, {_STAMP}) AS modified, checksum FROM all_files",
+        "tree_listing": _with(_FILES, _DEFAULTS, _classes("files", "defaults"))
+        + "SELECT corpus_id, relative_path, size, checksum FROM files JOIN classes USING (corpus_id, relative_path) WHERE scan_class <> 'pruned'",
         "ignore_rules": _with(_DEFAULTS, _OWN_RULES, _RULES) + "SELECT corpus_id, pattern FROM rules",
         "digest_lines": _with(_FILES, _STATE, _LINES) + "SELECT corpus_id, relative_path, value FROM lines",
         "digest_import": _with(_FILES, _STATE, _LINES, _IMPORT) + f"""
@@ -285,6 +287,7 @@ WHERE EXISTS (SELECT 1 FROM own_rules r WHERE r.corpus_id = f.corpus_id AND {_hi
         + "SELECT corpus_id, relative_path, scan_class FROM classes",
         "scan_class_by_corpus": _with(_FILES, _DEFAULTS, _OWN_RULES, _RULES, _classes("files", "rules"))
         + "SELECT corpus_id, relative_path, scan_class FROM classes",
+        "own_output": _with(_FILES, _READ, _KEPT) + "SELECT corpus_id, relative_path FROM kept WHERE NOT ends_with(relative_path, '/doc_0.py')",
         "text_only": read + "SELECT corpus_id, relative_path, length(file_text) AS characters FROM readings WHERE NOT is_binary",
         "oversize": everything + f"SELECT corpus_id, relative_path, size FROM all_files WHERE size > {_LIMIT} * {_MB}",
         "needs_update": status + f"SELECT corpus_id, relative_path, status FROM statuses WHERE {due}",
@@ -404,6 +407,29 @@ SELECT corpus_id, relative_path, {_size_label('size')} AS size, strftime(modifie
   n AS files, n_due AS due,
   CASE WHEN n <= {fv.SMALL_CORPUS_FILES} THEN 0 ELSE greatest(n_due - {fv.ATTENTION_ROWS}, 0) END AS more
 FROM numbered WHERE n <= {fv.SMALL_CORPUS_FILES} OR (is_due AND place <= {fv.ATTENTION_ROWS})""",
+        "status_together": _with(_FILES, _READ, _STATE, _DEFAULTS, _OWN_RULES, _RULES, _classes("files", "rules"),
+                                 "kept AS (SELECT r.*, scan_class FROM readings r JOIN classes USING (corpus_id, relative_path) WHERE scan_class <> 'pruned')",
+                                 _STATUS) + f"""
+, marked AS (SELECT *, scan_class = 'kept' AS k, scan_class = 'kept' AND {due} AS is_due FROM statuses),
+numbered AS (
+  SELECT *, count(*) FILTER (WHERE k) OVER c AS n, count(*) FILTER (WHERE is_due) OVER c AS n_due,
+    count(*) FILTER (WHERE is_due) OVER (PARTITION BY corpus_id ORDER BY relative_path) AS place
+  FROM marked WINDOW c AS (PARTITION BY corpus_id))
+SELECT corpus_id, count(*) FILTER (WHERE k AND status = 'up-to-date') AS up_to_date,
+  count(*) FILTER (WHERE k AND status = 'outdated') AS outdated, count(*) FILTER (WHERE k AND status = 'new') AS "new",
+  count(*) FILTER (WHERE NOT k) AS ignored, any_value(n) AS files, any_value(n_due) AS due,
+  CASE WHEN any_value(n) <= {fv.SMALL_CORPUS_FILES} THEN 0 ELSE greatest(any_value(n_due) - {fv.ATTENTION_ROWS}, 0) END AS more,
+  coalesce(string_agg(relative_path || '|' || {_size_label('size')} || '|' || strftime(modified_time, '%m-%d %H:%M') || '|' || status, chr(10)
+    ORDER BY relative_path) FILTER (WHERE k AND (n <= {fv.SMALL_CORPUS_FILES} OR (is_due AND place <= {fv.ATTENTION_ROWS}))), '') AS listed,
+  any_value(p) AS patterns
+FROM numbered JOIN (SELECT corpus_id, count(DISTINCT pattern) AS p FROM rules GROUP BY corpus_id) USING (corpus_id)
+GROUP BY corpus_id""",
+        "stored_update": _with(_FILES, _READ, _STATE, _KEPT, _STATUS, _merge(due)) + f"SELECT {_DATED} FROM digest",
+        "stored_run_log": status + f"""
+SELECT corpus_id, relative_path, status, CASE WHEN {due} THEN {_ROUTE} END AS route,
+  CASE WHEN {due} THEN CASE WHEN is_binary THEN 'error' ELSE 'completed' END END AS outcome FROM statuses
+UNION ALL
+SELECT corpus_id, relative_path, NULL, NULL, NULL FROM state WHERE corpus_id NOT IN (SELECT corpus_id FROM kept)""",
         "update_digest": _with(_FILES, _READ, _STATE, _KEPT, _STATUS, _merge(due)) + f"SELECT {_DATED} FROM digest",
         "rebuild_digest": _with(_FILES, _READ, _STATE, _KEPT, _STATUS, _merge("true")) + f"SELECT {_DATED} FROM digest",
         "process_files_update": _with(_FILES, _READ, _STATE, _KEPT, _STATUS,

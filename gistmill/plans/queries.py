@@ -16,8 +16,10 @@ from gistmill.operators.once import add_once
 from gistmill.options import DigestMode, DigestOptions
 from gistmill.plans import jobs, testbed
 from gistmill.schemas import KEY
+from gistmill.session import staging_path
+from gistmill.sources import tree
 from gistmill.sources.digest_text import import_digest
-from gistmill.sources.tables import files_from_table
+from gistmill.sources.tables import StateStore, files_from_table
 
 MOCK = DigestOptions(mode=DigestMode.MOCK, max_file_size_mb=0.01)
 COPY = DigestOptions(mode=DigestMode.COPY, max_file_size_mb=0.01)
@@ -82,6 +84,13 @@ def corpus_scan(spark, folder):
     )
 
 
+@query
+def tree_listing(spark, folder):
+    """Documents written as file trees by tasks, walked and read again."""
+    roots = testbed.write_trees(spark, folder)
+    return tree.read_contents(tree.list_corpora(spark, roots)).select(*KEY, "size", "checksum")
+
+
 @query
 def ignore_rules(spark, folder):
     return _rules(spark, folder)
@@ -112,7 +121,7 @@ def ignore_match(spark, folder):
 @query
 def ignore_match_by_corpus(spark, folder):
     ruled = ignore.with_corpus_rules(testbed.files(spark, folder).select(*KEY), _own_rules(spark, folder))
-    return ruled.where(ignore.hits("relative_path", "itself_regex")).select(*KEY)
+    return ruled.where(ignore.own_rules_hit()).select(*KEY)
 
 
 @query
@@ -126,6 +135,12 @@ def scan_class_by_corpus(spark, folder):
     return ignore.with_scan_class(files, _own_rules(spark, folder))
 
 
+@query
+def own_output(spark, folder):
+    """Current files where the digest has the name of one of them."""
+    return jobs.current_files(testbed.files(spark, folder).select(*KEY), output_file="out/doc_0.py").select(*KEY)
+
+
 @query
 def text_only(spark, folder):
     return _texts(spark, folder).where(~tx.is_binary(F.col("text"))).select(
@@ -394,6 +409,34 @@ def status_attention(spark, folder):
     ).attention
 
 
+@query
+def status_together(spark, folder):
+    """Counts and attention list of each corpus in one row."""
+    both = jobs.status_job(
+        testbed.files(spark, folder), testbed.state(spark, folder), _rules(spark, folder), _own_rules(spark, folder)
+    ).together
+    lines = F.transform("listed", lambda e: F.concat_ws("|", e.relative_path, e.size, e.modified, e.status))
+    return both.withColumn("listed", F.array_join(lines, "\n"))
+
+
+def _after_stored_update(spark: SparkSession, folder: str) -> StateStore:
+    store = StateStore(spark, staging_path(spark, "stored-update"))
+    store.write(testbed.state(spark, folder))
+    jobs.run_job(testbed.files(spark, folder), store, MOCK, testbed.RUN_TIME)
+    return store
+
+
+@query
+def stored_update(spark, folder):
+    """An update of a stored digest, of which only the changes are written, read back."""
+    return _dated(_after_stored_update(spark, folder).read())
+
+
+@query
+def stored_run_log(spark, folder):
+    return _after_stored_update(spark, folder).run_log().select(*KEY, "status", "route", "outcome")
+
+
 @query
 def update_digest(spark, folder):
     return _dated(jobs.digest_of(jobs.plan_run(

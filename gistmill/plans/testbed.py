@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import datetime
 import json
+import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistmill import fixed_values as fv
 from gistmill.schemas import KEY
+from gistmill.session import staging_path
 
 RUN_TIME = datetime.datetime(2024, 9, 1, 12, 0, 0)
 
@@ -72,6 +76,26 @@ def files(spark: SparkSession, folder: str, by_source: bool = False) -> DataFram
     )
 
 
+def write_trees(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Write the files below the shared staging folder, which has to be a mount, and return the corpora's roots."""
+    root = staging_path(spark, "trees").removeprefix("file:")
+    root = "/" + root.lstrip("/")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        corpora = set()
+        for batch in batches:
+            for corpus, path, content in zip(batch["corpus_id"], batch["relative_path"], batch["content"]):
+                there = os.path.join(root, corpus, path)
+                os.makedirs(os.path.dirname(there), exist_ok=True)
+                with open(there, "wb") as file:
+                    file.write(content)
+            corpora.update(batch["corpus_id"])
+        yield pd.DataFrame({"corpus_id": sorted(corpora)}, dtype="object")
+
+    written = files(spark, folder).select(*KEY, "content").mapInPandas(write, "corpus_id string").distinct()
+    return {row.corpus_id: os.path.join(root, row.corpus_id) for row in written.collect()}
+
+
 def page_files(spark: SparkSession, folder: str) -> DataFrame:
     """Web pages as the files of one more corpus."""
     return read_table(spark, folder, "pages").selectExpr(

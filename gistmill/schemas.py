@@ -28,6 +28,16 @@ STATE = T.StructType(
     [T.StructField(name, T.StringType(), False) for name in KEY] + ENTRY.fields
 )
 
+# A file that a run worked on, with its entry if there is one.
+LOG = T.StructType(
+    STATE.fields[:2] + [T.StructField(name, T.StringType()) for name in ("status", "route", "outcome")] + ENTRY.fields
+)
+
+# An entry that no longer holds, and the version that has it.
+DROPPED = T.StructType(STATE.fields[:2] + [T.StructField("origin", T.LongType())])
+
+CORPORA = T.StructType([T.StructField("corpus_id", T.StringType(), False)])
+
 # What a chat endpoint answers, reduced to the part that is read.
 CHAT_RESPONSE = T.StructType([
     T.StructField("choices", T.ArrayType(T.StructType([

@@ -76,7 +76,7 @@ def test_nothing_is_evaluated_while_the_plan_is_built(spark):
     tracker, jobs = spark.sparkContext.statusTracker(), []
     spark.sparkContext.setJobGroup("digest-parts", "plan only")
     try:
-        for name in ("digest_document", "digest_import"):
+        for name in ("digest_document", "digest_import", "scan_class_by_corpus", "attention_list", "run_plan", "status_report"):
             catalogue.QUERIES[name](spark, FOLDER)
         jobs = tracker.getJobIdsForGroup("digest-parts")
     finally:

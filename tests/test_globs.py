@@ -112,12 +112,42 @@ def test_rules_per_corpus(spark):
     paths = random_paths(rng, ("gen/*", "q1", "ab.py", "note.md"), 300)
     files = spark.createDataFrame([(c, p) for c in own for p in set(paths)], "corpus_id string, relative_path string")
     usable = ignore.usable_rules(lines)
-    for bound in (ignore.BROADCAST_BYTES, 0):
-        rows = ignore.with_corpus_rules(files, usable, bound).collect()
-        assert len(rows) == files.count()
+    assert ignore.with_corpus_rules(files, usable).count() == files.count()
     for row in ignore.with_scan_class(files, usable).collect():
         rules = list(fv.DEFAULT_IGNORE_RULES) + own[row.corpus_id]
         assert row.scan_class == walk_class(row.relative_path, rules)
     table = ignore.rule_table(lines, files.select("corpus_id").distinct())
     counts = {r.corpus_id: r["count"] for r in table.groupBy("corpus_id").count().collect()}
     assert counts == {"a": 110, "b": 108, "c": 107}
+
+
+ODD_RULES = [
+    "*", "**", "?", "a?", "[ab]*.py", "[!a]b", "[!]", "[]", "[]]x", "[!]]x", "[z-a]", "[!z-a]x", "[a-c-e]", "[/]x", "a[/]b", "[!/]b", "src/[a-c]/*",
+    "s*c/*", "src/*", "*/gen/*", "/*", "*/", "gen/", "a/b", "*a/b", "*/b", "*.py", "**.md", "*.t?t", "x[", "x[!", "[", "a.b", "a+b", "(a|b)", "^a$",
+    "a\\b", "é*", "[é-ü]x", "*é", "日?", "[日]", "-", "[a-]", "[-a]", "[\\\\]", "[^a]b", "q{2}", "#x", "a b", "*.p[yx]", "src*", "?rc/a", "*[0-9]",
+]
+
+
+def test_rules_in_a_column(spark):
+    """Shapes and regexes made by column functions, against the walk, for each rule alone and for all together."""
+    rng = random.Random(5)
+    letters = ["a", "b", "x", "src", "gen", "é", "ü", "日", "]", "[", "!", "-", ".py", ".md", ".txt", "c", "\\", "^", "a b", "1", "(a|b)", "q{2}", "a+b"]
+    names = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 3))) for _ in range(120)] + ["a", "b", "ab", "src", "gen", "]x", "ax", "x[", "日本"]
+    paths = sorted({"/".join(rng.choice(names) for _ in range(rng.randint(1, 3))) for _ in range(350)} | {"src/a/f", "x/gen/f", "a/b", "a/b/c", "src/gen"})
+    own = {f"c{i}": [rule] for i, rule in enumerate(ODD_RULES)} | {"all but stars": [r for r in ODD_RULES if set(r) - set("*?")][10:30]}
+    for i in range(80):
+        own[f"random {i}"] = ["".join(rng.choice("ab/*?[]!-.^c&|~\\") for _ in range(rng.randint(1, 7)))]
+    rules = spark.createDataFrame([(c, r) for c, rs in own.items() for r in rs], "corpus_id string, pattern string")
+    files = spark.createDataFrame([(c, p) for c in own for p in paths], "corpus_id string, relative_path string")
+    wrong = []
+    for row in ignore.with_scan_class(files, rules, rules=(), own_output="no such name").collect():
+        if row.scan_class != walk_class(row.relative_path, own[row.corpus_id]):
+            wrong.append((own[row.corpus_id], row.relative_path, row.scan_class))
+    assert wrong == []
+
+
+def test_rules_per_corpus_need_no_python(spark):
+    from gistmill.plans import queries as catalogue
+
+    plan = catalogue.QUERIES["scan_class_by_corpus"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "MapIn" not in plan and "pythonUDF" not in plan

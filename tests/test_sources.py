@@ -126,7 +126,7 @@ def test_state_versions(spark, tmp_path):
     assert [r.content for r in store.read().collect()] == ["ONE"]
     assert [r.content for r in store.read(1).collect()] == ["one"]
     # a run that was lost halfway is not seen, and its number is not used again
-    (tmp_path / "state" / "version-000000003").mkdir()
+    (tmp_path / "state" / "rows" / "version=3").mkdir()
     assert store.versions() == [1, 2]
     assert store.write(first) == 4
 
@@ -163,10 +163,10 @@ def test_documents_of_small_and_large_corpora(spark):
     stored = spark.createDataFrame([entry("big", f"f{i:03d}", "x" * 100) for i in range(50)] + [entry("small", "a", "y")], STATE)
     totals = stored.groupBy("corpus_id").agg(F.count("*").alias("total"))
     lines = dg.digest_lines(stored, totals, NOW)
-    whole = {r.corpus_id: r.document for r in dg.digest_documents(lines, []).collect()}
-    for boundaries in (["f010", "f03"], dg.path_boundaries(lines, 5), [f"f{i:03d}" for i in range(50)]):
-        pieces = dg.digest_documents(lines, boundaries).orderBy("corpus_id", "part").collect()
-        assert 2 < len([p for p in pieces if p.corpus_id == "big"]) <= len(boundaries) + 1
+    whole = {r.corpus_id: r.document for r in dg.digest_documents(lines).collect()}
+    for part_bytes in (1, 500, 2000):
+        pieces = dg.digest_documents(lines, part_bytes).orderBy("corpus_id", "part").collect()
+        assert 2 < len([p for p in pieces if p.corpus_id == "big"]) <= 51
         for corpus in ("big", "small"):
             assert "".join(p.document for p in pieces if p.corpus_id == corpus) == whole[corpus]
 
@@ -176,13 +176,13 @@ def test_import_of_pieces_is_that_of_the_whole(spark):
     stored = spark.createDataFrame([entry("c", f"f{i:02d}", contents[i * 7 % 5]) for i in range(30)], STATE)
     lines = dg.digest_lines(stored, stored.groupBy("corpus_id").agg(F.count("*").alias("total")), NOW)
 
-    def imported(boundaries):
-        return sorted(map(repr, digest_text.import_digest(dg.digest_documents(lines, boundaries)).collect()))
+    def imported(part_bytes):
+        return sorted(map(repr, digest_text.import_digest(dg.digest_documents(lines, part_bytes)).collect()))
 
-    whole = imported([])
+    whole = imported(dg.PART_BYTES)
     assert any("##" in row for row in whole)
-    for boundaries in (["f05", "f06", "f07", "f20"], [f"f{i:02d}" for i in range(30)], dg.path_boundaries(lines, 4)):
-        assert imported(boundaries) == whole
+    for part_bytes in (1, 300, 1000):
+        assert imported(part_bytes) == whole
 
 
 def test_absent_digests_give_no_rows(spark, tmp_path):
