@@ -78,7 +78,7 @@ def _with_shapes(rules: DataFrame) -> DataFrame:
     is_glob = ~is_plain & ~is_tail
     by_name = is_glob & ~is_tree & ~has_literal_slash(pattern)
     return rules.select(
-        "pattern",
+        "corpus_id",
         F.when(is_name, pattern).alias("names"),
         F.when(is_tail, tail).alias("tails"),
         F.when(is_plain & ~is_name, body).alias("equals"),
@@ -93,13 +93,10 @@ def rules_by_corpus(rules: DataFrame) -> DataFrame:
 
     A corpus has as many rules as its rule file has lines; files never enter this group.
     """
-    # many corpora share a rule, which is translated once
-    shaped = rules.distinct().join(_with_shapes(rules.select("pattern").distinct()), "pattern")
-
     def joined(field: str) -> Column:
         return F.array_join(F.array_sort(F.collect_set(field)), "|").alias(field)
 
-    folded = shaped.groupBy("corpus_id").agg(
+    folded = _with_shapes(rules).groupBy("corpus_id").agg(
         *[F.array_sort(F.collect_set(name)).alias(name) for name in _LISTS], joined("whole"), joined("name")
     )
 

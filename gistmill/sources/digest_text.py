@@ -18,16 +18,26 @@ _BEFORE_DATE, _BEFORE_CHECKSUM = "\n\nSummarized on ", " (checksum: "
 _FIELDS = rf"(?s)\A## (.+?){_MARK}(.*)\z"
 # everything up to the end of the last entry
 _LAST = rf"(?s)\A.*## .+?{_MARK}.*?(?=\n## |\z)"
+# digest texts are read in pieces between these
+_HEADING = "\n## "
 
 
 def read_digest_texts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Digest files ``{corpus_id: path}`` as ``corpus_id, document``; each is one row.
+    """Digest files ``{corpus_id: path}`` as ``corpus_id, part, document``, a part for each byte range that Spark reads.
 
-    A corpus whose file is not there, as before its first run, has no row.
+    Parts, but for the first, begin with the newline before a heading; joined in order they are
+    the text, of whatever length, in which only a carriage return at the very end is left out.
+    They are as long as ``spark.sql.files.maxPartitionBytes`` says, or as a single section.  A
+    corpus whose file is not there, as before its first run, has no row.
     """
     there = {corpus: path for corpus, path in paths.items() if path_exists(spark, path)}
-    texts = read_owned_texts(spark, there, whole=True)
-    return texts.select("corpus_id", normalise_newlines(F.col("value")).alias("document"))
+    parts = read_owned_texts(spark, there, _HEADING).groupBy("corpus_id", F.col("start").alias("part")).agg(
+        F.expr("listagg(value, '\\n## ') within group (order by at)").alias("value")
+    )
+    # the separator may have taken the second half of a newline
+    value = F.regexp_replace("value", r"\r\z", "")
+    begun = F.when(F.col("part") > 0, F.concat(F.lit(_HEADING), value)).otherwise(value)
+    return parts.select("corpus_id", "part", normalise_newlines(begun).alias("document"))
 
 
 def import_digest(documents: DataFrame) -> DataFrame:
