@@ -21,7 +21,7 @@ from gistmill.functions import text as tx
 from gistmill.operators import ignore, report, route, status
 from gistmill.operators.digest import rendered, stamp
 from gistmill.operators.skew import join_by_corpus
-from gistmill.operators.summarise import ChatClient, call_model, ready_content
+from gistmill.operators.summarise import AnswerLog, ChatClient, call_model, ready_content
 from gistmill.options import DigestMode, DigestOptions
 from gistmill.schemas import ENTRY, KEY, LISTING, STATE
 from gistmill.session import Staging
@@ -219,7 +219,8 @@ def run_job(
     contents; every ``compact_after`` versions they are put together.  A rebuild starts a new
     base.  Deletions are applied even when nothing else changed.  With a model the run writes
     what is due, the routes, the answers, and the new version; whatever is lost is computed
-    again from the last of them.  ``client`` makes the calls and is needed only then.
+    again from the last of them.  Answers are logged as they come, so the run after a lost one
+    asks for the others only.  ``client`` makes the calls and is needed only then.
     ``names`` may give the keys and sizes of the files where ``files`` itself cannot leave out
     the contents, as when they are read from a file tree.  ``fetch`` reads the contents of
     listed files, so that only the files to be summarised are opened again; without it
@@ -239,7 +240,7 @@ def run_job(
         due = due_only(contents, changes, everything)
         if options.mode is DigestMode.AI:
             made = _asked(due if own_rules is None else due.join(changes.where("due").select(*KEY), KEY, "left_semi"),
-                          contents, options, client, fetch, tasks, staging)
+                          contents, options, client, fetch, tasks, staging, AnswerLog(store.answers()))
         else:
             made = routed(due, options, "checksum")
         entry = F.when(F.col("is_ready"), _fresh(run_time, F.col("ready")))
@@ -251,14 +252,14 @@ def run_job(
 
 def _asked(
     due: DataFrame, files: DataFrame, options: DigestOptions, client: ChatClient, fetch: Callable[[DataFrame], DataFrame] | None,
-    tasks: int | None, staging: Staging,
+    tasks: int | None, staging: Staging, log: AnswerLog,
 ) -> DataFrame:
     """What ``routed`` gives, with the model's answers where there was nothing ready."""
     listing = [name for name in LISTING.fieldNames() if name not in KEY]
     made = staging.keep(routed(due, options, "checksum", *listing), "routed")
     asked = made.where(F.col("route") == route.SUMMARISE)
     contents = files.join(asked.select(*KEY), KEY, "left_semi") if fetch is None else fetch(asked.select(*LISTING.fieldNames()))
-    answers = staging.keep(call_model(route.with_text(contents), options, client, tasks), "answers")
+    answers = staging.keep(call_model(route.with_text(contents), options, client, tasks, log), "answers")
     return made.drop(*listing).join(answers.select(*KEY, "summary"), KEY, "left").select(
         *KEY, "route", "checksum", F.coalesce("ready", "summary").alias("ready"),
         (F.col("is_ready") | F.col("summary").isNotNull()).alias("is_ready"),

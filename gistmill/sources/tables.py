@@ -99,6 +99,10 @@ class StateStore:
         columns = LOG.fieldNames()
         return done.select(*columns).unionByName(kept.select(*columns)).unionByName(others, allowMissingColumns=True).select(*columns)
 
+    def answers(self) -> str:
+        """Where the answers of runs are logged that follow the latest version; removed with the next."""
+        return f"{self.root}/answers/after-{max(self.versions(), default=0)}"
+
     def begin(self) -> int:
         """Number of a new version, above those of runs that were lost."""
         return max(self.versions() + self._numbers("rows", "version="), default=0) + 1
@@ -121,6 +125,7 @@ class StateStore:
         if not self._fs.rename(part, there):
             raise OSError(f"version {version} could not be made visible")
         self._fs.delete(self._path(beside), True)
+        self._fs.delete(self._path(f"{self.root}/answers"), True)
         return version
 
     def write(self, digest: DataFrame) -> int:

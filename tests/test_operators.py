@@ -69,12 +69,29 @@ def test_lists_and_counts(spark):
     assert len(short) == 10 and {r.to_process for r in short} == {10}
 
 
-def test_lists_are_cut_before_the_shuffle(spark):
+def test_lists_and_counts_evaluate_their_input_once(spark):
     frame = spark.range(1000).selectExpr(
         "concat('c', id % 3) AS corpus_id", "cast(id AS string) AS relative_path", "if(id % 2 = 0, 'new', 'up-to-date') AS status"
     )
-    plan = report.attention_list(frame)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("row_number(), 20, Partial") == 1, plan
+    for made in (report.attention_list(frame), report.run_plan(frame)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Range (") == 1, plan
+        # a corpus meets in one place only after its groups have been cut to their first rows
+        assert plan.index("hashpartitioning(corpus_id") < plan.rindex("Filter (rank") < plan.index("_group#", plan.rindex("Exchange"))
+
+
+@pytest.mark.parametrize("groups", [1, 7])
+def test_first_rows_and_counts(spark, monkeypatch, groups):
+    monkeypatch.setattr(report, "GROUPS", groups)
+    rows = [("large", f"p{i * 37 % 101:03d}", ["new", "up-to-date", "outdated"][i % 3]) for i in range(101)]
+    rows += [("small", f"q{i}", "up-to-date") for i in range(4)]
+    frame = spark.createDataFrame(rows, "corpus_id string, relative_path string, status string").repartition(3)
+    got = sorted(tuple(r) for r in report.attention_list(frame, small_corpus=10, shown=6).collect())
+    due = sorted((c, p, s) for c, p, s in rows if c == "large" and s != "up-to-date")
+    expected = [(*r, 101, len(due), len(due) - 6) for r in due[:6]] + [(*r, 4, 0, 0) for r in sorted(rows) if r[0] == "small"]
+    assert got == expected
+    plan = sorted(map(tuple, report.run_plan(frame, short=4).collect()), key=str)
+    assert plan == sorted([("large", None, None, 101)] + [(*r, 4) for r in rows if r[0] == "small"], key=str)
 
 
 def reply(text):
