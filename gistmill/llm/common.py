@@ -26,6 +26,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def whole_row(rows: DataFrame) -> Column:
+    """All columns as one."""
+    return F.struct(*[F.col("`" + name.replace("`", "``") + "`") for name in rows.columns])
+
+
 def chunked(rows: Iterable, size: int) -> Iterator[list]:
     held = []
     for row in rows:

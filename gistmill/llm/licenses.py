@@ -1,7 +1,8 @@
 """License scans: an exact containment join of text blocks with notice templates.
 
-A text is cut into overlapping blocks of ``BLOCK`` words that step by half, so any passage of
-half a block lies in one whole.  A block holds a template if it has at least ``THRESHOLD`` of
+A text is cut into overlapping blocks that step by half, so any passage of half a block lies in
+one whole.  Blocks are ``BLOCK`` words long for templates of up to half of that, twice as long for
+templates of up to twice as many words, and so on.  A block holds a template if it has at least ``THRESHOLD`` of
 the template's different words.  Words are ordered by how often they occur in all documents,
 rarest first (counted in a first pass; only words of templates matter, so the order is
 small).  Then
@@ -36,7 +37,32 @@ BLOCK, THRESHOLD = 64, 0.9
 # Phrases of the base scan and their labels.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
-# Usual notices; at most half a block long.
+# Usual notices.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies
+or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR
+DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+following disclaimer in the documentation and/or other materials provided with the distribution."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or
+agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF
+ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the
+License."""
+_GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+
 TEMPLATES = [
     ("Released under the MIT License", "mit"),
     ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
@@ -50,6 +76,11 @@ TEMPLATES = [
     ("Licensed under CC BY 4.0", "cc-by"),
     ("Licensed under CC BY-NC 4.0", "cc-by-nc"),
     ("Licensed under CC BY-SA 4.0", "cc-by-sa"),
+    (_MIT, "mit"),
+    (_ISC, "isc"),
+    (_BSD, "bsd"),
+    (_APACHE, "apache"),
+    (_GPL, "gpl"),
 ]
 
 # Lower-case A-Z; what is neither a letter, a digit nor beyond ASCII separates words.
@@ -65,7 +96,7 @@ def template_words(templates=TEMPLATES) -> set[bytes]:
 
 
 class Index:
-    """Templates ready for the join: words in the global order, prefixes, what each needs."""
+    """Templates ready for the join: words in the global order, prefixes for each length of block, what each template needs."""
 
     def __init__(self, counts: dict[bytes, int], templates=TEMPLATES, threshold: float = THRESHOLD):
         ranked = sorted(template_words(templates), key=lambda word: (counts.get(word, 0), word))
@@ -75,15 +106,16 @@ class Index:
             ordered = sorted(set(words(text)), key=self.rank.__getitem__)
             needed = math.ceil(threshold * len(ordered) - 1e-9)
             self.templates.append((label, ordered, set(ordered), needed))
+            prefixes = self.prefixes.setdefault(block_size(len(words(text))), {})
             for place, word in enumerate(ordered[: len(ordered) - needed + 1]):
-                self.prefixes.setdefault(word, []).append((number, place))
+                prefixes.setdefault(word, []).append((number, place))
 
-    def of_block(self, block: list[bytes]) -> list[tuple[int, float]]:
-        """Templates that the block holds, and how much of each."""
+    def of_block(self, block: list[bytes], size: int = BLOCK) -> list[tuple[int, float]]:
+        """Templates for blocks of ``size`` words that the block holds, and how much of each."""
         own = sorted({word for word in block if word in self.rank}, key=self.rank.__getitem__)
         first, found = {}, []
         for at, word in enumerate(own):
-            for number, place in self.prefixes.get(word, ()):
+            for number, place in self.prefixes[size].get(word, ()):
                 first.setdefault(number, (at, place))
         for number, (at, place) in sorted(first.items()):
             _, ordered, whole, needed = self.templates[number]
@@ -94,20 +126,29 @@ class Index:
                 found.append((number, shared / len(ordered)))
         return found
 
-    def blocks(self, found: list[bytes], size: int = BLOCK) -> list[tuple[int, int, int, float]]:
+    def blocks(self, found: list[bytes]) -> list[tuple[int, int, int, float]]:
         """``template, first word, words, containment`` of every block that holds a template."""
-        step = size // 2
-        if self.prefixes.keys().isdisjoint(found):
-            return []
-        last = max(0, -(-(len(found) - size) // step))
-        hit = {min(max(k, 0), last) for i, word in enumerate(found) if word in self.prefixes for k in (i // step - 1, i // step)}
         out = []
-        for k in sorted(hit):
-            block = found[k * step: k * step + size]
-            out += [(number, k * step, len(block), much) for number, much in self.of_block(block)]
+        for size, prefixes in sorted(self.prefixes.items()):
+            if prefixes.keys().isdisjoint(found):
+                continue
+            step = size // 2
+            last = max(0, -(-(len(found) - size) // step))
+            hit = {min(max(k, 0), last) for i, word in enumerate(found) if word in prefixes for k in (i // step - 1, i // step)}
+            for k in sorted(hit):
+                block = found[k * step: k * step + size]
+                out += [(number, k * step, len(block), much) for number, much in self.of_block(block, size)]
         return out
 
 
+def block_size(n_words: int) -> int:
+    """Length of the blocks for a template of so many words: at least twice that."""
+    size = BLOCK
+    while size < 2 * n_words:
+        size *= 2
+    return size
+
+
 def base_places(found: list[bytes], phrases=PHRASES) -> list[tuple[str, int]]:
     """``label, first word`` of every place where a phrase's words stand."""
     line, out = None, []

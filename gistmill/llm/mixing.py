@@ -14,7 +14,8 @@ the rest can reach, (total - their caps) / (weight of the rest), is below every
 One source may hold most rows: running sums are taken inside ranges of the sorted rows, and
 only one row for each range and source is summed across ranges.
 
-Defined results: null or empty text has size 0 and its ``taken`` is 0; a null source is a
+Defined results: null or empty text has size 0 and its ``taken`` is 0, and it is in the mix no
+more than ``most`` times; a null source is a
 source of its own, after all others; null, non-positive or absent document weights count as 1; rows
 that repeat an id draw the same key and are taken one after the other; an empty table gives
 no rows; other columns are kept by ``mixed_documents`` and ignored by ``mixture``.
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import WORD, with_running_total
+from gistmill.llm.common import WORD, whole_row, with_running_total
 from gistmill.session import staged
 
 SOURCE_WEIGHTS, MOST, SEED = (5, 2, 1), 3, "mix"
@@ -69,7 +70,7 @@ def _mixed(documents: DataFrame, carried: dict[str, Column], options: dict) -> D
         rows = rows.join(given, F.col("_id") == F.col("_named"), "left").drop("_named")
         weight = F.coalesce(F.when(F.col("_weight") > 0, F.col("_weight")), F.lit(1.0))
     rows = rows.withColumn("_key", -F.log(unit_draw(F.col("_id"), options["seed"])) / weight).drop("_weight")
-    order = [F.col("_key"), F.col("_id"), F.col("size")]
+    order = [F.col("_key"), F.col("_id"), F.col("size"), *[F.col(name) for name in carried]]
     files = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = staged(
         rows.repartitionByRange(files, F.col("_source"), *order).withColumn("_part", F.spark_partition_id()), "mix-ranges"
@@ -79,7 +80,8 @@ def _mixed(documents: DataFrame, carried: dict[str, Column], options: dict) -> D
     joined = summed.join(targets.withColumnRenamed("_source", "_named"), F.col("_source").eqNullSafe(F.col("_named")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     budget = F.col("target") - F.col("_epochs") * F.col("source_size")
-    more = (F.col("_before") + F.col("size") / 2 <= budget).cast("bigint")
+    # nothing is left of a target of whole epochs, also for what has no size
+    more = ((budget > 0) & (F.col("_before") + F.col("size") / 2 <= budget)).cast("bigint")
     return joined.withColumn("_epochs", epochs).withColumn("_times", F.col("_epochs") + more)
 
 
@@ -103,16 +105,16 @@ def mixed_documents(
     Rows are told apart by a hash of their columns; rows that are equal in all of them share
     what is taken of them.  Texts cross one shuffle, whatever their number.
     """
-    columns = documents.columns
     options = dict(id_column=id_column, text_column=text_column, source_column=source_column, quality=quality, weights=weights, most=most, seed=seed)
-    row = F.xxhash64(*columns)
+    row = F.xxhash64(whole_row(documents))
     times = staged(
         _mixed(documents, {"_row": row}, options).groupBy("_row").agg(F.sum("_times").alias("_times"), F.count(F.lit(1)).alias("_alike"))
         .where("_times > 0"), "mix-times"
     ).hint("merge")
-    joined = documents.select(*columns, row.alias("_row")).join(times, "_row")
+    # a document travels as one column, so that no name of its own meets a helper's
+    joined = documents.select(whole_row(documents).alias("_document"), row.alias("_row")).join(times, "_row")
     once = joined.where("_alike = 1").unionByName(joined.where("_alike > 1").dropDuplicates(["_row"]))
-    return once.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")).drop("_copy")
+    return once.select("_document", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("_document.*")
 
 
 def mixture_sql(documents: str, weight: str, seed: str = SEED, most: int = MOST) -> str:

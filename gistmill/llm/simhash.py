@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import small_batches
+from gistmill.llm.common import small_batches, whole_row
 from gistmill.llm.components import components, spanning
 from gistmill.session import staged
 
@@ -204,16 +204,14 @@ def single_rows(documents: DataFrame, prints: DataFrame, chosen: DataFrame, id_c
     Texts cross one shuffle, whatever their number; only rows that repeat both are
     gathered to leave one.
     """
-    columns = documents.columns
     repeated = prints.groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_rows"))
     wanted = staged(
         chosen.select(F.struct("_id", "_hash").alias("_key")).join(
             repeated.select(F.struct("_id", "_hash").alias("_key"), "_rows"), "_key"
         ).select(F.col("_key._id").alias("_id"), F.col("_key._hash").alias("_hash"), "_rows"), "simhash-wanted"
     ).hint("merge")
-    hashed = documents.withColumn("_own", F.xxhash64(text_column))
-    joined = hashed.join(wanted, hashed[id_column].eqNullSafe(wanted["_id"]) & (hashed["_own"] == wanted["_hash"])).select(
-        *[hashed[name] for name in columns], "_own", "_rows"
-    )
-    once = joined.where("_rows = 1").select(*columns)
-    return once.unionByName(joined.where("_rows > 1").dropDuplicates([id_column, "_own"]).select(*columns))
+    # a document travels as one column, so that no name of its own meets a helper's
+    hashed = documents.select(whole_row(documents).alias("_row"), F.col(id_column).alias("_named"), F.xxhash64(text_column).alias("_own"))
+    joined = hashed.join(wanted, F.col("_named").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
+    once = joined.where("_rows = 1").select("_row")
+    return once.unionByName(joined.where("_rows > 1").dropDuplicates(["_named", "_own"]).select("_row")).select("_row.*")
