@@ -272,6 +272,8 @@ def oracle_sql() -> dict[str, str]:
         "corpus_scan": everything + f"SELECT corpus_id, relative_path, size, strftime(modified_time, {_STAMP}) AS modified, checksum FROM all_files",
         "tree_listing": _with(_FILES, _DEFAULTS, _classes("files", "defaults"))
         + "SELECT corpus_id, relative_path, size, checksum FROM files JOIN classes USING (corpus_id, relative_path) WHERE scan_class <> 'pruned'",
+        "store_listing": _with(_FILES, _DEFAULTS, _classes("files", "defaults"))
+        + "SELECT corpus_id, relative_path, size, checksum FROM files JOIN classes USING (corpus_id, relative_path) WHERE scan_class <> 'pruned'",
         "ignore_rules": _with(_DEFAULTS, _OWN_RULES, _RULES) + "SELECT corpus_id, pattern FROM rules",
         "digest_lines": _with(_FILES, _STATE, _LINES) + "SELECT corpus_id, relative_path, value FROM lines",
         "digest_import": _with(_FILES, _STATE, _LINES, _IMPORT) + f"""

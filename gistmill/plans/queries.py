@@ -17,7 +17,7 @@ from gistmill.options import DigestMode, DigestOptions
 from gistmill.plans import jobs, testbed
 from gistmill.schemas import KEY
 from gistmill.session import staging_path
-from gistmill.sources import tree
+from gistmill.sources import stores, tree
 from gistmill.sources.digest_text import import_digest
 from gistmill.sources.tables import StateStore, files_from_table
 
@@ -91,6 +91,12 @@ def tree_listing(spark, folder):
     return tree.read_contents(tree.list_corpora(spark, roots)).select(*KEY, "size", "checksum")
 
 
+@query
+def store_listing(spark, folder):
+    """Documents written to a store by tasks, listed and read by tasks from a table of roots."""
+    return stores.read_stores(stores.list_stores(testbed.write_stores(spark, folder))).select(*KEY, "size", "checksum")
+
+
 @query
 def ignore_rules(spark, folder):
     return _rules(spark, folder)

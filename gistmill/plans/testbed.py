@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import datetime
 import json
-import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +17,8 @@ from pyspark.sql import functions as F
 
 from gistmill import fixed_values as fv
 from gistmill.schemas import KEY
-from gistmill.session import staging_path
+from gistmill.session import staged, staging_path
+from gistmill.sources.stores import connect
 
 RUN_TIME = datetime.datetime(2024, 9, 1, 12, 0, 0)
 
@@ -76,24 +76,30 @@ def files(spark: SparkSession, folder: str, by_source: bool = False) -> DataFram
     )
 
 
-def write_trees(spark: SparkSession, folder: str) -> dict[str, str]:
-    """Write the files below the shared staging folder, which has to be a mount, and return the corpora's roots."""
-    root = staging_path(spark, "trees").removeprefix("file:")
-    root = "/" + root.lstrip("/")
+def write_stores(spark: SparkSession, folder: str) -> DataFrame:
+    """Write the files as trees below the shared staging folder and return the corpora's roots, ``corpus_id, root``."""
+    top = staging_path(spark, "trees")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = connect(top)
         corpora = set()
         for batch in batches:
             for corpus, path, content in zip(batch["corpus_id"], batch["relative_path"], batch["content"]):
-                there = os.path.join(root, corpus, path)
-                os.makedirs(os.path.dirname(there), exist_ok=True)
-                with open(there, "wb") as file:
+                there = f"{base}/{corpus}/{path}"
+                store.create_dir(there.rpartition("/")[0])
+                with store.open_output_stream(there) as file:
                     file.write(content)
             corpora.update(batch["corpus_id"])
         yield pd.DataFrame({"corpus_id": sorted(corpora)}, dtype="object")
 
-    written = files(spark, folder).select(*KEY, "content").mapInPandas(write, "corpus_id string").distinct()
-    return {row.corpus_id: os.path.join(root, row.corpus_id) for row in written.collect()}
+    written = files(spark, folder).select(*KEY, "content").mapInPandas(write, "corpus_id string")
+    # evaluated once: whoever reads the names again must not write the files again
+    return staged(written.distinct().select("corpus_id", F.concat(F.lit(f"{top}/"), "corpus_id").alias("root")), "roots")
+
+
+def write_trees(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Write the files below the shared staging folder, which has to be a mount, and return the corpora's roots."""
+    return {row.corpus_id: "/" + row.root.removeprefix("file:").lstrip("/") for row in write_stores(spark, folder).collect()}
 
 
 def page_files(spark: SparkSession, folder: str) -> DataFrame:

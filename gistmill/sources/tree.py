@@ -1,7 +1,7 @@
 """File trees on a shared mount, with every file a directory walk sees.
 
 Spark's own ``binaryFile`` source leaves out empty files and names starting with ``_`` or
-``.``; see :mod:`gistmill.sources.objects` for stores where that is acceptable.  Here the
+``.``; see :mod:`gistmill.sources.stores` for the same walk over object stores.  Here the
 tasks walk the directories, in rounds: a task that has opened its share hands the rest of
 its directories back, and the next round deals them out over all tasks.  A corpus that
 holds most of the files is thus spread like any other.
@@ -12,10 +12,12 @@ from __future__ import annotations
 import datetime
 import functools
 import hashlib
+import io
 import math
 import os
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
 import pyarrow as pa
@@ -41,8 +43,13 @@ ROW_BYTES = LARGEST_ROW
 
 def rule_file_lines(root: str, ignore_file: str = fv.IGNORE_FILE) -> list[str]:
     """Usable rules in the rule file at a corpus root; none if it cannot be read or is not UTF-8."""
+    return usable_lines(lambda: open(os.path.join(root, ignore_file), "rb"))
+
+
+def usable_lines(open_rules: Callable[[], BinaryIO]) -> list[str]:
+    """Rules of a file, comments left out; none if it cannot be read or is not UTF-8."""
     try:
-        with open(os.path.join(root, ignore_file), encoding="utf-8") as lines:
+        with io.TextIOWrapper(open_rules(), encoding="utf-8") as lines:
             stripped = [line.strip() for line in lines]
     except (OSError, UnicodeDecodeError):  # concerns this corpus only
         return []
@@ -160,10 +167,10 @@ def list_corpora(
     )
 
 
-def _is_text(path: str, encoding: str) -> bool:
+def _is_text(opened: BinaryIO, encoding: str) -> bool:
     """Whether a file read as text has no NUL and at most a tenth of control characters; in pieces."""
     characters = controls = 0
-    with open(path, encoding=encoding) as file:
+    with io.TextIOWrapper(opened, encoding=encoding) as file:
         while piece := file.read(1 << 20):
             if "\0" in piece:
                 return False
@@ -175,26 +182,34 @@ def _is_text(path: str, encoding: str) -> bool:
 _NO_CONTROLS = dict.fromkeys(map(ord, fv.CONTROL_CHARACTERS))
 
 
-def _read_file(path: str, size: int | None, row_bytes: int) -> tuple[bytes | None, str | None]:
+#: Opens a file, given by its path and its path below the root, for reading bytes.
+Opener = Callable[[str, str], BinaryIO]
+
+
+def open_mounted(path: str, relative_path: str) -> BinaryIO:
+    return open(path, "rb")
+
+
+def _read_file(open_again: Callable[[], BinaryIO], size: int | None, row_bytes: int) -> tuple[bytes | None, str | None]:
     """Content; beyond ``row_bytes`` the checksum, and empty content if it is text, else none."""
     try:
-        with open(path, "rb") as file:
+        with open_again() as file:
             if (size or 0) <= row_bytes:
                 return file.read(), None
             digest = hashlib.file_digest(file, "sha256").hexdigest()
         try:
-            return (b"" if _is_text(path, "utf-8") else None), digest
+            return (b"" if _is_text(open_again(), "utf-8") else None), digest
         except UnicodeDecodeError:
-            return (b"" if _is_text(path, "latin-1") else None), digest
+            return (b"" if _is_text(open_again(), "latin-1") else None), digest
     except OSError:
         return None, None
 
 
-def _read_batches(batches: Iterator[pa.RecordBatch], row_bytes: int) -> Iterator[pa.RecordBatch]:
+def _read_batches(batches: Iterator[pa.RecordBatch], row_bytes: int, open_file: Opener) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         start, held, read = 0, 0, []
-        for path, size in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist()):
-            read.append(_read_file(path, size, row_bytes))
+        for path, below, size in zip(*[batch.column(name).to_pylist() for name in ("path", "relative_path", "size")]):
+            read.append(_read_file(functools.partial(open_file, path, below), size, row_bytes))
             held += len(read[-1][0] or b"")
             if held >= BATCH_BYTES:
                 yield _with_contents(batch.slice(start, len(read)), read)
@@ -210,7 +225,9 @@ def _with_contents(batch: pa.RecordBatch, read: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def read_contents(listing: DataFrame, tasks: int | None = None, row_bytes: int = ROW_BYTES) -> DataFrame:
+def read_contents(
+    listing: DataFrame, tasks: int | None = None, row_bytes: int = ROW_BYTES, open_file: Opener = open_mounted
+) -> DataFrame:
     """Add ``content`` and ``checksum``; content is NULL where a file cannot be read.
 
     Files above ``row_bytes``, which no row could hold, are streamed.  They have their
@@ -230,7 +247,7 @@ def read_contents(listing: DataFrame, tasks: int | None = None, row_bytes: int =
     spread = listing.repartition(tasks, *KEY)
     columns = LISTING.fieldNames()
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LISTING) + ", content binary, large_checksum string"
-    read = spread.select(*columns).mapInArrow(lambda batches: _read_batches(batches, row_bytes), schema)
+    read = spread.select(*columns).mapInArrow(lambda batches: _read_batches(batches, row_bytes, open_file), schema)
     return read.withColumn(
         "checksum", F.coalesce("large_checksum", checksum(F.col("content")))
     ).select(*FILES.fieldNames())
