@@ -277,6 +277,9 @@ def oracle_sql() -> dict[str, str]:
         "ignore_rules": _with(_DEFAULTS, _OWN_RULES, _RULES) + "SELECT corpus_id, pattern FROM rules",
         "digest_lines": _with(_FILES, _STATE, _LINES) + "SELECT corpus_id, relative_path, value FROM lines",
         "digest_import": _with(_FILES, _STATE, _LINES, _IMPORT) + f"""
+SELECT corpus_id, f.path AS relative_path, f.date AS summary_date, nullif(f.checksum, '') AS checksum,
+  trim(f.content, {_BLANKS}) AS content FROM numbered WHERE newest = 1""",
+        "digest_files": _with(_FILES, _STATE, _LINES, _IMPORT) + f"""
 SELECT corpus_id, f.path AS relative_path, f.date AS summary_date, nullif(f.checksum, '') AS checksum,
   trim(f.content, {_BLANKS}) AS content FROM numbered WHERE newest = 1""",
         # filters

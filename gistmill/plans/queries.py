@@ -18,7 +18,8 @@ from gistmill.plans import jobs, testbed
 from gistmill.schemas import KEY
 from gistmill.session import staging_path
 from gistmill.sources import stores, tree
-from gistmill.sources.digest_text import import_digest
+from gistmill.sources.digest_files import write_digest_files
+from gistmill.sources.digest_text import import_digest, read_digest_texts
 from gistmill.sources.tables import StateStore, files_from_table
 
 MOCK = DigestOptions(mode=DigestMode.MOCK, max_file_size_mb=0.01)
@@ -117,6 +118,16 @@ def digest_import(spark, folder):
 
 # ---- filters -------------------------------------------------------------------------
 
+@query
+def digest_files(spark, folder):
+    """Digests written by tasks, one file a corpus on a mount, and read back in byte ranges."""
+    top = staging_path(spark, "digest-files").removeprefix("file:")
+    lines = digest_lines(spark, folder)
+    paths = lines.select("corpus_id").distinct().withColumn("path", F.concat(F.lit(f"{top}/"), "corpus_id", F.lit(f"/{fv.DIGEST_FILE}")))
+    write_digest_files(lines, paths, testbed.PART_BYTES)
+    return _dated(import_digest(read_digest_texts(spark, {row.corpus_id: f"file:{row.path}" for row in paths.collect()})))
+
+
 @query
 def ignore_match(spark, folder):
     return _all_files(spark, folder).select(
