@@ -20,6 +20,7 @@ from gistmill import fixed_values as fv
 from gistmill.functions import text as tx
 from gistmill.operators import ignore, report, route, status
 from gistmill.operators.digest import rendered, stamp
+from gistmill.operators.key_filter import FilterSize, filter_words, may_be_key
 from gistmill.operators.skew import join_by_corpus
 from gistmill.operators.summarise import AnswerLog, ChatClient, call_model, ready_content
 from gistmill.options import DigestMode, DigestOptions
@@ -51,6 +52,13 @@ def due_only(files: DataFrame, keys: DataFrame, everything: bool) -> DataFrame:
     return files.join(keys.where("due").select(*KEY), KEY, "left_semi")
 
 
+def near_due(files: DataFrame, changes: DataFrame, staging: Staging) -> DataFrame:
+    """Files that are due, and a few others: the rest leave in the scan, before any join moves their contents."""
+    keys = changes.where("due").select(*KEY)
+    size = FilterSize.of(keys.count())
+    return files.where(may_be_key(staging.keep(filter_words(keys, size), "due-keys"), size))
+
+
 def routed(files: DataFrame, options: DigestOptions, *more: str) -> DataFrame:
     """``corpus_id, relative_path, route, ready, is_ready``: entry content where no model is needed; and ``more`` of the files."""
     ready = ready_content(options)
@@ -237,6 +245,8 @@ def run_job(
         changes = staging.keep(changed(current, present, state, everything), "changes")
         # rules per corpus have been at work on the keys; they need not see the contents
         contents = current_files(files, None, options.output_file)
+        if not everything:
+            contents = near_due(contents, changes, staging)
         due = due_only(contents, changes, everything)
         if options.mode is DigestMode.AI:
             made = _asked(due if own_rules is None else due.join(changes.where("due").select(*KEY), KEY, "left_semi"),
