@@ -16,6 +16,9 @@ from gistmill.operators.skew import join_by_corpus
 #: Rows of a corpus that are sampled, and how many of them make a range.
 SAMPLE, SAMPLES_PER_RANGE = 16_384, 8
 
+#: Groups that the rows of a corpus are dealt over to be sampled.
+SAMPLE_GROUPS = 512
+
 
 def places_up_to(ascending: Column, value: Column, bits: int) -> Column:
     """How many elements of a sorted array, of fewer than ``2 ** bits``, are at most ``value``."""
@@ -31,10 +34,13 @@ def places_up_to(ascending: Column, value: Column, bits: int) -> Column:
 def range_bounds(rows: DataFrame, sample: int = SAMPLE, per_range: int = SAMPLES_PER_RANGE) -> DataFrame:
     """``corpus_id, bounds``: paths that cut the rows of a corpus into about even ranges.
 
-    The sample has the smallest hashes of a corpus; tasks drop the others before the shuffle.
+    The sample has the smallest hashes of each group of a corpus; tasks drop the others before
+    the shuffle, and the groups of a large corpus are spread over all tasks.
     """
-    order = Window.partitionBy("corpus_id").orderBy(F.xxhash64("relative_path"), "relative_path")
-    drawn = rows.select("corpus_id", "relative_path", F.row_number().over(order).alias("drawn")).where(F.col("drawn") <= sample)
+    groups = min(SAMPLE_GROUPS, sample)
+    order = Window.partitionBy("corpus_id", "_group").orderBy(F.xxhash64("relative_path"), "relative_path")
+    dealt = rows.select("corpus_id", "relative_path", F.pmod(F.hash("relative_path"), F.lit(groups)).alias("_group"))
+    drawn = dealt.withColumn("drawn", F.row_number().over(order)).where(F.col("drawn") <= sample // groups)
     gathered = drawn.groupBy("corpus_id").agg(F.array_sort(F.collect_list("relative_path")).alias("paths"))
     return gathered.select("corpus_id", F.filter("paths", lambda _, i: (i > 0) & (i % per_range == 0)).alias("bounds"))
 
