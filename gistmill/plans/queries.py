@@ -16,7 +16,7 @@ from gistmill.operators.once import add_once
 from gistmill.options import DigestMode, DigestOptions
 from gistmill.plans import jobs, testbed
 from gistmill.schemas import KEY
-from gistmill.session import staging_path
+from gistmill.session import staged, staging_path
 from gistmill.sources import stores, tree
 from gistmill.sources.digest_files import write_digest_files
 from gistmill.sources.digest_text import import_digest, read_digest_texts
@@ -123,7 +123,8 @@ def digest_files(spark, folder):
     """Digests written by tasks, one file a corpus on a mount, and read back in byte ranges."""
     top = staging_path(spark, "digest-files").removeprefix("file:")
     lines = digest_lines(spark, folder)
-    paths = lines.select("corpus_id").distinct().withColumn("path", F.concat(F.lit(f"{top}/"), "corpus_id", F.lit(f"/{fv.DIGEST_FILE}")))
+    path = F.concat(F.lit(f"{top}/"), "corpus_id", F.lit(f"/{fv.DIGEST_FILE}"))
+    paths = staged(lines.select("corpus_id").distinct().withColumn("path", path), "digest-paths")
     write_digest_files(lines, paths, testbed.PART_BYTES)
     return _dated(import_digest(read_digest_texts(spark, {row.corpus_id: f"file:{row.path}" for row in paths.collect()})))
 

@@ -129,13 +129,13 @@ def write_digest_files(lines: DataFrame, paths: DataFrame, part_bytes: int = PAR
     evaluated twice, for their lengths and for themselves.
     """
     label = f".{uuid.uuid4().hex}.part"
-    to = paths.select("corpus_id", "path").dropna()
-    wanted = join_by_corpus(lines.select(*KEY, "value").where("value IS NOT NULL"), to.select("corpus_id"), "left_semi")
     with contextlib.closing(Staging(lines.sparkSession)) as staging:
+        to = staging.keep(paths.select("corpus_id", "path").dropna(), "paths")
+        wanted = join_by_corpus(lines.select(*KEY, "value").where("value IS NOT NULL"), to.select("corpus_id"), "left_semi")
         weighed = staging.keep(wanted.select(*KEY, F.octet_length("value").cast("long").alias("weight")), "weights")
         cuts = staging.keep(part_cuts(weighed, part_bytes), "cuts")
         parts = staging.keep(manifest(weighed, cuts).join(to, "corpus_id"), "manifest")
-        files = parts.groupBy("path").agg(F.sum("length").alias("length"))
+        files = staging.keep(parts.groupBy("path").agg(F.sum("length").alias("length")), "files")
         try:
             _for_each(files, lambda row: _begin(row["path"] + label, row["length"]))
             written = placed(wanted, cuts, parts).mapInArrow(_writer(label), "path string, written bigint")
