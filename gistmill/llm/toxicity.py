@@ -10,9 +10,11 @@ Windows like anything ordinary gain nothing, whatever their language.
 
 Training takes a bounded sample of labelled texts (``MOST_TEXTS``, ``MOST_LENGTH``).  Near copies are taken
 once, so that a text that was copied often does not pass for a habit of speech.  The
-ordinary dictionary is trained on windows of ordinary texts, the toxic one on the stems
-that toxic texts hold far more often than ordinary ones do.  The gain at which a window counts,
-and the weights that turn counts into a score, are calibrated on the same sample.
+ordinary dictionary is trained on windows of ordinary texts.  The toxic one holds the stems
+that toxic texts have far more often than ordinary ones do, all of them, as many bytes as
+they take; a dictionary trained on toxic windows spends itself on ordinary words and finds a
+third as much.  The gain at which a window counts, and the weights that turn counts into a
+score, are calibrated on the same sample.
 
 Defined results: null and blank texts have no window, and the score of a text without any
 sign; repeated rows are scored alike; an empty table gives no rows; without labelled texts
@@ -37,9 +39,10 @@ from gistmill.llm.common import small_batches
 #: Labelled texts that are fitted at most, and the longest of them in code points.
 MOST_TEXTS, MOST_LENGTH = 5_000, 50_000
 
-#: Words of a training window, sizes of the dictionaries, bytes of ordinary text before
-#: and behind a window, and how many pairs of these.
-TRAINING_WORDS, TOXIC_BYTES, ORDINARY_BYTES, LEAD, FRAMES = 8, 512, 8192, 32, 3
+#: Words of a training window, of how many such windows of an ordinary text one is trained on,
+#: size of the ordinary dictionary, bytes of ordinary text before and behind a window, and how
+#: many pairs of these.
+TRAINING_WORDS, EVERY, ORDINARY_BYTES, LEAD, FRAMES = 8, 2, 8192, 32, 3
 
 #: How a trained dictionary begins (fixed value of the format).
 DICTIONARY_MAGIC = bytes.fromhex("37a430ec")
@@ -50,9 +53,14 @@ REMEMBERED = 500_000
 #: Bytes above the least gain from which a window gains much.
 MUCH = 6
 
-#: A stem (the first characters of words) is distinctive if this share of toxic texts has
-#: it, so many times the ordinary share, and that is so many deviations above chance.
-LEAST_SHARE, TIMES, SURPRISE, STEM = 0.02, 4.0, 6.0, (4, 8)
+#: A stem is distinctive if it is in so many times as many toxic texts as the ordinary share
+#: would give, and that is so many deviations above chance, where the variance has this much
+#: added: ten texts or so must have a stem, however many toxic texts there are.
+TIMES, SURPRISE, EXTRA = 4.0, 6.0, 3.0
+
+#: Shortest and longest stem, the first characters of a word.  The compressor finds matches of four
+#: bytes and more; a longer word is known by its beginning.
+STEM = (4, 8)
 
 THRESHOLD = 0.7
 
@@ -178,18 +186,19 @@ def fit(rows: list[tuple]) -> Model:
     distinctive = set()
     for stem, n in counts[1].items():
         chance = texts[1] * max(counts[0][stem] / texts[0], floor)
-        if n >= max(LEAST_SHARE * texts[1], TIMES * chance) and n - chance >= SURPRISE * np.sqrt(chance + 0.1):
+        if n >= TIMES * chance and n - chance >= SURPRISE * np.sqrt(chance + EXTRA):
             distinctive.add(stem)
+
     def telling(word: bytes) -> str | None:
         return max(stems([word]) & distinctive, key=lambda stem: (counts[1][stem], stem), default=None)
 
     told = Counter(stem for toxic, found in kept if toxic for stem in {telling(w) for w in set(found)} if stem)
-    plain = [w for toxic, found in kept if not toxic for w in training_windows(found)[::2]][:200_000]
-    ordinary = _dictionary(plain, ORDINARY_BYTES)
-    toxic_samples = [b" " + stem.encode() for stem in sorted(told) for _ in range(told[stem])]
-    model = Model(_dictionary(toxic_samples, TOXIC_BYTES), ordinary, 1, ())
-    if not model.toxic:
-        return model
+    if not told:
+        return Model(b"", b"", 0, ())
+    plain = [w for toxic, found in kept if not toxic for w in training_windows(found)[::EVERY]]
+    # what is near the end of a dictionary costs least, so the most frequent stem is last
+    ranked = sorted(told, key=lambda stem: (told[stem], stem))
+    model = Model(b"".join(b" " + stem.encode() for stem in ranked) + b" ", _dictionary(plain, ORDINARY_BYTES), 1, ())
     gains = [(toxic, found, model.gains(found)) for toxic, found in kept]
     best = None
     for least in range(3, 16, 2):
@@ -205,7 +214,7 @@ def fit(rows: list[tuple]) -> Model:
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """Trained content; if all that differs fits into the dictionary, it is that, most frequent last."""
+    """Trained dictionary; if all that differs fits into it, that itself, most frequent last."""
     counts = Counter(samples)
     ranked = sorted(counts, key=lambda sample: (counts[sample], sample))
     if sum(map(len, ranked)) <= size:

@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import math
 import random
 
 import public_tokenizers
@@ -114,6 +115,54 @@ def test_toxicity_learns_from_the_other_rows_only(spark):
     assert {toxicity.remainder(i) == 1 for i in range(50)} == {True, False}
 
 
+def prose(draw, own=()):
+    """Sixty made-up words and some of one's own."""
+    found = ["".join(draw.choice(["ka", "lo", "mi", "ter", "su", "ne"]) for _ in range(draw.randrange(1, 5))) for _ in range(60)]
+    for word in own:
+        found.insert(draw.randrange(len(found)), word)
+    return " ".join(found)
+
+
+def test_toxic_words_of_few_and_many_texts():
+    """Words of 12 toxic texts in 1,000 are learnt, and more words than any fixed dictionary would hold."""
+    draw = random.Random(5)
+    rare = [(1, prose(draw, ["grobvok"] if i < 12 else ["dwazpig"])) for i in range(1000)]
+    model = toxicity.fit([(0, prose(draw)) for _ in range(1000)] + rare)
+    assert model.score(prose(draw, ["grobvok"])) > toxicity.THRESHOLD > model.score(prose(draw))
+    letters = "bcdfghjpqvwxyz"
+    insults = ["".join(draw.choice(letters) for _ in range(7)) for _ in range(120)]
+    many = [(1, prose(draw, draw.sample(insults, 4))) for _ in range(600)]
+    model = toxicity.fit([(0, prose(draw)) for _ in range(1000)] + many)
+    caught = [model.score(prose(draw, draw.sample(insults, 4))) >= toxicity.THRESHOLD for _ in range(100)]
+    clean = [model.score(prose(draw)) >= toxicity.THRESHOLD for _ in range(100)]
+    assert len(model.toxic) > 600 and sum(caught) >= 95 and sum(clean) <= 1
+
+
+def test_scores_against_plain_compression(spark):
+    """Every gain computed anew from compressed lengths, without what a worker remembers."""
+    documents, labels = tables(spark, "/root/testdata/sf0.01")
+    model = toxicity.train(documents, labels)
+    lead = toxicity.LEAD
+    cuts = [model.ordinary[len(model.ordinary) - k * lead:][:lead] for k in range(2, 2 + 2 * toxicity.FRAMES)]
+
+    def plainly(text):
+        hits, found = {}, toxicity.words(text)
+        for word in set(found):
+            gain = 0
+            for before, behind in zip(cuts[::2], cuts[1::2]):
+                short, long = (len(c.compress(before + b" " + word + b" " + behind)) for c in model.pair())
+                gain += short - long
+            if gain >= model.least_gain:
+                hits[word] = gain
+        n, share = len(hits), len(hits) / max(len(found), 1)
+        much = sum(gain >= model.least_gain + toxicity.MUCH for gain in hits.values())
+        x = [1, n >= 1, n >= 2, n >= 3, math.log(1 + n), math.log(1 + much), math.sqrt(share), min(25 * share, 1)]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights))))
+
+    got = toxicity.toxicity_scores(documents, model).join(documents.select("doc_id", "text"), "doc_id").limit(300).collect()
+    assert all(r.score == pytest.approx(plainly(r.text), abs=1e-9) for r in got) and {r.predicted for r in got} == {0, 1}
+
+
 def test_toxicity_of_odd_rows(spark):
     documents, labels = tables(spark, FOLDER)
     model = toxicity.train(documents, labels)
