@@ -14,7 +14,7 @@ ordinary dictionary is trained on windows of ordinary texts.  The toxic one hold
 that toxic texts have far more often than ordinary ones do, all of them, as many bytes as
 they take; a dictionary trained on toxic windows spends itself on ordinary words and finds a
 third as much.  The gain at which a window counts, and the weights that turn counts into a
-score, are calibrated on the same sample.
+score, are calibrated on the same sample.  One task fits the model, so the driver holds no texts.
 
 Defined results: null and blank texts have no window, and the score of a text without any
 sign; repeated rows are scored alike; an empty table gives no rows; without labelled texts
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -152,13 +153,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str) -> list[tuple]:
-    """``(toxic, text)`` of labelled rows that may be learnt from, in a fixed order; the bound keeps the smallest hashes."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str) -> DataFrame:
+    """``toxic, text`` of labelled rows that may be learnt from, in a fixed order; the bound keeps the smallest hashes."""
     known = labels.where(F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("_id")).agg(F.max(label_column).alias("_toxic"))
     known = known.where(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id").limit(MOST_TEXTS)
     texts = documents.where(F.length(text_column) <= MOST_LENGTH).select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     rows = texts.join(known, "_id").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(MOST_TEXTS)
-    return [(int(r._toxic), r._text) for r in rows.select("_toxic", "_text").collect()]
+    return rows.select(F.col("_toxic").cast("int").alias("toxic"), F.col("_text").alias("text"))
 
 
 def without_copies(rows: list[tuple]) -> list[tuple[int, list[bytes]]]:
@@ -243,7 +244,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 def train(
     documents: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic",
 ) -> Model:
-    return fit(labelled_sample(documents, labels, id_column, text_column, label_column))
+    """Model of the labelled sample, fitted by one task; only the model comes to the driver."""
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [row for batch in batches for row in zip(batch["toxic"].tolist(), batch["text"].tolist())]
+        model = fit(rows)
+        yield pd.DataFrame({
+            "toxic": [model.toxic], "ordinary": [model.ordinary], "least_gain": [model.least_gain], "weights": [list(model.weights)],
+        })
+
+    small_batches(documents.sparkSession)
+    sample = labelled_sample(documents, labels, id_column, text_column, label_column)
+    found = sample.mapInPandas(fitted, "toxic binary, ordinary binary, least_gain int, weights array<double>").collect()  # one row
+    return Model(bytes(found[0].toxic), bytes(found[0].ordinary), found[0].least_gain, tuple(found[0].weights)) if found else fit([])
 
 
 def toxicity_column(model: Model, text: Column) -> Column:

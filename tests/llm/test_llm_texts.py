@@ -115,6 +115,13 @@ def test_toxicity_learns_from_the_other_rows_only(spark):
     assert {toxicity.remainder(i) == 1 for i in range(50)} == {True, False}
 
 
+def test_fitted_in_a_task_as_anywhere(spark):
+    documents, labels = tables(spark, "/root/testdata/sf0.01")
+    sample = toxicity.labelled_sample(documents, labels, "doc_id", "text", "toxic").collect()
+    assert toxicity.train(documents, labels) == toxicity.fit([(r.toxic, r.text) for r in sample])
+    assert len(sample) > 50 and not any(r.text is None for r in sample)
+
+
 def prose(draw, own=()):
     """Sixty made-up words and some of one's own."""
     found = ["".join(draw.choice(["ka", "lo", "mi", "ter", "su", "ne"]) for _ in range(draw.randrange(1, 5))) for _ in range(60)]
