@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from gistmill.operators.cuts import part_cuts, with_part
 from gistmill.operators.digest import PART_BYTES
 from gistmill.operators.skew import join_by_corpus
 from gistmill.schemas import KEY
@@ -25,31 +24,53 @@ from gistmill.session import Staging
 
 _PART = ["corpus_id", "part"]
 
+#: Rows of a range, as a power of two.
+RANGE_BITS = 12
+
 
 def _sum_before(value: str, window: WindowSpec) -> Column:
     return F.coalesce(F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def manifest(weighed: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``corpus_id, part, start, length`` of the parts of each text, in bytes.
+def ranged(weighed: DataFrame) -> DataFrame:
+    """Rows with the number of their ``range``: up to ``2 ** RANGE_BITS`` rows that follow each other by corpus and path.
 
-    ``weighed`` has the keys of the pieces with their ``weight``.  Only one row for each part
-    of a corpus meets in the window.
+    Another evaluation may cut elsewhere, so the result has to be staged.
     """
-    parts = with_part(weighed, cuts).groupBy(*_PART).agg(F.sum("weight").alias("length"))
-    return parts.select(*_PART, _sum_before("length", Window.partitionBy("corpus_id").orderBy("part")).alias("start"), "length")
+    in_order = weighed.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
+    return in_order.withColumn("range", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS))
+
+
+def placed_keys(ranges: DataFrame, part_bytes: int) -> DataFrame:
+    """``corpus_id, relative_path, at, weight, part``: where the pieces of each key begin, their bytes, and their part.
+
+    One row a key.  Only short rows are moved, and none holds more than its own key: a list of cuts
+    beside every row would grow with the corpus, as the rows do.  Only one row for each range of a
+    corpus meets in a window.
+    """
+    sums = ranges.groupBy("corpus_id", "range").agg(F.sum("weight").alias("sum"))
+    above = sums.select("corpus_id", "range", _sum_before("sum", Window.partitionBy("corpus_id").orderBy("range")).alias("above"))
+    inside = _sum_before("weight", Window.partitionBy("corpus_id", "range").orderBy("relative_path"))
+    begun = ranges.withColumn("inside", inside).join(above, ["corpus_id", "range"]).withColumn("at", F.col("above") + F.col("inside"))
+    keys = begun.groupBy(*KEY).agg(F.min("at").alias("at"), F.sum("weight").alias("weight"))
+    return keys.withColumn("part", F.floor(F.col("at") / part_bytes))
+
+
+def manifest(keys: DataFrame) -> DataFrame:
+    """``corpus_id, part, start, length`` of the parts of each text, in bytes."""
+    return keys.groupBy(*_PART).agg(F.min("at").alias("start"), F.sum("weight").alias("length"))
 
 
-def placed(lines: DataFrame, cuts: DataFrame, parts: DataFrame) -> DataFrame:
+def placed(lines: DataFrame, keys: DataFrame, parts: DataFrame) -> DataFrame:
     """``path, at, value``: pieces as bytes with their places, in order inside a task.
 
-    ``parts`` is the manifest with the ``path`` of each file.  Contents are shuffled by part, and
-    the window that adds up their lengths uses the same shuffle.
+    ``parts`` is the manifest with the ``path`` of each file.  Contents meet their part by key, are
+    shuffled by part, and the window that adds up their lengths uses the same shuffle.
     """
-    found = with_part(lines.select(*KEY, F.encode("value", "UTF-8").alias("value")), cuts).join(
-        parts.select(*_PART, "start", "path"), _PART
-    )
-    weighed = found.withColumn("weight", F.octet_length("value").cast("long"))
+    of = keys.select(F.col("corpus_id").alias("_corpus"), F.col("relative_path").alias("_key"), "part")
+    same = (F.col("corpus_id") == F.col("_corpus")) & F.col("relative_path").eqNullSafe(F.col("_key"))
+    found = lines.select(*KEY, F.encode("value", "UTF-8").alias("value")).join(of, same).drop("_corpus", "_key")
+    weighed = found.join(parts.select(*_PART, "start", "path"), _PART).withColumn("weight", F.octet_length("value").cast("long"))
     inside = _sum_before("weight", Window.partitionBy(*_PART).orderBy("relative_path"))
     return weighed.select("path", (F.col("start") + inside).alias("at"), "value")
 
@@ -133,12 +154,13 @@ def write_digest_files(lines: DataFrame, paths: DataFrame, part_bytes: int = PAR
         to = staging.keep(paths.select("corpus_id", "path").dropna(), "paths")
         wanted = join_by_corpus(lines.select(*KEY, "value").where("value IS NOT NULL"), to.select("corpus_id"), "left_semi")
         weighed = staging.keep(wanted.select(*KEY, F.octet_length("value").cast("long").alias("weight")), "weights")
-        cuts = staging.keep(part_cuts(weighed, part_bytes), "cuts")
-        parts = staging.keep(manifest(weighed, cuts).join(to, "corpus_id"), "manifest")
+        ranges = staging.keep(ranged(weighed), "ranges")
+        keys = staging.keep(placed_keys(ranges, part_bytes), "keys")
+        parts = staging.keep(manifest(keys).join(to, "corpus_id"), "manifest")
         files = staging.keep(parts.groupBy("path").agg(F.sum("length").alias("length")), "files")
         try:
             _for_each(files, lambda row: _begin(row["path"] + label, row["length"]))
-            written = placed(wanted, cuts, parts).mapInArrow(_writer(label), "path string, written bigint")
+            written = placed(wanted, keys, parts).mapInArrow(_writer(label), "path string, written bigint")
             sums = staging.keep(written.groupBy("path").agg(F.sum("written").alias("written")), "written")
             _for_each(files.join(sums, "path"), lambda row: _finish(row["path"], label, row["length"], row["written"]))
         except BaseException:

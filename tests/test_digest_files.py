@@ -73,6 +73,24 @@ def test_odd_input(spark, tmp_path):
     assert read(tmp_path, ["a"]) == {"a": "head\nend"}
 
 
+def test_no_row_grows_with_its_corpus(spark, tmp_path, monkeypatch):
+    """Places are found from short rows, in many ranges, also for keys that are null or repeated."""
+    monkeypatch.setattr(digest_files, "RANGE_BITS", 2, raising=False)
+    staged, keep = [], digest_files.Staging.keep
+
+    def kept(staging, rows, label):
+        staged.append((label, rows.schema))
+        return keep(staging, rows, label)
+
+    monkeypatch.setattr(digest_files.Staging, "keep", kept)
+    rows = lines_of(random.Random(5), {"hot": 300, "small": 5})
+    again = [("hot", "d7/twice", "same é\n")] * 11 + [("hot", None, "no path\n")] * 3
+    lines = spark.createDataFrame(rows + again + [(None, "x", "no corpus")], LINES).repartition(5)
+    write_digest_files(lines, paths_of(spark, tmp_path, ["hot", "small"]), 40)
+    assert read(tmp_path, ["hot", "small"]) == texts_of([(c, p or "", v) for c, p, v in again[-3:] + rows + again[:-3]])
+    assert [(label, field.name) for label, schema in staged for field in schema if field.dataType.typeName() in ("array", "map")] == []
+
+
 def test_a_lost_run_leaves_the_old_file(spark, tmp_path, monkeypatch):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "digest é.md").write_text("old")
