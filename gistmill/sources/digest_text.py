@@ -21,19 +21,28 @@ _LAST = rf"(?s)\A.*## .+?{_MARK}.*?(?=\n## |\z)"
 # digest texts are read in pieces between these
 _HEADING = "\n## "
 
+#: Sections of a part that is read, as a power of two.
+PIECE_BITS = 10
+
 
 def read_digest_texts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Digest files ``{corpus_id: path}`` as ``corpus_id, part, document``, a part for each byte range that Spark reads.
+    """Digest files ``{corpus_id: path}`` as ``corpus_id, part, document``, in parts that follow each other.
 
     Parts, but for the first, begin with the newline before a heading; joined in order they are
     the text, of whatever length, in which only a carriage return at the very end is left out.
-    They are as long as ``spark.sql.files.maxPartitionBytes`` says, or as a single section.  A
-    corpus whose file is not there, as before its first run, has no row.
+    They have at most ``2 ** PIECE_BITS`` sections and come from one byte range, as long as
+    ``spark.sql.files.maxPartitionBytes`` says.  A corpus whose file is not there, as before its
+    first run, has no row.
     """
     there = {corpus: path for corpus, path in paths.items() if path_exists(spark, path)}
-    parts = read_owned_texts(spark, there, _HEADING).groupBy("corpus_id", F.col("start").alias("part")).agg(
+    # ranges stay together in one shuffle, so that their parts can be counted, but not in one row
+    pieces = read_owned_texts(spark, there, _HEADING).repartition("corpus_id", "start")
+    parts = pieces.groupBy("corpus_id", "start", F.shiftright("at", PIECE_BITS).alias("piece")).agg(
         F.expr("listagg(value, '\\n## ') within group (order by at)").alias("value")
     )
+    # a section takes several bytes, so the parts of a range have numbers below the next one's start
+    number = F.row_number().over(Window.partitionBy("corpus_id", "start").orderBy("piece"))
+    parts = parts.select("corpus_id", (F.col("start") + number - 1).alias("part"), "value")
     # the separator may have taken the second half of a newline
     value = F.regexp_replace("value", r"\r\z", "")
     begun = F.when(F.col("part") > 0, F.concat(F.lit(_HEADING), value)).otherwise(value)

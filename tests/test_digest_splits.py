@@ -53,6 +53,29 @@ def test_any_split_size(spark, tmp_path, newline):
         conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_parts_of_few_sections(spark, tmp_path, monkeypatch, newline):
+    """A byte range with many sections is no single row, and its parts are imported like the whole text."""
+    monkeypatch.setattr(digest_text, "PIECE_BITS", 1, raising=False)
+    draw = random.Random(9)
+    texts = {f"c{i}": digest_of(draw, 30, newline) for i in range(3)}
+    for corpus, text in texts.items():
+        (tmp_path / f"{corpus}.md").write_bytes(text.encode())
+    plain = [(c, t.replace("\r\n", "\n").replace("\r", "\n")) for c, t in texts.items()]
+    conf, before = spark.conf, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (300, 10**8):
+            conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            read = read_digest_texts(spark, {c: str(tmp_path / f"{c}.md") for c in texts})
+            rows = read.orderBy("corpus_id", "part").collect()
+            assert max(r.document.count("\n## ") for r in rows) <= 2
+            assert len({(r.corpus_id, r.part) for r in rows}) == len(rows)
+            assert [(c, "".join(r.document for r in rows if r.corpus_id == c)) for c in texts] == plain
+            assert imported(read) == imported(spark.createDataFrame(plain, "corpus_id string, document string"))
+    finally:
+        conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_empty_file(spark, tmp_path):
     (tmp_path / "empty.md").write_text("")
     assert imported(read_digest_texts(spark, {"c": str(tmp_path / "empty.md")})) == []
