@@ -41,10 +41,14 @@ def staging_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(rows: DataFrame, label: str) -> DataFrame:
-    """Write rows to the shared staging folder and read them back, evaluating them once."""
+def staged(rows: DataFrame, label: str, group_bytes: int | None = None) -> DataFrame:
+    """Write rows to the shared staging folder and read them back, evaluating them once.
+
+    ``group_bytes`` bounds a row group, which readers of large binary values hold whole.
+    """
     path = staging_path(rows.sparkSession, label)
-    rows.write.mode("errorifexists").parquet(path)
+    options = {"parquet.block.size": group_bytes} if group_bytes else {}
+    rows.write.mode("errorifexists").options(**options).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

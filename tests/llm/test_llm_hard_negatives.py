@@ -58,6 +58,55 @@ def test_heaps_merge_in_any_order():
         assert sorted(zip(*(c.tolist() for c in (heaps.owner, heaps.score, heaps.id, heaps.row)))) == expected
 
 
+@pytest.mark.parametrize("most", [9, 2**15, 2**28])
+def test_floats_hold_every_sum(most):
+    draw = np.random.default_rng(5)
+    for m, k, n in ((70, 64, 90), (64, 65, 33), (9, 300, 5)):
+        a, b = draw.choice([-most, most], (m, k)), draw.choice([-most, most], (k, n))
+        kind = hn._exact(m, k, n, most, most)
+        assert kind == {9: np.float32, 2**15: np.float64, 2**28: np.int64}[most]
+        assert np.array_equal(hn.strassen(a.astype(kind), b.astype(kind)).astype(np.int64), a @ b)
+
+
+@pytest.mark.parametrize("most", [2, 300, 2**28])
+@pytest.mark.parametrize("others", [True, False])
+def test_heaps_of_an_anchor_tile(most, others):
+    draw = np.random.default_rng(6)
+    vectors, candidates = draw.integers(-most, most, (5, 3)), draw.integers(-most, most, (4000, 3))
+    ids, rows = draw.integers(0, 900, 4000), np.arange(4000)
+    own, place = np.array([3, 17, 1200, 3999, -1]), np.array([0, 0, 0, 2, 2, 3, 4])
+    middle = np.abs(vectors[place]).sum(axis=1) * most // 3
+    lower, upper = middle // 4 * np.array([-9, 0, 1, 1, -1, 2, 9]), middle * np.array([2, 1, 1, 1, 0, 3, 1])
+    tile = hn._Anchors(own, vectors, place, lower, upper, 6)
+    for at in range(0, 4000, 250):
+        part = slice(at, at + 250)
+        tile.meet(ids[part], rows[part], {np.int64: candidates[part]}, hn._top(candidates[part]), others)
+    tile.settle()
+    expected = []
+    for k, i in enumerate(place):
+        scores = candidates @ vectors[i]
+        fit = sorted((-s, d, r) for s, d, r in zip(scores.tolist(), ids.tolist(), rows.tolist())
+                     if lower[k] <= s <= upper[k] and (others or r != own[i]))
+        expected += [(k, -s, d, r) for s, d, r in fit[:6]]
+    heaps = tile.heaps
+    assert len(expected) > 20 and sorted(zip(*(c.tolist() for c in (heaps.owner, heaps.score, heaps.id, heaps.row)))) == sorted(expected)
+
+
+@pytest.mark.parametrize("bundle", [3, 11])
+def test_cells_of_bundles_and_stripes(spark, monkeypatch, bundle):
+    for name, value in (("TILE", 16), ("ANCHOR_TILE", 2), ("BUNDLE", bundle), ("STRIPES", 3)):
+        monkeypatch.setattr(hn, name, value)
+    draw = random.Random(7)
+    rows = [(i, draw.choice([0, 0, 1, 2**30]), [draw.randint(-4, 9) for _ in range(5)]) for i in range(200)]
+    assert mined(spark, rows, 10) == brute(rows, 10) != []
+
+
+def test_tiles_are_not_joined_or_broadcast(spark):
+    frame = spark.createDataFrame([(i, i % 2, [i, 1], *["x"] * 5) for i in range(50)], SCHEMA)
+    plan = hn.hard_negatives(frame, every=10)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "Broadcast" not in plan
+
+
 def test_against_brute_force(spark):
     draw = random.Random(4)
     rows = [(i, draw.choice([0, 0, 0, 1, 2]), [draw.randint(-4, 9) for _ in range(6)]) for i in range(500)]
