@@ -301,7 +301,9 @@ def _met(anchors: DataFrame, tiles: DataFrame, same: bool, size: int, window: tu
 
     Anchors with ``places`` and ``positive_scores`` have a heap for each of these, else one each.
     """
-    n_anchors, n_tiles = anchors.agg(F.sum("n")).first()[0] or 0, tiles.count()
+    # tasks of the first pass hold one label at a time
+    n_anchors = anchors.groupBy(*["label"] * same).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    n_tiles = tiles.count()
     bundles = max(1, -(-n_anchors // BUNDLE))
     stripes = max(1, min(STRIPES, n_tiles, int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     cells = bundles * stripes
