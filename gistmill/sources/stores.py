@@ -59,7 +59,11 @@ def _links(store: fs.FileSystem) -> Callable[[str], bool]:
 
 
 def _modified(found: fs.FileInfo) -> datetime.datetime | None:
-    return None if found.mtime is None else found.mtime.astimezone(datetime.timezone.utc).replace(tzinfo=None)
+    if found.mtime_ns is None:
+        return None
+    # seconds as stat() gives them; found.mtime divides once and may round to the next microsecond
+    seconds, rest = divmod(found.mtime_ns, 10**9)
+    return datetime.datetime.fromtimestamp(seconds + 1e-9 * rest, datetime.timezone.utc).replace(tzinfo=None)
 
 
 def _walk(

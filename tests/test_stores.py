@@ -1,7 +1,9 @@
 """Listing and reading through pyarrow's file systems against the walk of a mount."""
 
+import datetime
 import hashlib
 import os
+import random
 
 import pytest
 from pyarrow import fs
@@ -34,6 +36,15 @@ def odd_tree(tree):
     return tree
 
 
+def test_times_as_the_mount_gives_them(tmp_path):
+    file, draw = tmp_path / "f", random.Random(8)
+    file.write_text("x")
+    for _ in range(5000):
+        os.utime(file, ns=(0, draw.randrange(1_700_000_000 * 10**9, 1_800_000_000 * 10**9)))
+        found = stores._modified(fs.LocalFileSystem().get_file_info(str(file)))
+        assert found == datetime.datetime.fromtimestamp(os.stat(file).st_mtime, datetime.timezone.utc).replace(tzinfo=None)
+
+
 @pytest.mark.parametrize("share", [1, 2, 2000])
 def test_same_rows_as_the_mount(spark, odd_tree, tmp_path, share):
     roots = {"p": str(odd_tree), "q": str(odd_tree / "_deep"), "void": str(tmp_path / "void")}
